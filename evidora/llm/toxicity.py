@@ -104,7 +104,7 @@ def fit(texts: list[str], labels: np.ndarray, share: float, held_out_share: floa
     cost = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y == 0).sum()))
     for t in range(1, steps + 1):
         z = np.bincount(sentence, weights=sum(w[r] for r in inverse), minlength=n_sent) + bias
-        p = 1 / (1 + np.exp(-z))
+        p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
         s = np.clip(np.bincount(doc, weights=softplus(z), minlength=len(y)), 1e-9, 50)
         blame = np.where(y > 0, -1 / np.expm1(s), 1.0) * cost
         g_sentence = p * blame[doc]
@@ -177,11 +177,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: Sample = Sample(), doc_id:
 
 
 def score_documents(docs: DataFrame, model: Model, keep: list[str] | None = None, text: str = "text") -> DataFrame:
-    """keep (default: all columns) plus score."""
+    """keep (default: all columns) plus score; a column of that name is replaced."""
     spark = docs.sparkSession
     small_text_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c != "score"]
     src = docs.select(*keep, F.col(text).alias("_text"))
     shape = docs.select(*keep, F.lit(0.0).alias("score")).schema
 
@@ -206,7 +206,7 @@ def offending_sentences(docs: DataFrame, model: Model, threshold: float = 0.5, d
             x, sentence, doc = features(texts)
             spans = words(texts).spans
             z = sentence_logits(shared.value, x, sentence, len(doc))
-            p = 1 / (1 + np.exp(-z))
+            p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
             hit = np.flatnonzero(p >= threshold)
             first = np.searchsorted(sentence, hit)
             last = np.searchsorted(sentence, hit, side="right") - 1

@@ -79,9 +79,9 @@ def _masks(key: Column) -> list[Column]:
 
 
 def build_bloom(listed: DataFrame, key: str, blocks: int) -> DataFrame:
-    """One row a block in use: _block and words w0 to w7; combined on the map side."""
-    masks = listed.select(_block(F.col(key), blocks).alias("_block"), *[m.alias(f"w{i}") for i, m in enumerate(_masks(F.col(key)))])
-    return masks.groupBy("_block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)])
+    """One row a block in use: __block and words __w0 to __w7; combined on the map side."""
+    masks = listed.select(_block(F.col(key), blocks).alias("__block"), *[m.alias(f"__w{i}") for i, m in enumerate(_masks(F.col(key)))])
+    return masks.groupBy("__block").agg(*[F.bit_or(f"__w{i}").alias(f"__w{i}") for i in range(WORDS)])
 
 
 def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[Rule] = (), url: str = "url", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -91,26 +91,26 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[Rule] = (), url
     filter; the filter and the list are broadcast only if they fit broadcast_bytes. Beyond it only the rows that passed
     are shuffled to the list, after their keys were made distinct, so a hot url weighs one row there.
     """
-    keys = listed.select(canonical_url(*url_parts(F.col(url))).alias("_listed")).where("_listed is not null").distinct()
+    keys = listed.select(canonical_url(*url_parts(F.col(url))).alias("__listed")).where("__listed is not null").distinct()
     n = keys.count()
     blocks = max(1, -(-n * BITS_PER_KEY // (32 * WORDS)))
-    bloom = build_bloom(keys, "_listed", blocks)
+    bloom = build_bloom(keys, "__listed", blocks)
     small_filter, small_list = blocks * BLOCK_BYTES <= broadcast_bytes, n * KEY_BYTES <= broadcast_bytes
     host, path, rest = url_parts(F.col(url))
-    base = pages.drop("host", "path", "rule", "verdict", "possible", "hit").withColumns({"host": host, "path": path, "_key": canonical_url(host, path, rest)})
-    base = base.withColumn("_block", _block(F.col("_key"), blocks))
-    probe = base.join(F.broadcast(bloom) if small_filter else bloom, "_block", "left")
+    base = pages.drop("host", "path", "rule", "verdict", "possible", "hit").withColumns({"host": host, "path": path, "__key": canonical_url(host, path, rest)})
+    base = base.withColumn("__block", _block(F.col("__key"), blocks))
+    probe = base.join(F.broadcast(bloom) if small_filter else bloom, "__block", "left")
     passed = F.lit(True)
-    for i, m in enumerate(_masks(F.col("_key"))):
-        passed = passed & (F.col(f"w{i}").bitwiseAND(m) != 0)
-    probe = probe.withColumn("possible", F.coalesce(passed & F.col("_key").isNotNull(), F.lit(False)))
+    for i, m in enumerate(_masks(F.col("__key"))):
+        passed = passed & (F.col(f"__w{i}").bitwiseAND(m) != 0)
+    probe = probe.withColumn("possible", F.coalesce(passed & F.col("__key").isNotNull(), F.lit(False)))
     if small_list:
-        probe = probe.withColumn("_probe", F.when(F.col("possible"), F.col("_key"))).join(F.broadcast(keys), F.col("_probe") == F.col("_listed"), "left")
-        out = probe.withColumn("hit", F.col("_listed").isNotNull())
+        probe = probe.withColumn("__probe", F.when(F.col("possible"), F.col("__key"))).join(F.broadcast(keys), F.col("__probe") == F.col("__listed"), "left")
+        out = probe.withColumn("hit", F.col("__listed").isNotNull())
     else:
         maybe = probe.where("possible")
-        hits = maybe.select(F.col("_key").alias("_hit")).distinct().join(keys, F.col("_hit") == F.col("_listed"), "left_semi")
-        out = maybe.join(hits, F.col("_key") == F.col("_hit"), "left").withColumn("hit", F.col("_hit").isNotNull()).drop("_hit").unionByName(probe.where(~F.col("possible")).withColumn("hit", F.lit(False)))
+        hits = maybe.select(F.col("__key").alias("__hit")).distinct().join(keys, F.col("__hit") == F.col("__listed"), "left_semi")
+        out = maybe.join(hits, F.col("__key") == F.col("__hit"), "left").withColumn("hit", F.col("__hit").isNotNull()).drop("__hit").unionByName(probe.where(~F.col("possible")).withColumn("hit", F.lit(False)))
     rule, verdict = match_rule(F.col("host"), F.col("path"), list(rules))
     out = out.withColumns({"rule": rule, "verdict": F.coalesce(verdict, F.when(F.col("hit"), "block").otherwise("allow"))})
-    return out.drop("_key", "_block", "_probe", "_listed", *[f"w{i}" for i in range(WORDS)])
+    return out.drop("__key", "__block", "__probe", "__listed", *[f"__w{i}" for i in range(WORDS)])

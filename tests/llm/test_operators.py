@@ -1,0 +1,495 @@
+"""Each operator against brute force, an exact round trip or held-out accuracy, and on the awkward inputs."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from evidora.llm import ann, decontaminate, license_scan, near_dedup, packing, pii, queries, substring_dedup, token_counts, toxicity, url_filter
+from evidora.llm.common import table
+from evidora.llm.tokens import default_path
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+PROSE = "Over the hills a slow train carried letters, flour and two quiet clerks to the port of Saint Aubin. "
+
+
+def frame(spark, texts, ids=None):
+    return spark.createDataFrame([(i if ids is None else ids[i], t, "en", "s", None) for i, t in enumerate(texts)], DOCS)
+
+
+# ---- 1 url filter
+
+
+def brute_url(url):
+    after = url.split("://", 1)[1] if url and "://" in url else ""
+    host = re.match(r"[^/?#]*", after).group()
+    path = re.match(r"[^?#]*", after[len(host) :]).group()
+    return host.translate(str.maketrans(url_filter.UPPER, url_filter.LOWER)), path
+
+
+@pytest.mark.parametrize("broadcast", [url_filter.BROADCAST_BYTES, 0])
+def test_url_filter(spark, broadcast):
+    urls = [None, "", "no scheme", "http://A.example.NET/en/x?q=1", "https://x.net", "http://x.net/", "http://net/a", "http://b.example.com/de/", "http://org/fr/1", "http://a.org/fr", "http://WWW.bad.test:80//p//1/?utm_source=z&b=2&a=1#f", "http://bad.test/p/1?a=1&b=2", "http://bad.test/p/2", "http://good.test/p/1?x=://y", "http://bad.test/p/2", "http://É.net/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("w0", F.lit(1)).withColumn("verdict", F.lit("?"))
+    listed = spark.createDataFrame([("http://bad.test/p/1?b=2&a=1",), (None,), ("https://www.bad.test/p/2/",)], "url string")
+    got = {r.page_id: r for r in url_filter.filter_urls(pages.select("page_id", "url"), listed, queries.RULES, broadcast_bytes=broadcast).collect()}
+    assert len(got) == len(urls)
+    for i, u in enumerate(urls):
+        assert (got[i].host, got[i].path) == brute_url(u)
+        assert got[i].hit <= got[i].possible
+    assert [got[i].verdict for i in range(len(urls))] == ["allow"] * 4 + ["allow", "block", "block", "block", "allow", "allow", "block", "block", "block", "allow", "block", "block"]
+    assert [got[i].rule for i in (3, 4, 5, 7, 8, 10)] == ["example.net/en/", None, "net/", "example.com/de/", "org/fr/", None]
+    empty = url_filter.filter_urls(pages.where("false"), listed.where("false"), [], broadcast_bytes=broadcast)
+    assert empty.count() == 0
+
+
+def test_bloom_filter_misses_nothing_and_passes_few(spark):
+    listed = queries.listed_urls(spark)
+    other = spark.range(20000).select(F.format_string("http://else.test/%d", "id").alias("url"))
+    out = url_filter.filter_urls(listed.union(other), listed)
+    n = out.groupBy("hit").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("possible").cast("int")).alias("p")).collect()
+    by = {r.hit: r for r in n}
+    assert by[True].n == by[True].p == 80000
+    assert by[False].p < 0.01 * by[False].n
+
+
+# ---- 2 substring dedup
+
+
+def brute_repeats(texts, length):
+    raw = [(t or "").encode() for t in texts]
+    n = Counter(t[i : i + length] for t in raw for i in range(len(t) - length + 1))
+    out = []
+    for t in raw:
+        hit = np.zeros(len(t), dtype=bool)
+        for i in range(len(t) - length + 1):
+            if n[t[i : i + length]] > 1:
+                hit[i : i + length] = True
+        runs = int((np.diff(np.concatenate([[0], hit.astype(int)])) == 1).sum())
+        out.append((len(t), int(hit.sum()), runs, hashlib.sha256(bytes(b for b, h in zip(t, hit) if not h)).hexdigest()))
+    return out
+
+
+def repeats_of(spark, texts, params, ids=None):
+    df = substring_dedup.remove_repeats(frame(spark, texts, ids), params)
+    return sorted((r.doc_id is None, r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in df.collect())
+
+
+@pytest.mark.parametrize("hot", [20000, 2])
+def test_repeated_substrings_against_brute_force(spark, hot):
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdé") for _ in range(rnd.randint(1, 7)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    shared = [prose(30) for _ in range(4)]
+    texts = [None, "", "short", "a" * 700, "ab" * 50, shared[0], shared[0]]
+    for _ in range(60):
+        parts = [prose(rnd.randint(0, 25)) for _ in range(3)]
+        for _ in range(rnd.randint(0, 2)):
+            s = rnd.choice(shared)
+            a = rnd.randint(0, 60)
+            parts.insert(rnd.randint(0, len(parts)), s[a : a + rnd.randint(20, 120)])
+        texts.append("".join(parts))
+    texts += [texts[20], texts[21] + "x" + texts[21]]
+    p = substring_dedup.Params(length=40, gram=8, hot=hot, chunk=64)
+    got = [x[2] for x in repeats_of(spark, texts, p)]
+    assert got == brute_repeats(texts, 40)
+
+
+def test_repeats_in_real_documents(spark, sf_small):
+    docs = table(spark, sf_small, "documents")
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in queries.op2_substring_dedup(spark, sf_small).collect()}
+    assert got == dict(zip(rows, brute_repeats(list(rows.values()), 400)))
+
+
+def test_repeats_with_null_and_repeated_ids(spark):
+    long = PROSE * 6
+    texts = [long, long, "q" + "".join(chr(97 + i * i % 23) for i in range(900))]
+    got = repeats_of(spark, texts, substring_dedup.Params(), [None, None, 3])
+    want = brute_repeats(texts, 400)
+    assert [x[2] for x in got] == [want[2], want[0], want[1]]
+    assert repeats_of(spark, [], substring_dedup.Params()) == []
+
+
+def test_suffix_sort_orders_and_recovers_from_hash_collisions(monkeypatch):
+    rnd = random.Random(2)
+    raw = [bytes(rnd.choice(b"ab") for _ in range(rnd.randint(0, 30))) for _ in range(300)]
+    group = np.sort(np.array([rnd.randint(0, 20) for _ in raw]))
+    want = sorted(range(len(raw)), key=lambda i: (group[i], raw[i]))
+    for broken in (False, True):
+        s = substring_dedup.Suffixes(raw, 30)
+        if broken:
+            s.sums[:] = s.sums % np.uint64(3)
+        order, common = s.neighbours(group)
+        assert [raw[i] for i in order] == [raw[i] for i in want]
+        for x in range(1, len(raw)):
+            a, b = raw[order[x - 1]], raw[order[x]]
+            k = next((i for i, (c, d) in enumerate(zip(a, b)) if c != d), min(len(a), len(b)))
+            assert common[x] == (k if group[order[x]] == group[order[x - 1]] else -1)
+
+
+# ---- 3 near-duplicates
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_banded_distance_against_brute_force():
+    rnd = random.Random(1)
+    for _ in range(1500):
+        a = [rnd.randrange(4) for _ in range(rnd.randrange(0, 30))]
+        b = list(a)
+        for _ in range(rnd.randrange(0, 9)):
+            i = rnd.randrange(len(b) + 1)
+            b[i : i + rnd.randrange(2)] = [rnd.randrange(4) for _ in range(rnd.randrange(2))]
+        k, d = rnd.randrange(0, 12), distance(a, b)
+        assert near_dedup.banded_distance(np.array(a, int), np.array(b, int), k) == min(d, k + 1)
+
+
+def near_texts():
+    rnd = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    base = [[rnd.choice(vocabulary) for _ in range(rnd.randint(60, 200))] for _ in range(40)]
+    passage = [rnd.choice(vocabulary) for _ in range(25)]
+    texts, truth = [], []
+    for g, words in enumerate(base):
+        for _ in range(rnd.choice([1, 1, 2, 5])):
+            w = list(words)
+            for _ in range(len(w) // 50):
+                i = rnd.randrange(len(w))
+                w[i : i + 1] = [rnd.choice(vocabulary)] * rnd.randrange(3)
+            texts.append(" ".join(w))
+            truth.append(g)
+    for g in range(60):  # one passage in many texts that are not alike
+        texts.append(" ".join(passage + [rnd.choice(vocabulary) for _ in range(40)]))
+        truth.append(100 + g)
+    return texts, truth
+
+
+def test_near_duplicates_find_the_groups(spark):
+    texts, truth = near_texts()
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(frame(spark, texts)).collect()}
+    first = {}
+    for i, g in enumerate(truth):
+        first.setdefault(g, i)
+    assert got == {i: first[g] for i, g in enumerate(truth)}
+
+
+def test_near_duplicates_awkward_rows(spark):
+    long = PROSE * 8
+    texts = [None, "", None, "!!", long, long, long.upper() + " EXTRA", "one two", "one two", "Two One"]
+    ids = [0, 1, 2, 3, 4, 4, 6, 7, None, 9]
+    rows = near_dedup.near_duplicates(frame(spark, texts, ids)).collect()
+    assert sorted((str(r.doc_id), r.class_id) for r in rows) == sorted([("0", 0), ("1", 1), ("2", 2), ("3", 3), ("4", 4), ("4", 4), ("6", 4), ("7", 7), ("None", 7), ("9", 9)])
+    kept = near_dedup.keep_one(frame(spark, texts, ids))
+    assert kept.columns == [c.split()[0] for c in DOCS.split(", ")]
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["0", "1", "2", "3", "4", "7", "9"]
+    assert near_dedup.near_duplicates(frame(spark, [])).count() == 0
+
+
+def test_components(spark):
+    rnd = random.Random(8)
+    edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1060)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = {r.key: r.root for r in near_dedup.components(df).collect()}
+    assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
+
+
+# ---- 4 token counts
+
+
+def test_token_counts_against_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(default_path())
+    texts = [None, "", "a", PROSE, PROSE * 40, PROSE, "<|endoftext|> kept as one id", "naïve – Ünïcode 日本", " " * 50]
+    n = [len(t.encode(x or "", add_special_tokens=False).ids) for x in texts]
+    sums = token_counts.suffix_sums(token_counts.length_histogram(token_counts.token_lengths(frame(spark, texts))))
+    got = {r.n_tokens: r for r in sums.collect()}
+    assert sorted(got) == sorted(set(n))
+    for limit, r in got.items():
+        assert r.n_docs == n.count(limit)
+        assert r.docs_longer == sum(x > limit for x in n)
+        assert r.tokens_total == sum(n) and r.docs_total == len(n)
+        assert r.tokens_within == sum(x for x in n if x <= limit)
+        assert r.tokens_truncated == sum(min(x, limit) for x in n)
+    cut = {r.limit: r.tokens_truncated for r in token_counts.truncated_totals(sums, (0, 7, 10**6)).collect()}
+    assert cut == {k: sum(min(x, k) for x in n) for k in (0, 7, 10**6)}
+    assert token_counts.quantile(sums, 0.5).first().n_tokens == sorted(n)[4]
+    assert token_counts.suffix_sums(token_counts.length_histogram(token_counts.token_lengths(frame(spark, [])))).count() == 0
+
+
+# ---- 5 decontamination
+
+
+def best_match(item, words):
+    """Least distance of item to any stretch of words."""
+    row = list(range(len(item) + 1))
+    best = row[-1]
+    for w in words:
+        new = [0]
+        for j, x in enumerate(item, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != w)))
+        row = new
+        best = min(best, row[-1])
+    return best
+
+
+def test_items_found_within_the_budget_and_only_there(spark):
+    rnd = random.Random(4)
+    vocabulary = [f"v{i}" for i in range(60)]
+    items = [" ".join(rnd.choice(vocabulary) for _ in range(rnd.randint(1, 40))) for _ in range(25)] + ["", None]
+    texts = [None, ""]
+    for i in range(120):
+        w = [rnd.choice(vocabulary) for _ in range(rnd.randint(0, 60))]
+        if i % 2:
+            x = rnd.choice(items[:25]).split()
+            for _ in range(rnd.randrange(0, 9)):
+                k = rnd.randrange(len(x) + 1)
+                x[k : k + rnd.randrange(2)] = [rnd.choice(vocabulary)] * rnd.randrange(2)
+            at = rnd.randrange(len(w) + 1)
+            w[at:at] = [y.upper() + "!" for y in x]
+        texts.append(" ".join(w))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = {}
+    for d, t in enumerate(texts):
+        for i, x in enumerate(items):
+            w = decontaminate.normal_words(x)
+            if w:
+                m = best_match(w, decontaminate.normal_words(t))
+                if m <= int(len(w) * 0.2 + 1e-9):
+                    want[d, i] = m
+    for block in (10**6, 200):
+        got = {(r.doc_id, r.item_id): r.distance for r in decontaminate.match_items(frame(spark, texts), bench, block_chars=block).collect()}
+        assert got == want
+    kept = {r.doc_id for r in decontaminate.drop_contaminated(frame(spark, texts), bench).collect()}
+    assert kept == set(range(len(texts))) - {d for d, _ in want}
+    assert decontaminate.match_items(frame(spark, []), bench).count() == 0
+    assert decontaminate.match_items(frame(spark, texts), bench.where("false")).count() == 0
+
+
+# ---- 6 toxicity
+
+
+def auc(score, label):
+    order = np.argsort(score, kind="stable")
+    rank = np.empty(len(score))
+    rank[order] = np.arange(1, len(score) + 1)
+    for s in np.unique(score):
+        rank[score == s] = rank[score == s].mean()
+    pos = label == 1
+    return (rank[pos].sum() - pos.sum() * (pos.sum() + 1) / 2) / (pos.sum() * (~pos).sum())
+
+
+def test_toxicity_on_held_out_documents(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = {r.doc_id: r for r in queries.op6_toxicity(spark, sf).collect()}
+    labels = {r.doc_id: r.toxic for r in table(spark, sf, "labels").collect()}
+    assert len(rows) == 10000
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in rows.items())
+    held = [i for i in labels if rows[i].held_out]
+    score, y = np.array([rows[i].score for i in held]), np.array([labels[i] for i in held])
+    predicted = np.array([rows[i].predicted for i in held])
+    assert ((score >= 0) & (score <= 1)).all()
+    assert auc(score, y) > 0.97
+    assert (predicted == y).mean() > 0.96
+    assert predicted[y == 1].mean() > 0.85 and predicted[y == 0].mean() < 0.02
+
+
+def test_toxicity_locates_sentences_and_takes_awkward_rows(spark):
+    rnd = random.Random(6)
+    word = lambda: rnd.choice(["stone", "river", "tall", "under", "green", "market", "window", "paper"])
+    texts, y = [], []
+    for i in range(400):
+        s = [" ".join(word() for _ in range(6)) for _ in range(5)]
+        if i % 4 == 0:
+            s[rnd.randrange(5)] += " vile wretch"
+        texts.append(". ".join(s))
+        y.append(int(i % 4 == 0))
+    model = toxicity.fit(texts, np.array(y), 0.25)
+    docs = frame(spark, [texts[0], texts[1], None, "", "."], [None, 1, 2, 2, 3]).withColumn("score", F.lit("clash"))
+    got = [r.score for r in toxicity.score_documents(docs.drop("score"), model).collect()]
+    assert got[0] > 0.7 and max(got[1:]) < 0.3
+    spans = toxicity.offending_sentences(docs, model).collect()
+    assert len(spans) == 1 and b"vile wretch" in texts[0].encode()[spans[0].start : spans[0].end]
+    labels = spark.createDataFrame([(1, 0), (2, None), (None, 1)], "doc_id long, toxic int")
+    flat = toxicity.train(docs, labels)
+    assert toxicity.score_documents(docs.drop("score"), flat).agg(F.max("score")).first()[0] == 0.0
+
+
+# ---- 7 personal data
+
+PII_TEXTS = [
+    "Mail Anna.Berg77@mail4.example.com or anna.berg77@MAIL4.example.com, not bob@x.org.",
+    "Call +1 (017) 555-7713 or 415-555-0199; card 9807915762804490 or 4111 1111 1111 1111.",
+    "From 97.51.17.173 to 10.0.0.1, version 1.2.3.4.5 is none. token = \"9b0b3c6a43eb78aa99cbd7049c572391524f37a8\"",
+    "TOKEN = \"9233A8ECF7C5B09FE5949719B6B82BC439E9329B\" and SSN 123-45-6789.",
+    "Frau Müller met Mr. John Smith; Mr. John Smith knew г-н Иванов and Mrs. Jane Roe.",
+    "Nothing personal: 12 apples, 3.14, 1999-2000 and e@ nor @f.",
+    "ünï.34@mail7.example.com said 97.51.17.173",
+]
+
+
+def test_surrogates(spark):
+    docs = frame(spark, [*PII_TEXTS, None, "", PII_TEXTS[0]]).withColumn("kind", F.lit("kept"))
+    rows = {r.doc_id: r for r in pii.replace_pii(docs, found="n_entities").collect()}
+    assert rows[7].text is None and rows[7].n_entities == 0 and rows[8].text == "" and rows[0].kind == "kept"
+    assert rows[5].text == PII_TEXTS[5] and rows[9].text == rows[0].text
+    for gone in ("nna.", "bob@", "555-7713", "98079157", "4111", "97.51.17.173", "10.0.0.1", "9b0b3c", "9233A8", "123-45", "Müller", "Smith", "Иванов", "Roe", "ünï"):
+        assert not any(gone in rows[i].text for i in range(7)), gone
+    a = re.fullmatch(r"Mail (\S+@\S+\.com) or (\S+@\S+\.com), not (\w{3}@\w\.org)\.", rows[0].text)
+    assert a and a[1].lower() == a[2].lower() and re.fullmatch(r"[A-Z][a-z]{3}\.[A-Z][a-z]{3}\d\d@[a-z]{4}\d\.[a-z]{7}\.com", a[1])
+    assert re.fullmatch(r"Call \+1 \(\d{3}\) \d{3}-\d{4} or \d{3}-\d{3}-\d{4}; card \d{16} or \d{4} \d{4} \d{4} \d{4}\.", rows[1].text)
+    ip = re.search(r"From ([\d.]+) to", rows[2].text)[1]
+    assert all(0 <= int(x) < 256 for x in ip.split(".")) and rows[6].text.endswith(ip) and "version 1.2.3.4.5 is none" in rows[2].text
+    assert re.search(r'"[0-9a-f]{40}"', rows[2].text) and re.search(r'"[0-9A-F]{40}" and SSN \d{3}-\d{2}-\d{4}', rows[3].text)
+    n = re.fullmatch(r"Frau (\w+) met Mr\. (\w+ \w+); Mr\. (\w+ \w+) knew г-н ([а-яА-Я]+) and Mrs\. (\w+ \w+)\.", rows[4].text)
+    assert n and n[2] == n[3] and n[1].endswith("lia") and n[2].split()[0].endswith("rek") and n[4].endswith("рек") and n[5].split()[0].endswith("lia")
+
+
+def test_surrogates_stay_distinct(spark):
+    forms = [(k, f) for k in ("card",) for f in (f"{i:013d}" for i in range(3000))] + [("email", f"{a}@{b}.co") for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxy"] + [("ip", f"1.2.{i}.{j}") for i in range(20) for j in range(50)]
+    found = spark.createDataFrame(forms, "kind string, form string")
+    redrawn = pii.collisions(found)
+    both = found.join(redrawn, ["kind", "form"], "left").withColumn("new", pii.surrogate_form("evidora", F.col("kind"), F.col("form"), F.coalesce("attempt", F.lit(0))))
+    assert redrawn.count() > 0  # 650 emails over 676 places must collide
+    by = both.where("kind <> 'email'").groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("new").alias("d")).collect()
+    assert all(r.n == r.d for r in by)
+
+
+def test_many_overrides_are_joined(spark, monkeypatch):
+    texts = [f"to {c}@{d}.co" for c in "abcdefgh" for d in "abcdefgh"]
+    few = {r.doc_id: r.text for r in pii.replace_pii(frame(spark, texts)).collect()}
+    monkeypatch.setattr(pii, "LITERAL_OVERRIDES", 0)
+    assert {r.doc_id: r.text for r in pii.replace_pii(frame(spark, texts)).collect()} == few
+    assert len(set(few.values())) == len(few)
+
+
+# ---- 8 packing
+
+
+def test_packing_round_trip(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(default_path())
+    texts = [None, "", "a b", PROSE * 90, PROSE * 3, PROSE * 3, *[PROSE * (1 + i % 17) + str(i) for i in range(200)]]
+    rows = packing.pack_documents(frame(spark, texts)).collect()
+    check_packing(rows, {i: [*t.encode(x or "", add_special_tokens=False).ids, 2] for i, x in enumerate(texts)}, 1024)
+    assert packing.pack_documents(frame(spark, [])).count() == 0
+
+
+def check_packing(rows, ids, limit):
+    by_doc, by_seq = defaultdict(list), defaultdict(list)
+    for r in rows:
+        by_doc[r.doc_id].append(r)
+        by_seq[r.sequence_id].append((r.offset, r.length))
+        assert zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32
+    assert set(by_doc) == set(ids)
+    for d, own in by_doc.items():
+        own.sort(key=lambda r: r.piece)
+        assert [r.piece for r in own] == list(range(len(own)))
+        assert [r.start for r in own] == [sum(x.length for x in own[:i]) for i in range(len(own))]
+        assert sum(r.length for r in own) == len(ids[d]) and all(r.length == limit for r in own[1:])
+    for own in by_seq.values():
+        own.sort()
+        assert [o for o, _ in own] == [sum(n for _, n in own[:i]) for i in range(len(own))]
+        assert sum(n for _, n in own) <= limit
+    total = sum(map(len, ids.values()))
+    assert len(by_seq) <= -(-total // limit) * 1.02 + 1
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_plan_keeps_every_capacity(rule):
+    rnd = np.random.default_rng(1)
+    counts = np.zeros(101, dtype=np.int64)
+    counts[1:101] = rnd.integers(0, 300, 100)
+    cap = packing.Capacity(tokens=100, documents=6, attention=6000, rule=rule) if rule == "dot" else packing.Capacity(tokens=100, documents=5, attention=10000)
+    if rule == "dot":
+        counts[78:] = 0
+    plan = packing.fill_plan(counts, cap)
+    used = np.zeros(101, dtype=np.int64)
+    for filling, times in plan:
+        assert sum(s * n for s, n in filling) <= cap.tokens
+        assert sum(n for _, n in filling) <= cap.documents
+        assert sum(s * s * n for s, n in filling) <= cap.attention
+        for s, n in filling:
+            used[s] += n * times
+    assert (used == counts).all()
+
+
+# ---- 9 nearest neighbours
+
+
+def test_recall_and_order(spark):
+    rnd = np.random.default_rng(9)
+    centres = rnd.normal(size=(40, 24))
+    x = (centres[rnd.integers(0, 40, 6000)] + rnd.normal(size=(6000, 24)) * 0.7).astype(np.float32)
+    x[100:400] = x[100]  # copies
+    rows = [(i, [float(v) for v in r], 0) for i, r in enumerate(x)]
+    rows += [(6000, None, 0), (6001, [0.0] * 24, 0), (6002, [float("nan")] * 24, 0), (6003, [None] * 24, 0), (6004, [1.0] * 3, 0), (None, rows[5][1], 0), (6100, [0.0] * 24, 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = defaultdict(list)
+    p = ann.Params(sample=3000, part_rows=200, block_rows=500, block_queries=16)
+    for r in ann.search(df, df.where("vec_id % 100 = 0"), p).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    x = x.astype(float)
+    hits = total = 0
+    for q in range(0, 6000, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        best = np.lexsort((np.arange(6000), d))[:10]
+        hits += len({i for i, _ in got[q]} & set(best.tolist()))
+        total += 10
+        assert len(got[q]) == 10 and got[q] == sorted(got[q], key=lambda y: (y[1], y[0]))
+        assert all(abs(s - d[i]) < 1e-12 for i, s in got[q])
+    assert set(got) == set(range(0, 6000, 100))
+    assert hits / total >= 0.9
+    assert [i for i, _ in got[100]] == list(range(101, 111)) and [i for i, _ in got[200]] == list(range(100, 110))
+
+
+def test_few_vectors(spark):
+    df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 1.0]), (2, [3.0, 2.0])], "vec_id long, embedding array<double>")
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in ann.search(df, df.where("vec_id = 0")).orderBy("rank").collect()]
+    assert got == [(0, 1, 1, 1.0), (0, 2, 2, 2.0)]
+    assert ann.search(df.where("false"), df.where("false")).count() == 0
+
+
+# ---- 10 licences
+
+
+def test_licence_scan_against_brute_force(spark):
+    grams = lambda t: {(w[i], w[i + 1]) for w in [re.findall(r"[^\W_]+", t.lower())] for i in range(len(w) - 1)} or {(w[0], w[0]) for w in [re.findall(r"[^\W_]+", t.lower())] if w}
+    texts = [None, "", "\n\n", "x\nReleased under the MIT License.\nThis work is licensed under the GNU General Public License, version 9.", "RELEASED   under the *MIT* license", "Licensed under the Apache License, Version 2.0. More words follow here to end", "Licensed under CC BY-NC 4.0.", "mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and its documentation files (the Software), to deal in the Software without restriction", PROSE * 300]
+    want = {}
+    for d, t in enumerate(texts):
+        for k, line in enumerate((t or "").split("\n")):
+            own = grams(line)
+            best = max(((2 * len(own & grams(w)) / (len(own) + len(grams(w))), [-ord(c) for c in n], n) for n, w in license_scan.TEMPLATES if own), default=(0,))
+            if best[0] >= 0.8:
+                want[d, k] = (best[2], round(best[0], 6))
+    docs = frame(spark, texts).withColumn("line", F.lit("clash"))
+    got = {(r.doc_id, r.line): (r.template, r.dice) for r in license_scan.scan_licences(docs).collect()}
+    assert got == want and len(want) == 5
+    assert license_scan.scan_licences(frame(spark, [])).count() == 0
