@@ -82,7 +82,7 @@ def document_odds(z: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return np.clip(np.log(np.expm1(np.clip(s, 1e-13, 50))), -30, 50)
 
 
-def fit(texts: list[str], labels: np.ndarray, share: float, held_out_share: float = 0.25, steps: int = 60, rate: float = 0.1, decay: float = 1e-4, seed: int = 7) -> Model:
+def fit(texts: list[str], labels: np.ndarray, share: float, held_out_share: float = 0.25, steps: int = 60, rate: float = 0.1, decay: float = 0.1, evidence: float = 20.0, seed: int = 7) -> Model:
     """Adam on the mean noisy-or loss. share: of positives among all labels, to which the scores are scaled."""
     if len(set(labels.tolist())) < 2:
         return Model(np.zeros(1 << BITS, dtype=np.float32), 0.0, constant=float(share))
@@ -94,10 +94,13 @@ def fit(texts: list[str], labels: np.ndarray, share: float, held_out_share: floa
         x, sentence, doc = features([t for t, m in zip(texts, mask) if m])
         parts.append((x, sentence, doc, labels[mask].astype(float)))
     x, sentence, doc, y = parts[0]
-    flat = x.ravel()
-    used, inverse = np.unique(flat, return_inverse=True)
-    inverse = inverse.reshape(x.shape).astype(np.int32)
-    del flat
+    # only features whose documents differ between the classes beyond chance are weighted; the others share one weight of zero
+    seen = np.unique(x.astype(np.int64) * len(y) + doc[sentence] if x.shape[1] else np.zeros(0, dtype=np.int64))
+    often = telling(seen // len(y), y[seen % len(y)], y) >= evidence
+    number = np.where(often, np.cumsum(often), 0).astype(np.int32)
+    used = np.concatenate([[0], np.flatnonzero(often)])
+    inverse = number[x]
+    del seen
     w, m1, m2 = np.zeros(len(used)), np.zeros(len(used)), np.zeros(len(used))
     n_sent = len(doc)
     bias, b1, b2 = -5.0, 0.0, 0.0
@@ -114,9 +117,10 @@ def fit(texts: list[str], labels: np.ndarray, share: float, held_out_share: floa
         b1, b2 = 0.9 * b1 + 0.1 * gb, 0.99 * b2 + 0.01 * gb * gb
         step = rate / (1 - 0.9**t) * np.sqrt(1 - 0.99**t)
         w -= step * m1 / (np.sqrt(m2) + 1e-8)
+        w[0] = 0.0
         bias -= step * b1 / (np.sqrt(b2) + 1e-8)
     weights = np.zeros(1 << BITS, dtype=np.float32)
-    weights[used] = w
+    weights[used[1:]] = w[1:]
     model = Model(weights, float(bias))
     x, sentence, doc, y = parts[1]
     odds = document_odds(sentence_logits(model, x, sentence, len(doc)), doc, len(y))
@@ -124,6 +128,14 @@ def fit(texts: list[str], labels: np.ndarray, share: float, held_out_share: floa
     return model
 
 
+def telling(feature: np.ndarray, label: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Chi-square of each feature's documents by class (feature, label: one entry for each feature of each document)."""
+    n1, n0 = y.sum(), (1 - y).sum()
+    d1, d0 = np.bincount(feature, weights=label, minlength=1 << BITS), np.bincount(feature, weights=1 - label, minlength=1 << BITS)
+    n, d = n1 + n0, d1 + d0
+    return n * (d1 * (n0 - d0) - d0 * (n1 - d1)) ** 2 / np.maximum(d * (n - d) * n1 * n0, 1e-9)
+
+
 def scale_scores(odds: np.ndarray, y: np.ndarray, share: float, steps: int = 200) -> tuple[float, float]:
     """Logistic fit of labels on log-odds with classes weighted to share; Newton steps, lightly damped."""
     weight = np.where(y > 0, share / max(1, (y > 0).sum()), (1 - share) / max(1, (y == 0).sum()))

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS = 8
-#: Odd multipliers, one for each word of a block.
-SALTS = tuple((0x9E3779B1 * (2 * i + 1)) % (1 << 31) | 1 for i in range(WORDS))
+#: Odd multipliers, one for each word of a block: the fixed values of the public Parquet split-block filter.
+SALTS = (0x47B6137B, 0x44974D91, 0x8824AD5B, 0xA2B7289D, 0x705495C7, 0x2DF1424B, 0x9EFC4947, 0x5C6BFB31)
 BITS_PER_KEY = 16
 #: A side is broadcast only if its counted rows times this many bytes fit below the bound.
 BROADCAST_BYTES, BLOCK_BYTES, KEY_BYTES = 32 << 20, 160, 400
@@ -75,7 +75,7 @@ def _block(key: Column, blocks: int) -> Column:
 def _masks(key: Column) -> list[Column]:
     """The bit of each word, from a hash that is independent of the block's."""
     low = F.xxhash64(key, F.lit(7)).bitwiseAND(F.lit((1 << 31) - 1))
-    return [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(low * F.lit(s), 26).bitwiseAND(F.lit(31)).cast("int")) for s in SALTS]
+    return [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(low * F.lit(s), 27).bitwiseAND(F.lit(31)).cast("int")) for s in SALTS]
 
 
 def build_bloom(listed: DataFrame, key: str, blocks: int) -> DataFrame:
