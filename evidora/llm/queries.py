@@ -89,8 +89,8 @@ SQL: dict[str, str] = {
 WITH u AS ({_HOST_PATH}),
 c AS (SELECT page_id, host, path,
   CASE WHEN host <> '' THEN regexp_replace(regexp_replace(host, ':(80|443)?$', ''), '^www\.', '') || regexp_replace(regexp_replace(path, '/+', '/', 'g'), '/$', '')
-    || CASE WHEN len(list_filter(string_split(query, '&'), x -> x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)'))) > 0
-       THEN '?' || array_to_string(list_sort(list_filter(string_split(query, '&'), x -> x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)'))), '&') ELSE '' END END AS k FROM u),
+    || CASE WHEN len(list_filter(string_split(query, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)'))) > 0
+       THEN '?' || array_to_string(list_sort(list_filter(string_split(query, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)'))), '&') ELSE '' END END AS k FROM u),
 listed AS (SELECT h || '/' || l || '/' || i AS k FROM unnest(['spam-farm.example.com', 'spam-farm.example.org']) a(h), unnest(['en', 'de', 'fr', 'es']) b(l), range(10000) r(i)),
 r AS (SELECT page_id, host, path, k, CASE
   WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
@@ -105,8 +105,8 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/
 
 def _licence_sql() -> str:
     values = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in license_scan.TEMPLATES)
-    words = lambda x: f"list_filter(string_split(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), w -> w <> '')"
-    grams = "CASE WHEN len(w) = 1 THEN [w[1] || ' ' || w[1]] ELSE list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) END"
+    words = lambda x: f"list_filter(string_split(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '')"
+    grams = "CASE WHEN len(w) = 1 THEN [w[1] || ' ' || w[1]] ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END"
     return f"""
 WITH t AS (SELECT template, {grams} AS g FROM (SELECT template, {words('wording')} AS w FROM (VALUES {values}) v(template, wording))),
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
