@@ -53,11 +53,38 @@ def test_score_answer(spark, pred, gold, kind, tolerance, want):
         ("12 V (not shown)", "numeric", "", "", "12 V"),
         ("12 instead of 14", "numeric", "", "", "12"),
         ("It draws 3 mA at 5 V and 4 mA at 6 V", "numeric", "", "What current does it draw?", "4 mA"),
-        ("0x0000", "exact_match", "", "value after reset", "All bits reset to zero"),
-        ("0x00ab", "exact_match", "", "Which address?", "0xAB"),
+        ("0x0000", "exact_match", "", "value after reset", "0 (reset value)"),
+        ("0x0000abcd", "exact_match", "", "Which address?", "0xABCD"),
+        ("Lanes Enabled; OxFF (CTRLO, CTRL1)", "exact_match", "", "", "0xFF (CTRL0, CTRL1)"),
+        ("little endian r0 = 0xab", "exact_match", "", "", "r0= 0xAB"),
+        ("r0 (0x5)", "exact_match", "", "", "r0 (0x5)"),
+        ("123, see the table", "exact_match", "", "On which page number is it?", "123"),
+        ("Electrical notes, page 7", "exact_match", "", "Which page does it refer to?", "Electrical notes; page 7"),
+        ("Timing 412", "exact_match", "", "What page shows 'Clock'?", "412"),
+        ("set to b0101 now", "exact_match", "", "Which setting?", "b0101"),
+        ("3.5 ppt", "exact_match", "", "If read without the note?", "3.5%"),
+        ("takes the Undefined exception path", "exact_match", "", "What is the result?", "Undefined exception"),
+        ("1 Reset; 2 Abort", "exact_match", "", "Which is handled first?", "Reset"),
+        ("[31:4], Reserved", "exact_match", "", "Which?", "[31:4]"),
+        ("FOO_A and its copy by FOO_A", "exact_match", "", "Which?", "FOO_A"),
+        ("a fully differential one", "exact_match", "", "Which input mode?", "Fully-differential input mode"),
+        ("ABC; DEF", "exact_match", "", "Which field is set?", "ABC"),
+        ("get_temp and C", "exact_match", "", "Which function and unit?", "get_temp(), C"),
+        ("Push-Pull Driver, Open Drain Driver, push pull driver", "exact_match", "", "Which configuration is it?", "Push-Pull Driver"),
+        ("Acme Corp and 12.5%", "exact_match", "finance", "How much?", "Acme Corp, 12.5%"),
+        ("March 12", "exact_match", "finance", "How much?", "March 12"),
+        ("Brazil, about 12%", "exact_match", "finance", "Which country leads?", "Brazil"),
+        ("Brazil and Chile", "exact_match", "finance", "Which country leads?", "Brazil"),
+        ("Both: the corresponding total was $1,200 which is the lowest", "exact_match", "finance", "", "1,200; minimum"),
+        ("It says that the registrant is a \"large filer\"", "exact_match", "", "Which classification?", "large filer"),
+        ("it is the Red bar", "exact_match", "", "Which (red bar, blue bar, or green bar)?", "Red bar"),
+        ("the lOUT curve", "exact_match", "", "Which variable is it, IOUT or VOUT?", "IOUT"),
+        ("Blue; the legend shows it", "exact_match", "", "Which?", "Blue"),
+        ("Europe: it grew", "exact_match", "", "Which region?", "Europe"),
         ("min 1 typ 2 max 3", "exact_match", "", "", "min: 1, typ: 2, max: 3"),
         ("(180), max", "exact_match", "finance", "", "-180; maximum"),
-        ("fw.bin, 12 KB; boot image", "exact_match", "datasheet", "", "fw.bin, 12 KB"),
+        ("5.5 V, typ", "numeric", "", "", "5.5 V, typ"),
+        ("fw.bin, 12 KB; the boot image", "exact_match", "datasheet", "", "fw.bin, 12 KB"),
         ("VCC=5V", "exact_match", "", "", "VCC = 5 V"),
         ("ABC 12. explained", "exact_match", "", "", "ABC_12"),
         ("John Smith — the chair", "exact_match", "finance", "", "John Smith"),
