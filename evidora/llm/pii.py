@@ -1,19 +1,25 @@
 """PII: detected entities get keyed surrogates of the same type, format, script and gender.
 
-Native: DataFrame functions only. One expression finds the entities of a text, splits the text around them and joins it
-again with their surrogates, so the usual case is a map over the corpus without a shuffle of texts.
+Native: DataFrame functions only.
 
-Surrogates are functions of (key, type, canonical form, attempt): one entity is replaced alike in every document, in
-whatever case or spacing it is written. Digit strings pass a keyed Feistel network over their digits, which is a bijection
-for each length, so phone, card and social security numbers and IP addresses stay distinct by construction; emails,
-secrets and names are drawn by hash. The distinct entities are then checked: where two of a type share a surrogate, or a
-surrogate is itself an entity of the corpus, later ones are redrawn with the next attempt until none collide.
+1. Lines that hold a digit, an '@' or a title are searched for entities; other lines cost one scan for these characters.
+2. The distinct entities of the corpus, counted on the map side, get their surrogates in a table of their own. One entity is
+   replaced alike in every document, in whatever case or spacing it is written.
+3. Collision checks on that table: where two of a type share a surrogate, or a surrogate is itself an entity of the corpus, later
+   ones are redrawn with the next attempt until none collide.
+4. Each distinct text with entities gets the map of its own, by a content key, and only such texts are shuffled to meet theirs;
+   the others pass by.
+
+Surrogates are functions of (key, type, canonical form, attempt). Digit strings pass a keyed Feistel network over their digits,
+which is a bijection for each length, so phone, card and social security numbers and IP addresses stay distinct by construction;
+emails, secrets and names are drawn by hash.
 
 Format: each digit, lower-case and upper-case letter is replaced by one of its kind, separators stay; names keep title,
-number of parts, script (Latin, Greek or Cyrillic) and the gender that the title states. The '+' country code stays.
+number of parts, script (Latin, Greek or Cyrillic) and the gender that the title states. The '+' country code stays. An email whose
+format leaves no free place grows by a letter.
 
 Defined results: a null text stays null with no entities; empty texts stay; repeated rows are replaced alike; other columns
-pass through unchanged.
+pass through unchanged. An entity lies within one line.
 """
 
 from __future__ import annotations
@@ -23,6 +29,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stage
+
 _TITLE_F = r"Mrs|Ms|Miss|Frau|Mme|Madame|Sra|Señora|Doña|Κα|Г-жа|г-жа|Госпожа"
 _TITLE_M = r"Mr|Herr|Monsieur|Sr|Señor|Don|Κος|Г-н|г-н|Господин"
 _CAP = r"(?:\p{Lu}[\p{Ll}'’]+)(?:-\p{Lu}\p{Ll}+)?"
@@ -38,6 +46,8 @@ PATTERNS: tuple[tuple[str, str], ...] = (
     ("name", rf"(?<![\p{{L}}])(?:{_TITLE_F}|{_TITLE_M})\.? {_CAP}(?: {_CAP}){{0,2}}"),
 )
 ENTITY = "|".join(p for _, p in PATTERNS)
+#: What a line must hold to be searched: titles by their first letters, so that most places fail on one character.
+GATE = r"[0-9@]|[MFSDΚГг](?:rs?|s|iss|rau|me|adame|ra|eñora|oña|onsieur|eñor|on|α|ος|-жа|-н|оспожа|осподин)\.? \p{Lu}|Herr\.? \p{Lu}"
 
 #: Syllables for names by script, and the endings that mark a gender.
 SYLLABLES = {
@@ -47,9 +57,7 @@ SYLLABLES = {
 }
 ENDINGS = {"latin": {"f": "lia", "m": "rek", "": "nis"}, "greek": {"f": "λια", "m": "ρεκος", "": "νις"}, "cyrillic": {"f": "лия", "m": "рек", "": "нис"}}
 ROUNDS = 4
-MAX_ATTEMPTS = 20
-#: So many redrawn entities are matched as a literal map in the expression; more are joined.
-LITERAL_OVERRIDES = 1000
+MAX_ATTEMPTS = 40
 
 
 @dataclass(frozen=True)
@@ -88,157 +96,139 @@ def _power(n: Column) -> Column:
     return F.element_at(F.array(*[F.lit(10**i).cast("long") for i in range(11)]), n + 1)
 
 
-def _feistel(key: str, tag: Column, left: Column, right: Column, m_left: Column, m_right: Column) -> tuple[Column, Column]:
-    """A keyed bijection on pairs (left < m_left, right < m_right)."""
-    for i in range(ROUNDS):
-        if i % 2:
-            right = F.pmod(right + _number(_seed(key, tag, F.lit(str(i)), left.cast("string"))), m_right)
-        else:
-            left = F.pmod(left + _number(_seed(key, tag, F.lit(str(i)), right.cast("string"))), m_left)
-    return left, right
-
-
-def _digits(key: str, kind: Column, digits: Column, attempt: Column) -> Column:
-    """A digit string of the same length; a bijection for each kind, length and attempt."""
-    n = F.length(digits)
-    half = (n / 2).cast("int")
-    left = F.coalesce(F.substring(digits, F.lit(1), half).try_cast("long"), F.lit(0).cast("long"))
-    right = F.coalesce(F.substring(digits, half + 1, n).try_cast("long"), F.lit(0).cast("long"))
-    tag = F.concat_ws(":", kind, n.cast("string"), attempt.cast("string"))
-    left, right = _feistel(key, tag, left, right, _power(half), _power(n - half))
-    return F.concat(F.lpad(left.cast("string"), half, "0"), F.lpad(right.cast("string"), n - half, "0"))
-
-
-def _ip(key: str, e: Column, attempt: Column) -> Column:
-    o = F.split(e, r"\.")
-    at = lambda i: F.coalesce(F.get(o, i).try_cast("long"), F.lit(0).cast("long"))
-    m = F.lit(65536).cast("long")
-    left, right = _feistel(key, F.concat_ws(":", F.lit("ip"), attempt.cast("string")), at(0) * 256 + at(1), at(2) * 256 + at(3), m, m)
-    return F.concat_ws(".", F.shiftright(left, 8), F.pmod(left, F.lit(256)), F.shiftright(right, 8), F.pmod(right, F.lit(256)))
-
-
-def _hex_stream(key: str, kind: Column, form: Column, attempt: Column, n: Column) -> Column:
-    """At least n hash characters (0-9a-f), from as many blocks of 64 as that takes."""
-    return F.array_join(F.transform(F.sequence(F.lit(0), (n / 64).cast("int")), lambda b: F.sha2(_seed(key, kind, form, attempt.cast("string"), b.cast("string")), 256)), "")
-
-
-def _like(e: Column, stream: Column, hexadecimal: bool) -> Column:
+def _like(e: Column, stream: Column, hexadecimal: Column) -> Column:
     """e with each letter and digit replaced by one of its kind; two stream characters decide one."""
-    chars = F.split(F.lower(e), "")
-    abc = F.lit("0123456789abcdef" if hexadecimal else "abcdefghijklmnopqrstuvwxyz")
 
     def one(c: Column, i: Column) -> Column:
         v = F.conv(F.substring(stream, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
-        letter = F.substring(abc, F.pmod(v, F.length(abc)) + 1, F.lit(1))
-        digit = F.pmod(v, F.lit(10)).cast("string")
-        return letter if hexadecimal else F.when(c.rlike("^[0-9]$"), digit).when(c.rlike(r"^\p{L}$"), letter).otherwise(c)
-
-    return F.array_join(F.transform(chars, one), "")
+        letter = F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), v % 26 + 1, F.lit(1))
+        digit = (v % 10).cast("string")
+        return F.when(hexadecimal, F.substring(F.lit("0123456789abcdef"), v % 16 + 1, F.lit(1))).when(c.rlike("^[0-9]$"), digit).when(c.rlike(r"^\p{L}$"), letter).otherwise(c)
 
+    return F.array_join(F.transform(F.split(e, ""), one), "")
 
-def _email(key: str, form: Column, attempt: Column) -> Column:
-    """Local part and host labels replaced; the domain ending and the punctuation stay."""
-    ending = F.regexp_extract(form, r"\.[a-z]+$", 0)
-    body = F.substring(form, F.lit(1), F.length(form) - F.length(ending))
-    return F.concat(_like(body, _hex_stream(key, F.lit("email"), form, attempt, F.length(form) * 2), False), ending)
 
+def _names(seed: Column, gender: Column, parts: Column, script: str) -> Column:
+    """As many capitalised words as parts, of four syllables drawn by hash; the first ends as the gender asks."""
+    syllables = F.array(*[F.lit(s) for s in SYLLABLES[script]])
+    end = F.when(gender == "f", ENDINGS[script]["f"]).when(gender == "m", ENDINGS[script]["m"]).otherwise(ENDINGS[script][""])
 
-def _name(key: str, form: Column, attempt: Column) -> Column:
-    """Title, then as many new parts; the first part ends as the gender of the title asks."""
-    title = F.regexp_extract(form, r"^\S+", 0)
-    parts = F.slice(F.split(form, " "), 2, F.greatest(F.size(F.split(form, " ")) - 1, F.lit(0)))
-    gender = F.when(title.rlike(f"^(?:{_TITLE_F})$"), "f").when(title.rlike(f"^(?:{_TITLE_M})$"), "m").otherwise("")
-    person = F.array_join(parts, " ")
+    def word(_: Column, i: Column) -> Column:
+        h = F.sha2(F.concat_ws("\x1f", seed, i.cast("string")), 256)
+        drawn = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.element_at(syllables, F.conv(F.substring(h, k * 4 + 1, F.lit(4)), 16, 10).cast("int") % len(SYLLABLES[script]) + 1))
+        return F.initcap(F.concat(F.array_join(drawn, ""), F.when(i == 0, end).otherwise("")))
 
-    def word(i: Column, script: str) -> Column:
-        syllables = F.array(*[F.lit(s) for s in SYLLABLES[script]])
-        h = F.sha2(_seed(key, F.lit("name"), person, gender, attempt.cast("string"), i.cast("string")), 256)
-        pick = lambda k: F.element_at(syllables, F.pmod(F.conv(F.substring(h, 4 * k + 1, 4), 16, 10).cast("int"), F.size(syllables)) + 1)
-        end = F.when(gender == "f", ENDINGS[script]["f"]).when(gender == "m", ENDINGS[script]["m"]).otherwise(ENDINGS[script][""])
-        return F.initcap(F.concat(*[pick(k) for k in range(4)], F.when(i == 0, end).otherwise("")))
+    return F.array_join(F.transform(parts, word), " ")
 
-    def names(script: str) -> Column:
-        return F.array_join(F.transform(parts, lambda p, i: word(i, script)), " ")
 
-    new = F.when(person.rlike(r"\p{IsCyrillic}"), names("cyrillic")).when(person.rlike(r"\p{IsGreek}"), names("greek")).otherwise(names("latin"))
-    return F.concat_ws(" ", title, new)
+def draw(df: DataFrame, key: str) -> DataFrame:
+    """df (kind, form, attempt, ...) with new: the surrogate, itself in canonical form.
 
-
-def surrogate_form(key: str, kind: Column, form: Column, attempt: Column) -> Column:
-    """The surrogate of a canonical form, itself in canonical form."""
-    secret = _like(form, _hex_stream(key, F.lit("secret"), form, attempt, F.length(form) * 2), True)
-    phone = F.concat(F.substring(form, F.lit(1), F.greatest(F.length(form) - 10, F.lit(0))), _digits(key, kind, F.substring(form, F.greatest(F.length(form) - 10, F.lit(0)) + 1, F.lit(10)), attempt))
-    return F.when(kind == "phone", phone).when(kind.isin("ssn", "card"), _digits(key, kind, form, attempt)).when(kind == "ip", _ip(key, form, attempt)).when(kind == "secret", secret).when(kind == "name", _name(key, form, attempt)).otherwise(_email(key, form, attempt))
+    Every step is a column of its own, so that no expression holds another twice.
+    """
+    long = lambda c: F.coalesce(c.try_cast("long"), F.lit(0).cast("long"))
+    ip, phone, kept = F.col("kind") == "ip", F.col("kind") == "phone", df.columns
+    cut = F.greatest(F.length("form") - 10, F.lit(0))
+    df = df.withColumns({"_d": F.when(phone, F.substring(F.col("form"), cut + 1, F.lit(10))).when(F.col("kind").isin("ssn", "card"), F.col("form")).otherwise(""), "_o": F.split("form", r"\."), "_prefix": F.when(phone, F.substring(F.col("form"), F.lit(1), cut)).otherwise("")})
+    df = df.withColumns({"_n": F.length("_d"), "_h": (F.length("_d") / 2).cast("int")})
+    df = df.withColumns({
+        "_l": F.when(ip, long(F.get("_o", 0)) * 256 + long(F.get("_o", 1))).otherwise(long(F.substring(F.col("_d"), F.lit(1), F.col("_h")))),
+        "_r": F.when(ip, long(F.get("_o", 2)) * 256 + long(F.get("_o", 3))).otherwise(long(F.substring(F.col("_d"), F.col("_h") + 1, F.col("_n")))),
+        "_ml": F.when(ip, F.lit(65536).cast("long")).otherwise(_power(F.col("_h"))),
+        "_mr": F.when(ip, F.lit(65536).cast("long")).otherwise(_power(F.col("_n") - F.col("_h"))),
+        "_tag": F.concat_ws(":", "kind", F.col("_n").cast("string"), F.col("attempt").cast("string")),
+    })
+    for i in range(ROUNDS):  # a keyed bijection on pairs (l < ml, r < mr)
+        a, b, m = ("_r", "_l", "_mr") if i % 2 else ("_l", "_r", "_ml")
+        df = df.withColumn(a, F.pmod(F.col(a) + _number(_seed(key, F.col("_tag"), F.lit(str(i)), F.col(b).cast("string"))), F.col(m)))
+    df = df.withColumn("_digits", F.concat("_prefix", F.lpad(F.col("_l").cast("string"), F.col("_h"), "0"), F.lpad(F.col("_r").cast("string"), F.col("_n") - F.col("_h"), "0")))
+    octets = [F.shiftright("_l", 8), F.col("_l") % 256, F.shiftright("_r", 8), F.col("_r") % 256]
+    df = df.withColumn("_ip", F.concat_ws(".", *[o.cast("string") for o in octets]))
+    blocks = F.sequence(F.lit(0), ((F.length("form") * 2 + 64) / 64).cast("int"))
+    df = df.withColumn("_stream", F.array_join(F.transform(blocks, lambda b: F.sha2(_seed(key, F.col("kind"), F.col("form"), F.col("attempt").cast("string"), b.cast("string")), 256)), ""))
+    df = df.withColumn("_end", F.when(F.col("kind") == "email", F.regexp_extract("form", r"\.[a-z]+$", 0)).otherwise(""))
+    # short emails may leave no room: after every eighth attempt they grow by a letter
+    more = F.when(F.col("kind") == "email", F.repeat(F.lit("x"), (F.col("attempt") / 8).cast("int"))).otherwise("")
+    body = F.concat(more, F.substring(F.col("form"), F.lit(1), F.length("form") - F.length("_end")))
+    df = df.withColumn("_text", F.concat(_like(body, F.col("_stream"), F.col("kind") == "secret"), F.col("_end")))
+    words = F.split("form", " ")
+    df = df.withColumns({"_title": F.get(words, 0), "_parts": F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))})
+    df = df.withColumn("_gender", F.when(F.col("_title").rlike(f"^(?:{_TITLE_F})$"), "f").when(F.col("_title").rlike(f"^(?:{_TITLE_M})$"), "m").otherwise(""))
+    df = df.withColumn("_person", F.array_join("_parts", " ")).withColumn("_seed", _seed(key, F.lit("name"), F.col("_person"), F.col("_gender"), F.col("attempt").cast("string")))
+    name = lambda script: _names(F.col("_seed"), F.col("_gender"), F.col("_parts"), script)
+    person = F.col("_person")
+    df = df.withColumn("_name", F.when(person.rlike(r"\p{IsCyrillic}"), name("cyrillic")).when(person.rlike(r"\p{IsGreek}"), name("greek")).otherwise(name("latin")))
+    new = F.when(F.col("kind").isin("phone", "ssn", "card"), F.col("_digits")).when(ip, F.col("_ip")).when(F.col("kind") == "name", F.concat_ws(" ", "_title", "_name")).otherwise(F.col("_text"))
+    return df.select(*kept, new.alias("new"))
 
 
 def _fit(e: Column, kind: Column, new: Column) -> Column:
     """The surrogate form written as e is: digits at e's digits, case as e's case."""
-    spread = F.array_join(F.transform(F.split(e, ""), lambda c, i: F.when(c.rlike("^[0-9]$"), F.substring(new, F.length(F.regexp_replace(F.substring(e, F.lit(1), i + 1), r"[^0-9]", "")), F.lit(1))).otherwise(c)), "")
+    count = lambda i: F.length(F.regexp_replace(F.substring(e, F.lit(1), i + 1), r"[^0-9]", ""))
+    spread = F.array_join(F.transform(F.split(e, ""), lambda c, i: F.when(c.rlike("^[0-9]$"), F.substring(new, count(i), F.lit(1))).otherwise(c)), "")
     cased = F.when((F.upper(e) == e) & (F.lower(e) != e), F.upper(new)).otherwise(new)
     mixed = F.array_join(F.transform(F.split(new, ""), lambda c, i: F.when(F.substring(e, i + 1, F.lit(1)).rlike(r"^\p{Lu}$"), F.upper(c)).otherwise(c)), "")
     dotted = F.when(e.rlike(r"^\S+\. "), F.regexp_replace(new, r"^(\S+) ", r"$1. ")).otherwise(new)
     return F.when(kind.isin("phone", "ssn", "card"), spread).when(kind == "name", dotted).when(kind == "email", mixed).otherwise(cased)
 
 
-def entities(text: Column) -> Column:
-    """All entities of a text in order, as written."""
-    return F.regexp_extract_all(text, F.lit(f"({ENTITY})"), F.lit(1))
+def searched_lines(text: Column) -> Column:
+    """The lines of a text that may hold an entity."""
+    return F.filter(F.split(text, "\n"), lambda line: line.rlike(GATE))
 
 
-def entity_table(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The distinct (kind, form) of the corpus; combined on the map side before the shuffle."""
-    found = docs.select(F.explode(F.array_distinct(entities(F.col(text)))).alias("e")).withColumn("kind", entity_type(F.col("e")))
-    return found.select("kind", canonical(F.col("e"), F.col("kind")).alias("form")).distinct()
+def _found(line: Column) -> Column:
+    """All entities of a line in order, as written."""
+    return F.regexp_extract_all(line, F.lit(f"({ENTITY})"), F.lit(1))
 
 
-def collisions(found: DataFrame, config: Surrogates = Surrogates()) -> DataFrame:
-    """(kind, form, attempt) of the entities that need another attempt than 0; usually none.
+def entity_rows(docs: DataFrame, text: str = "text") -> DataFrame:
+    """_key (of the text) and e: the entities of each document, as often as they stand there."""
+    lines = docs.where(F.col(text).rlike(GATE)).select(F.sha2(text, 256).alias("_key"), F.explode(searched_lines(F.col(text))).alias("_line"))
+    return lines.select("_key", F.explode(_found(F.col("_line"))).alias("e"))
+
+
+def with_kinds(entities: DataFrame) -> DataFrame:
+    """e, kind, form of distinct entities as written."""
+    named = entities.select("e").distinct().withColumn("kind", entity_type(F.col("e")))
+    return named.withColumn("form", canonical(F.col("e"), F.col("kind")))
 
-    Each round redraws those that share a surrogate with a smaller form of their kind or that hit a real entity.
-    """
-    from .common import stage
 
-    drawn = lambda df: df.withColumn("new", surrogate_form(config.key, F.col("kind"), F.col("form"), F.col("attempt")))
-    now = stage(drawn(found.withColumn("attempt", F.lit(0))), "entities")
+def surrogates(found: DataFrame, config: Surrogates = Surrogates()) -> DataFrame:
+    """(kind, form, attempt, new) of distinct entities, redrawn until no two of a kind and no real entity are hit."""
+    now = stage(draw(found.select("kind", "form").withColumn("attempt", F.lit(0)), config.key), "surrogates")
     for _ in range(MAX_ATTEMPTS):
         first = now.groupBy("kind", "new").agg(F.min("form").alias("_first"), F.count(F.lit(1)).alias("_n"))
         shared = now.join(first.where("_n > 1"), ["kind", "new"]).where("form <> _first").select("kind", "form")
         real = now.join(now.select("kind", F.col("form").alias("new")), ["kind", "new"], "left_semi").select("kind", "form")
         bad = stage(shared.union(real).distinct(), "collided")
         if bad.isEmpty():
-            break
-        hit = now.join(bad.withColumn("_bad", F.lit(1)), ["kind", "form"], "left")
-        now = stage(drawn(hit.select("kind", "form", (F.col("attempt") + F.coalesce(F.col("_bad"), F.lit(0))).alias("attempt"))), "entities")
-    return now.where("attempt > 0").select("kind", "form", "attempt")
-
-
-def _replace(text: Column, overrides: Column | None, key: str) -> Column:
-    def new(e: Column) -> Column:
-        kind = entity_type(e)
-        form = canonical(e, kind)
-        attempt = F.lit(0) if overrides is None else F.coalesce(F.element_at(overrides, F.concat_ws(":", kind, form)), F.lit(0))
-        return _fit(e, kind, surrogate_form(key, kind, form, attempt))
-
-    found = F.transform(entities(text), new)
-    return F.array_join(F.zip_with(F.split(text, ENTITY, -1), found, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
+            return now
+        again = now.join(bad, ["kind", "form"], "left_semi").select("kind", "form", (F.col("attempt") + 1).alias("attempt"))
+        now = stage(now.join(bad, ["kind", "form"], "left_anti").unionByName(draw(again, config.key)), "surrogates")
+    raise RuntimeError("surrogates still collide; their formats leave no room")
 
 
 def replace_pii(docs: DataFrame, config: Surrogates = Surrogates(), text: str = "text", found: str | None = None) -> DataFrame:
-    """docs with the entities of text replaced; found: also add their number under this name.
-
-    Few redrawn entities are looked up in a literal map; many are joined to the texts that hold them by a content key.
-    """
-    redrawn = collisions(entity_table(docs, text), config)
-    few = redrawn.limit(LITERAL_OVERRIDES + 1).collect()
-    overrides = None
-    if 0 < len(few) <= LITERAL_OVERRIDES:
-        overrides = F.create_map(*[x for r in few for x in (F.lit(f"{r.kind}:{r.form}"), F.lit(r.attempt))])
-    elif few:
-        at = docs.select(F.sha2(text, 256).alias("_text"), F.explode(F.array_distinct(entities(F.col(text)))).alias("e")).withColumn("kind", entity_type(F.col("e")))
-        at = at.select("_text", "kind", canonical(F.col("e"), F.col("kind")).alias("form")).join(redrawn, ["kind", "form"])
-        maps = at.groupBy("_text").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(":", "kind", "form"), "attempt"))).alias("_map"))
-        docs = docs.withColumn("_text", F.sha2(text, 256)).join(maps, "_text", "left")
-        overrides = F.coalesce(F.col("_map"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>")))
-    out = docs if found is None else docs.withColumn(found, F.coalesce(F.size(entities(F.col(text))), F.lit(0)))
-    has = F.col(text).rlike(ENTITY)
-    return out.withColumn(text, F.when(has, _replace(F.col(text), overrides, config.key)).otherwise(F.col(text))).drop("_text", "_map")
+    """docs with the entities of text replaced; found: also add their number under this name."""
+    distinct = docs.select(text).where(F.col(text).rlike(GATE))
+    rows = stage(entity_rows(distinct, text).groupBy("_key", "e").count(), "entity_rows")
+    written = stage(with_kinds(rows), "entities")
+    drawn = surrogates(written.select("kind", "form").distinct(), config)
+    new = written.join(drawn.select("kind", "form", "new"), ["kind", "form"]).select("e", _fit(F.col("e"), F.col("kind"), F.col("new")).alias("s"))
+    maps = rows.join(new, "e").groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("e", "s"))).alias("_map"))
+    maps = stage(maps, "maps")  # for each text with entities, at most as many as it has
+
+    def line(x: Column) -> Column:
+        pieces, entities = F.split(x, ENTITY, -1), F.transform(_found(x), lambda e: F.element_at(F.col("_map"), e))
+        return F.when(x.rlike(GATE), F.array_join(F.zip_with(pieces, entities, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")).otherwise(x)
+
+    may = F.coalesce(F.col(text).rlike(GATE), F.lit(False))
+    order = [*docs.columns, *([found] if found else [])]
+    hit = docs.where(may).withColumn("_key", F.sha2(text, 256)).join(maps, "_key", "left")
+    has = F.col("_map").isNotNull()
+    count = F.when(has, F.size(F.flatten(F.transform(searched_lines(F.col(text)), _found)))).otherwise(0)
+    changed = F.when(has, F.array_join(F.transform(F.split(text, "\n"), line), "\n")).otherwise(F.col(text))
+    hit = hit.withColumns({text: changed, **({found: count} if found else {})}).select(*order)
+    rest = docs.where(~may)
+    return hit.unionByName((rest.withColumn(found, F.lit(0)) if found else rest).select(*order))
