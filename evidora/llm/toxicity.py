@@ -83,57 +83,75 @@ def document_odds(z: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
 
 
 def fit(texts: list[str], labels: np.ndarray, share: float, held_out_share: float = 0.25, steps: int = 60, rate: float = 0.1, decay: float = 0.1, evidence: float = 20.0, seed: int = 7) -> Model:
-    """Adam on the mean noisy-or loss. share: of positives among all labels, to which the scores are scaled."""
+    """Adam on the mean noisy-or loss. share: of positives among all labels, to which the scores are scaled.
+
+    Texts are featurised a chunk at a time, and only telling features are kept, so that the driver holds little besides the texts.
+    """
     if len(set(labels.tolist())) < 2:
         return Model(np.zeros(1 << BITS, dtype=np.float32), 0.0, constant=float(share))
     aside = np.random.default_rng(seed).random(len(texts)) < held_out_share
     if any(len(set(labels[m].tolist())) < 2 for m in (aside, ~aside)):
         aside[:] = False
-    parts = []
-    for mask in (~aside, aside if aside.any() else ~aside):
-        x, sentence, doc = features([t for t, m in zip(texts, mask) if m])
-        parts.append((x, sentence, doc, labels[mask].astype(float)))
-    x, sentence, doc, y = parts[0]
-    # only features whose documents differ between the classes beyond chance are weighted; the others share one weight of zero
-    seen = np.unique(x.astype(np.int64) * len(y) + doc[sentence] if x.shape[1] else np.zeros(0, dtype=np.int64))
-    often = telling(seen // len(y), y[seen % len(y)], y) >= evidence
-    number = np.where(often, np.cumsum(often), 0).astype(np.int32)
-    used = np.concatenate([[0], np.flatnonzero(often)])
-    inverse = number[x]
-    del seen
+    y = labels[~aside].astype(float)
+    own = [t for t, m in zip(texts, aside) if not m]
+    # only features whose documents differ between the classes beyond chance are weighted
+    often = telling(own, y) >= evidence
+    used, number = np.flatnonzero(often), np.cumsum(often).astype(np.int32) - 1
+    xs, sentences, docs, n_sent, n_doc = [], [], [], 0, 0
+    for part in chunks(own):
+        x, sentence, doc = features(part)
+        for kind in x:
+            at = np.flatnonzero(often[kind])
+            xs.append(number[kind[at]])
+            sentences.append(sentence[at] + n_sent)
+        docs.append(doc + n_doc)
+        n_sent, n_doc = n_sent + len(doc), n_doc + len(part)
+    x, sentence, doc = np.concatenate(xs), np.concatenate(sentences), np.concatenate(docs)
     w, m1, m2 = np.zeros(len(used)), np.zeros(len(used)), np.zeros(len(used))
-    n_sent = len(doc)
     bias, b1, b2 = -5.0, 0.0, 0.0
     cost = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y == 0).sum()))
     for t in range(1, steps + 1):
-        z = np.bincount(sentence, weights=sum(w[r] for r in inverse), minlength=n_sent) + bias
+        z = np.bincount(sentence, weights=w[x], minlength=n_sent) + bias
         p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
         s = np.clip(np.bincount(doc, weights=softplus(z), minlength=len(y)), 1e-9, 50)
         blame = np.where(y > 0, -1 / np.expm1(s), 1.0) * cost
         g_sentence = p * blame[doc]
-        g = sum(np.bincount(r, weights=g_sentence[sentence], minlength=len(used)) for r in inverse) + decay * w / len(y)
+        g = np.bincount(x, weights=g_sentence[sentence], minlength=len(used)) + decay * w / len(y)
         gb = g_sentence.sum()
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
         b1, b2 = 0.9 * b1 + 0.1 * gb, 0.99 * b2 + 0.01 * gb * gb
         step = rate / (1 - 0.9**t) * np.sqrt(1 - 0.99**t)
         w -= step * m1 / (np.sqrt(m2) + 1e-8)
-        w[0] = 0.0
         bias -= step * b1 / (np.sqrt(b2) + 1e-8)
     weights = np.zeros(1 << BITS, dtype=np.float32)
-    weights[used[1:]] = w[1:]
+    weights[used] = w
     model = Model(weights, float(bias))
-    x, sentence, doc, y = parts[1]
-    odds = document_odds(sentence_logits(model, x, sentence, len(doc)), doc, len(y))
-    model.scale, model.shift = scale_scores(odds, y, share)
+    rest = [t for t, m in zip(texts, aside) if m] if aside.any() else own
+    odds = np.concatenate([text_odds(model, part) for part in chunks(rest)])
+    model.scale, model.shift = scale_scores(odds, labels[aside].astype(float) if aside.any() else y, share)
     return model
 
 
-def telling(feature: np.ndarray, label: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Chi-square of each feature's documents by class (feature, label: one entry for each feature of each document)."""
+def chunks(texts: list, size: int = 128):
+    for i in range(0, len(texts), size):
+        yield texts[i : i + size]
+
+
+def telling(texts: list[str], y: np.ndarray) -> np.ndarray:
+    """Chi-square of each hashed feature's documents by class."""
+    d = np.zeros((2, 1 << BITS))
+    n_doc = 0
+    for part in chunks(texts):
+        x, sentence, doc = features(part)
+        own = doc[sentence] if len(sentence) else sentence
+        label = y[n_doc : n_doc + len(part)].astype(int)
+        seen = np.unique(np.concatenate([kind.astype(np.int64) * len(part) + own for kind in x]))
+        for c in (0, 1):
+            d[c] += np.bincount(seen[label[seen % len(part)] == c] // len(part), minlength=1 << BITS)
+        n_doc += len(part)
     n1, n0 = y.sum(), (1 - y).sum()
-    d1, d0 = np.bincount(feature, weights=label, minlength=1 << BITS), np.bincount(feature, weights=1 - label, minlength=1 << BITS)
-    n, d = n1 + n0, d1 + d0
-    return n * (d1 * (n0 - d0) - d0 * (n1 - d1)) ** 2 / np.maximum(d * (n - d) * n1 * n0, 1e-9)
+    n, both = n1 + n0, d[0] + d[1]
+    return n * (d[1] * (n0 - d[0]) - d[0] * (n1 - d[1])) ** 2 / np.maximum(both * (n - both) * n1 * n0, 1e-9)
 
 
 def scale_scores(odds: np.ndarray, y: np.ndarray, share: float, steps: int = 200) -> tuple[float, float]:
@@ -152,12 +170,16 @@ def scale_scores(odds: np.ndarray, y: np.ndarray, share: float, steps: int = 200
     return float(max(beta[0], 0.05)), float(beta[1])
 
 
+def text_odds(model: Model, texts: list[str | None]) -> np.ndarray:
+    x, sentence, doc = features(texts)
+    return document_odds(sentence_logits(model, x, sentence, len(doc)), doc, len(texts))
+
+
 def score_texts(model: Model, texts: list[str | None]) -> np.ndarray:
     if model.constant is not None:
         return np.full(len(texts), model.constant)
-    x, sentence, doc = features(texts)
-    odds = document_odds(sentence_logits(model, x, sentence, len(doc)), doc, len(texts))
-    return 1 / (1 + np.exp(-np.clip(np.clip(odds, -20, 20) * model.scale + model.shift, -30, 30)))
+    odds = np.clip(text_odds(model, texts), -20, 20)
+    return 1 / (1 + np.exp(-np.clip(odds * model.scale + model.shift, -30, 30)))
 
 
 def training_rows(labels: DataFrame, doc_id: str = "doc_id") -> DataFrame:
