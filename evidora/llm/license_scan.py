@@ -3,7 +3,8 @@
 Native: DataFrame functions only. Text is lower-cased, everything but letters and digits becomes a space, and a line is
 compared as the set of its word bigrams. A template with t bigrams can reach a coefficient of at least tau only with lines
 of t*tau/(2-tau) to t*(2-tau)/tau bigrams, so a line's number of words alone picks its candidate templates; lines of a
-size that no template allows never get bigrams at all.
+size that no template allows never get bigrams at all. Before that, lines without any of the words that such a match must hold
+(cover_words, a lossless bound) are passed over.
 
 Defined results: null and empty texts have no lines and no rows; a repeated document or doc_id is scanned row by row; a
 template tie goes to the smaller template id; extra columns are ignored.
@@ -55,6 +56,26 @@ def size_bounds(n: int, min_dice: float = MIN_DICE) -> tuple[int, int]:
     return max(1, math.ceil(n * min_dice / (2 - min_dice) - 1e-9)), math.floor(n * (2 - min_dice) / min_dice + 1e-9)
 
 
+#: Words that many lines hold; a cover made of others passes fewer lines.
+COMMON = frozenset("a an and any are as be by for free from in is it may no not of on or part that the this to under use with without work you".split())
+
+
+def cover_words(grams: list[str], min_dice: float = MIN_DICE) -> list[str]:
+    """Words of which a line must hold at least one to reach min_dice with a template of these bigrams.
+
+    Such a line shares at least n * min_dice / (2 - min_dice) of the n bigrams; so of any set of more bigrams than it may miss it
+    holds one, and with it the bigram's words. Long words that together touch so many bigrams are taken, common ones last.
+    """
+    misses = len(grams) - math.ceil(len(grams) * min_dice / (2 - min_dice) - 1e-9)
+    words, touched = [], set()
+    for w in sorted({w for g in grams for w in g.split(" ")}, key=lambda w: (w in COMMON, w.isdigit(), -len(w), w)):
+        if len(touched) > misses:
+            break
+        words.append(w)
+        touched |= {g for g in grams if w in g.split(" ")}
+    return words
+
+
 def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
     """template, grams, n_template: bounded by MAX_TEMPLATES."""
     if len(templates) > MAX_TEMPLATES:
@@ -70,7 +91,12 @@ def scan_licences(docs: DataFrame, templates=TEMPLATES, min_dice: float = MIN_DI
     sizes = sorted({k for t in by_size for k in range(size_bounds(t.n_template, min_dice)[0], size_bounds(t.n_template, min_dice)[1] + 1)})
     if not sizes:
         return docs.select(F.col(doc_id), F.lit(0).alias("line"), F.lit("").alias("template"), F.lit(0.0).alias("dice"), F.lit(0).alias("n_grams")).where("false")
+    # lossless: texts and lines without any cover word can't reach min_dice with any template
+    words = "|".join(sorted({w for t in by_size for w in cover_words(list(t.grams), min_dice)}))
+    cover = rf"(?<![\p{{L}}\p{{N}}])(?:{words})(?![\p{{L}}\p{{N}}])"
+    docs = docs.where(F.lower(F.col(text)).rlike(cover))
     lines = docs.select(F.col(doc_id), F.posexplode(F.split(F.col(text), "\n")).alias("line", "_line"))
+    lines = lines.where(F.lower("_line").rlike(cover))
     lines = lines.withColumn("_words", normal_words(F.col("_line"))).where(F.size("_words") > 0)
     lines = lines.withColumn("_grams", bigrams(F.col("_words"))).withColumn("n_grams", F.size("_grams")).where(F.col("n_grams").isin(sizes))
     structs = [
