@@ -187,6 +187,29 @@ def test_near_duplicates_find_the_groups(spark):
     assert got == {i: first[g] for i, g in enumerate(truth)}
 
 
+def test_near_duplicate_entries_meet_at_the_threshold():
+    """Pairs with scattered edits down to similarity 0.8 share an entry, whatever their length."""
+    rnd = random.Random(21)
+    for n in (30, 100, 300):
+        for share in (0.1, 0.15, 0.2):
+            a, b = [], []
+            for _ in range(150):
+                w = [rnd.randrange(50_000) for _ in range(n)]
+                a.append(" ".join(map(str, w)))
+                for i in rnd.sample(range(n), int(share * n + 1e-9)):
+                    w[i] = rnd.randrange(50_000, 99_999)
+                b.append(" ".join(map(str, w)))
+            x, y = (near_dedup.order_min_hash(t, near_dedup.Params())[1] for t in (a, b))
+            assert (x == y).any(axis=1).mean() >= 0.98, (n, share)
+
+
+def test_bag_distance_is_a_lower_bound():
+    rnd = random.Random(22)
+    for _ in range(500):
+        a, b = ([rnd.randrange(5) for _ in range(rnd.randrange(1, 15))] for _ in range(2))
+        assert near_dedup.bag_distance(np.array(a), np.array(b)) <= distance(a, b)
+
+
 def test_near_duplicates_awkward_rows(spark):
     long = PROSE * 8
     texts = [None, "", None, "!!", long, long, long.upper() + " EXTRA", "one two", "one two", "Two One"]
