@@ -8,6 +8,9 @@
 3. Members that their pivot did not fit are chained: sorted by bucket and then by their other entries, neighbours are aligned.
    Similar texts agree on most entries and so stand together, however many others share the bucket. Nothing is dropped.
 4. Connected components over the verified links (large-star and small-star steps on tables; nothing is collected).
+5. Buckets whose members are not all of one component go on: in each round about 8, 64, 512, ... of a bucket's members, the least by
+   key, are pivots for all its members of other components, until every member was one. So any two members of a bucket end up in
+   one class, or were aligned, or were ruled out exactly (by length, by counts of hashed words, by their bags of words).
 
 Similarity is 1 - distance / max(words), 0.8 or more by default. Scattered edits of one word in five leave few long k-mers whole
 (a resemblance of 0.2 for five words, of 0.47 for two), so k-mers are of two words and a text has 32 entries of two: the README
@@ -32,6 +35,10 @@ from .common import drop_stage, small_text_batches, stage
 from .textvec import mix, words
 
 MAX_ROUNDS = 60
+#: Pivots of a bucket grow by this from round to round.
+GROW = 8
+#: Hashed words are counted in so many places, up to 255 each.
+PLACES = 64
 
 
 @dataclass(frozen=True)
@@ -165,12 +172,35 @@ def _blob(texts: list[str | None]) -> list[bytes]:
     return [h[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
 
+def word_counts(texts: list[str | None]) -> np.ndarray:
+    """Counts of hashed words, PLACES a text, held at 255."""
+    w = words(texts)
+    flat = np.bincount(w.doc * PLACES + (w.h >> np.uint64(58)).astype(np.int64), minlength=len(texts) * PLACES)
+    return np.minimum(flat, 255).astype(np.uint8).reshape(len(texts), PLACES)
+
+
+def counts_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """By row, never more than the edit distance: an edit takes at most one word from a place and brings one to another."""
+    d = a.astype(np.int16) - b
+    return np.maximum(np.maximum(d, 0).sum(axis=1), np.maximum(-d, 0).sum(axis=1))
+
+
+def _near_counts(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
+    """(a, b, most, counts of a, counts of b) -> the pairs that the counts do not rule out."""
+    for b in batches:
+        x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, PLACES) for i in (3, 4))
+        near = pa.array(counts_distance(x, y) <= b.column(2).to_numpy())
+        yield pa.RecordBatch.from_arrays([b.column(0).filter(near), b.column(1).filter(near)], names=["a", "b"])
+
+
 def _sketch(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        n, entries = order_min_hash(b.column(1).to_pylist(), p)
+        texts = b.column(1).to_pylist()
+        n, entries = order_min_hash(texts, p)
+        counts = pa.array([x.tobytes() for x in word_counts(texts)], pa.binary())
         flat = pa.array(entries.ravel().astype(np.int64))
         offsets = pa.array(np.arange(0, len(flat) + 1, p.sketches, dtype=np.int32))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.ListArray.from_arrays(offsets, flat)], names=["key", "n_words", "v"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.ListArray.from_arrays(offsets, flat), counts], names=["key", "n_words", "v", "counts"])
 
 
 def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,6 +301,45 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("key"), F.col("v").alias("root")).union(now.select(F.col("v").alias("key"), F.col("v").alias("root")).distinct())
 
 
+def _most(a: str, b: str, p: Params):
+    """The edits that two texts of so many words may differ by."""
+    return F.floor(F.lit(1 - p.similarity) * F.greatest(a, b) + F.lit(1e-9)).cast("int")
+
+
+def _settle(shared: DataFrame, tried: DataFrame, links: DataFrame, texts: DataFrame, blobs: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
+    """(links, components) once no bucket of shared has two members left that might be alike and are neither linked nor aligned.
+
+    A member is a pivot while its key, as a fraction of the key space, times the bucket's size is below the round's width; so no
+    bucket is sorted, and the join of pivots and members can split a bucket of any size.
+    """
+    roots = stage(components(links), "roots")
+    width = 1
+    shared = shared.select("band", "bucket", "key", "size")
+    while True:
+        split = shared.where(F.col("size") > max(2, width)).join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+        mixed = split.groupBy("band", "bucket").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi").select("band", "bucket")
+        left = stage(split.join(mixed, ["band", "bucket"], "left_semi"), "split")
+        if left.isEmpty():
+            return links, roots
+        width *= GROW
+        members = left.join(texts.select("key", "n_words", "counts"), "key")
+        place = F.conv(F.hex(F.substring("key", 1, 4)), 16, 10).cast("double") / F.lit(2.0**32)
+        pivots = members.where(place * F.col("size") < width).drop("size")
+        pivots = pivots.toDF(*[c if c in ("band", "bucket") else f"p_{c}" for c in pivots.columns])
+        met = pivots.join(members, ["band", "bucket"]).where(F.col("p_root") != F.col("root")).withColumn("most", _most("p_n_words", "n_words", p))
+        met = met.where(F.abs(F.col("p_n_words") - F.col("n_words")) <= F.col("most"))
+        near = met.select(F.least("p_key", "key").alias("a"), F.greatest("p_key", "key").alias("b"), "most", "p_counts", "counts")
+        near = near.mapInArrow(lambda x: _near_counts(x, p), "a binary, b binary").distinct()
+        near = stage(near.join(tried, ["a", "b"], "left_anti"), "near")
+        found = stage(_verify(near, blobs, p).where("similar").select("a", "b"), "found")
+        tried = tried.union(near)
+        drop_stage(left)
+        if not found.isEmpty():
+            links = links.union(found)
+            drop_stage(roots)
+            roots = stage(components(links), "roots")
+
+
 def near_classes(docs: DataFrame, params: Params = Params(), doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(texts, links). texts: key, class_key, class_id, rep_id, n_copies, n_words, n_links: one row for each distinct text.
 
@@ -280,12 +349,12 @@ def near_classes(docs: DataFrame, params: Params = Params(), doc_id: str = "doc_
     spark = docs.sparkSession
     small_text_batches(spark)
     raw = docs.select(F.col(doc_id).alias("_id"), F.unhex(F.substring(F.sha2(F.coalesce(F.col(text), F.lit("")), 256), 1, 32)).alias("key"), F.col(text).alias("_text"))
-    sketches = raw.select("key", "_text").mapInArrow(lambda x: _sketch(x, p), "key binary, n_words int, v array<long>")
-    sketches = sketches.groupBy("key").agg(F.max("n_words").alias("n_words"), F.max("v").alias("v"))
+    sketches = raw.select("key", "_text").mapInArrow(lambda x: _sketch(x, p), "key binary, n_words int, v array<long>, counts binary")
+    sketches = sketches.groupBy("key").agg(F.max("n_words").alias("n_words"), F.max("v").alias("v"), F.max("counts").alias("counts"))
     copies = raw.groupBy("key").agg(F.min("_id").alias("rep_id"), F.count(F.lit(1)).alias("n_copies"))
     texts = stage(copies.join(sketches, "key"), "sketches")
     members = texts.where("n_words > 0").select("key", F.posexplode("v").alias("band", "bucket"))
-    pivots = members.groupBy("band", "bucket").agg(F.min("key").alias("pivot"), F.max("key").alias("_last")).where("pivot < _last").drop("_last")
+    pivots = members.groupBy("band", "bucket").agg(F.min("key").alias("pivot"), F.max("key").alias("_last"), F.count(F.lit(1)).alias("size")).where("pivot < _last").drop("_last")
     shared = stage(members.join(pivots, ["band", "bucket"]), "shared")
     pairs = stage(shared.where("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
     needed = shared.select("key").distinct().join(texts.select("key", "rep_id"), "key")
@@ -297,12 +366,11 @@ def near_classes(docs: DataFrame, params: Params = Params(), doc_id: str = "doc_
     loose = shared.join(failed, ["pivot", "key"], "left_semi").select("band", "bucket", "key")
     loose = loose.join(texts.select("key", "v"), "key").select("band", "bucket", F.concat(F.slice("v", F.col("band") + 2, p.sketches), F.slice("v", F.lit(1), F.col("band"))).alias("rest"), "key")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    chained = _neighbours(loose, parts).distinct().join(pairs, ["a", "b"], "left_anti")
-    links = checked.where("similar").select("a", "b").union(stage(_verify(chained, blobs, p), "chained").where("similar").select("a", "b"))
-    links = stage(links, "links")
-    roots = components(links)
+    chained = stage(_neighbours(loose, parts).distinct().join(pairs, ["a", "b"], "left_anti"), "chained")
+    links = checked.where("similar").select("a", "b").union(_verify(chained, blobs, p).where("similar").select("a", "b"))
+    links, roots = _settle(shared, pairs.union(chained), stage(links, "links"), texts, blobs, p)
     degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("key")).agg(F.count(F.lit(1)).alias("n_links"))
-    joined = texts.drop("v").join(roots, "key", "left").join(degree, "key", "left")
+    joined = texts.drop("v", "counts").join(roots, "key", "left").join(degree, "key", "left")
     joined = joined.withColumn("class_key", F.coalesce("root", "key"))
     ids = joined.groupBy("class_key").agg(F.min("rep_id").alias("class_id"))
     out = joined.join(ids, "class_key").select("key", "class_key", "class_id", "rep_id", "n_copies", "n_words", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -210,6 +210,39 @@ def test_bag_distance_is_a_lower_bound():
         assert near_dedup.bag_distance(np.array(a), np.array(b)) <= distance(a, b)
 
 
+def test_near_duplicates_link_all_members_of_a_bucket(spark):
+    """Each text has 12-15 % of the former's words replaced: the classes are those of all pairs in the buckets, here with few entries."""
+    params = near_dedup.Params(sketches=4)
+    rnd = random.Random(23)
+    texts, family = [], []
+    for g in range(24):
+        w = [f"f{g}w{rnd.randrange(100_000)}" for _ in range(120)]
+        for _ in range(10):
+            texts.append(" ".join(w))
+            family.append(g)
+            w = list(w)
+            for i in rnd.sample(range(120), rnd.randint(14, 18)):
+                w[i] = f"f{g}w{rnd.randrange(100_000)}"
+    assert len(set(texts)) == len(texts)
+    blobs = [np.frombuffer(b, "<u4") for b in near_dedup._blob(texts)]
+    entries = near_dedup.order_min_hash(texts, params)[1]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if family[i] == family[j] and (entries[i] == entries[j]).any() and near_dedup.banded_distance(blobs[i], blobs[j], 24) <= 24:
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(frame(spark, texts), params).collect()}
+    assert got == dict(enumerate(root))
+
+
+def test_counts_distance_is_a_lower_bound():
+    rnd = random.Random(24)
+    pairs = [[[rnd.choice("abcde") for _ in range(rnd.randrange(1, 15))] for _ in range(2)] for _ in range(500)]
+    a, b = (near_dedup.word_counts([" ".join(p[i]) for p in pairs]) for i in (0, 1))
+    assert all(d <= distance(*p) for d, p in zip(near_dedup.counts_distance(a, b).tolist(), pairs))
+
+
 def test_near_duplicates_awkward_rows(spark):
     long = PROSE * 8
     texts = [None, "", None, "!!", long, long, long.upper() + " EXTRA", "one two", "one two", "Two One"]
