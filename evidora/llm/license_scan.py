@@ -6,6 +6,9 @@ of t*tau/(2-tau) to t*(2-tau)/tau bigrams, so a line's number of words alone pic
 size that no template allows never get bigrams at all. Before that, lines without any of the words that such a match must hold
 (cover_words, a lossless bound) are passed over.
 
+scan_licences judges whole single lines. scan_windows judges runs of consecutive words of the whole text, wherever lines end, against
+the same templates and whole licence texts; it needs Python, for texts that hold a cover word only.
+
 Defined results: null and empty texts have no lines and no rows; a repeated document or doc_id is scanned row by row; a
 template tie goes to the smaller template id; extra columns are ignored.
 """
@@ -13,10 +16,14 @@ template tie goes to the smaller template id; extra columns are ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import small_text_batches
+
 MIN_DICE = 0.8
 #: Templates are a short list given by the caller; more than this are refused.
 MAX_TEMPLATES = 2000
@@ -40,6 +47,22 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 )
 
 
+_MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+_MIT_REST = " The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+_BSD_3 = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_REST = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+
+#: Whole permission texts, for scan_windows.
+FULL_TEXTS: tuple[tuple[str, str], ...] = (
+    ("mit-permission", _MIT),
+    ("mit-text", _MIT + _MIT_REST),
+    ("bsd-2-clause-text", _BSD + _BSD_REST),
+    ("bsd-3-clause-text", _BSD + _BSD_3 + _BSD_REST),
+    ("isc-text", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+)
+
+
 def normal_words(line: Column) -> Column:
     """Words of a line: lower case, runs of letters and digits."""
     return F.filter(F.split(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
@@ -105,3 +128,66 @@ def scan_licences(docs: DataFrame, templates=TEMPLATES, min_dice: float = MIN_DI
     ]
     hits = lines.withColumn("_best", F.array_max(F.array(*structs))).where(F.col("_best.dice") >= min_dice)
     return hits.select(F.col(doc_id), F.col("line").cast("int").alias("line"), F.col("_best.template").alias("template"), F.round("_best.dice", 6).alias("dice"), "n_grams")
+
+
+def windows(words: list[str], templates: list[tuple[str, frozenset]], min_dice: float = MIN_DICE) -> list[tuple[int, int, str, float]]:
+    """(first word, words, template, dice): each template's best windows that do not overlap, the best first (then the earliest, the shortest).
+
+    A bigram at an end that is not the template's can be cut off without lowering the coefficient, so windows from one bigram of
+    the template to another are all that count; a window ends where it holds more distinct bigrams than min_dice allows.
+    """
+    grams = [f"{a} {b}" for a, b in zip(words, words[1:])] if len(words) > 1 else [f"{w} {w}" for w in words]
+    have, out = set(grams), []
+    for name, own in templates:
+        low, high = size_bounds(len(own), min_dice)
+        if len(have & own) < low:  # it shares at least so many
+            continue
+        hits = [i for i, g in enumerate(grams) if g in own]
+        found = []
+        for i in hits:
+            seen, shared = set(), 0
+            for j in range(i, len(grams)):
+                g = grams[j]
+                if g in seen and g not in own:
+                    continue
+                if g not in seen:
+                    seen.add(g)
+                    shared += g in own
+                    if len(seen) > high:
+                        break
+                    if g in own and 2 * shared / (len(seen) + len(own)) >= min_dice - 1e-12:
+                        found.append((-2 * shared / (len(seen) + len(own)), i, j))
+        taken: list[tuple[int, int]] = []
+        for d, i, j in sorted(found):
+            if all(j < a or i > b for a, b in taken):
+                taken.append((i, j))
+                out.append((i, min(len(words), j - i + 2), name, round(-d, 6)))
+    return out
+
+
+def _windows(batches: Iterator[pa.RecordBatch], templates, min_dice: float, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        at, rows = [], []
+        for i, w in enumerate(b.column(1).to_pylist()):
+            got = windows(w, templates, min_dice)
+            at += [i] * len(got)
+            rows += got
+        cols = [pa.array([r[k] for r in rows], schema.field(k + 1).type) for k in range(4)]
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *cols], names=schema.names)
+
+
+def scan_windows(docs: DataFrame, templates=TEMPLATES + FULL_TEXTS, min_dice: float = MIN_DICE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each window that reaches min_dice: doc_id, word (its first, from 0), n_words, template, dice.
+
+    A licence may stand in a window for its text and in another for a sentence of it: each template has its own rows.
+    """
+    by_name = template_table(docs.sparkSession, templates).where("n_template > 0").collect()  # a short list given by the caller
+    own = sorted((t.template, frozenset(t.grams)) for t in by_name)
+    schema = pa.schema([("id", pa.int64()), ("word", pa.int32()), ("n_words", pa.int32()), ("template", pa.string()), ("dice", pa.float64())])
+    cover = "|".join(sorted({w for t in by_name for w in cover_words(list(t.grams), min_dice)}))
+    if cover:
+        docs = docs.where(F.lower(F.col(text)).rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{cover})(?![\p{{L}}\p{{N}}])"))
+    small_text_batches(docs.sparkSession)
+    rows = docs.select(F.col(doc_id).alias("id"), normal_words(F.col(text)).alias("words"))
+    out = rows.mapInArrow(lambda x: _windows(x, own, min_dice, schema), f"id {dict(rows.dtypes)['id']}, word int, n_words int, template string, dice double")
+    return out.withColumnRenamed("id", doc_id)

@@ -73,9 +73,13 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licences(table(spark, sf_dir, "documents"))
 
 
+def op10_licence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_windows(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_url_filter, op2_substring_dedup, op3_near_dedup, op4_token_counts, op5_decontaminate, op6_toxicity, op7_pii, op8_packing, op9_nearest, op10_licences)
+    for f in (op1_url_filter, op2_substring_dedup, op3_near_dedup, op4_token_counts, op5_decontaminate, op6_toxicity, op7_pii, op8_packing, op9_nearest, op10_licences, op10_licence_windows)
 }
 
 _HOST_PATH = r"""

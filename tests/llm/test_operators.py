@@ -550,3 +550,32 @@ def test_licence_scan_against_brute_force(spark):
     got = {(r.doc_id, r.line): (r.template, r.dice) for r in license_scan.scan_licences(docs).collect()}
     assert got == want and len(want) == 5
     assert license_scan.scan_licences(frame(spark, [])).count() == 0
+
+
+def test_licence_windows_find_wrapped_and_embedded_texts(spark):
+    import textwrap
+
+    texts = dict(license_scan.TEMPLATES + license_scan.FULL_TEXTS)
+    wrap = lambda n: "\n".join(f" * {x}" for x in textwrap.wrap(texts[n], 72))
+    docs = [None, "", "x", wrap("mit-grant"), "Copyright 2020\n" + wrap("gpl-notice") + "\nint main() {}", texts["mit-permission"], "and so we say: released under the MIT license, as was agreed long ago by all", wrap("bsd-3-clause") + "\n" + PROSE + "\n" + wrap("bsd-3-clause"), wrap("mit-text"), PROSE * 50]
+    got = license_scan.scan_windows(frame(spark, docs)).collect()
+    by = {i: {(r.template, r.dice) for r in got if r.doc_id == i} for i in range(len(docs))}
+    assert {i for i in by if not by[i]} == {0, 1, 2, 9}
+    assert ("mit-grant", 1.0) in by[3] and ("gpl-notice", 1.0) in by[4] and ("mit-permission", 1.0) in by[5] and ("mit-released", 1.0) in by[6]
+    assert {("mit-grant", 1.0), ("mit-permission", 1.0), ("mit-text", 1.0)} <= by[8]
+    assert sum(r.doc_id == 7 and r.template == "bsd-3-clause" for r in got) == 2
+
+
+def test_licence_windows_against_brute_force():
+    rnd = random.Random(31)
+    for _ in range(300):
+        template = [rnd.choice("abcdef") for _ in range(rnd.randrange(2, 8))]
+        own = frozenset(f"{a} {b}" for a, b in zip(template, template[1:]))
+        words = [rnd.choice("abcdefgh") for _ in range(rnd.randrange(2, 12))] + template[: rnd.randrange(len(template) + 1)] + ["a"] * rnd.randrange(2)
+        grams = [f"{a} {b}" for a, b in zip(words, words[1:])]
+        best = max(2 * len(set(grams[i:j]) & own) / (len(set(grams[i:j])) + len(own)) for i in range(len(grams)) for j in range(i + 1, len(grams) + 1))
+        got = license_scan.windows(words, [("t", own)])
+        assert (got[0][3] if got else None) == (round(best, 6) if best >= 0.8 else None)
+        for first, n, _, dice in got:
+            inside = set(grams[first : first + n - 1])
+            assert dice == round(2 * len(inside & own) / (len(inside) + len(own)), 6)
