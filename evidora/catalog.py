@@ -71,7 +71,7 @@ def agg_null_as_zero_vs_skip(spark, sf_dir):
     return r6(v.groupBy("domain").agg(F.avg(F.coalesce("v", F.lit(0.0))).alias("null_as_zero"), F.avg("v").alias("null_skipped")))
 
 
-#: A benchmark slice as the examples that are resampled: one supplier's records.
+#: The records of five suppliers' first lines, for the queries that are compared with SQL draw by draw; the queries below resample all records.
 _SLICE = "supp <= 5 AND line = 1"
 _DRAWS = f"""WITH r AS (SELECT domain, answer_correct AS c, usd AS u, row_number() OVER (PARTITION BY domain ORDER BY example_id, part, supp) - 1 AS i FROM {REC} WHERE {_SLICE}),
 s AS (SELECT domain, count(*) AS n FROM r GROUP BY domain),
@@ -91,7 +91,17 @@ def bootstrap_usd_ratio_ci(spark, sf_dir):
 
 @query()
 def bootstrap_mersenne(spark, sf_dir):
-    return ag.mersenne_bootstrap(vw.records(spark, sf_dir).where(_SLICE), ["domain"], "answer_correct", resamples=100)
+    return ag.mersenne_bootstrap(vw.records(spark, sf_dir), ["domain"], "answer_correct")
+
+
+@query()
+def bootstrap_accuracy_ci_all(spark, sf_dir):
+    return r6(ag.bootstrap_mean_large(vw.records(spark, sf_dir), ["domain"], ["example_id", "line", "part", "supp"], "answer_correct"))
+
+
+@query()
+def bootstrap_usd_ratio_ci_all(spark, sf_dir):
+    return r6(ag.bootstrap_ratio_large(vw.records(spark, sf_dir), ["domain"], ["example_id", "line", "part", "supp"], "usd", "answer_correct"))
 
 
 # ---- comparison

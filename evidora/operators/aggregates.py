@@ -74,6 +74,53 @@ def bootstrap_ratio(df: DataFrame, by: list[str], order: list[str], top: str, bo
     return _order_statistics(sums, by, "r", confidence)
 
 
+def _block_resample(df: DataFrame, by: list[str], order: list[str], values: dict[str, str], resamples: int, seed: int, block_rows: int) -> DataFrame:
+    """by, b, n and the sums of each value over a resample of n draws with replacement, for groups of any size.
+
+    Rows are dealt by hash into blocks of about block_rows. A resample first draws how many of its n draws fall on each block
+    (multinomial by the blocks' sizes) and then, in each block, the rows: together the same as n draws from the whole group. One
+    task holds a block's rows, or one number a block and resample of a group.
+    """
+    import numpy as np
+    import pandas as pd
+
+    types = dict(df.dtypes)
+    keys, names = ", ".join(f"{c} {types[c]}" for c in by), list(values)
+    rows = df.select(*by, F.xxhash64(*order).alias("_h"), *order, *[zero(e).alias(f"_{n}") for n, e in values.items()])
+    totals = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.join(totals, by).withColumn("_block", F.pmod("_h", F.ceil(F.col("n") / F.lit(block_rows)))).drop("n", "_h")
+    sizes = rows.groupBy(*by, "_block").agg(F.count(F.lit(1)).alias("_size"))
+
+    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_block")
+        size = pdf["_size"].to_numpy()
+        counts = np.random.default_rng(seed).multinomial(size.sum(), size / size.sum(), size=resamples)
+        return pdf[[*by, "_block"]].assign(_draws=list(counts.T.astype(np.int64)))
+
+    def draw(mine: pd.DataFrame, dealt: pd.DataFrame) -> pd.DataFrame:
+        mine = mine.sort_values([*order, *[f"_{n}" for n in names]])
+        v = mine[[f"_{n}" for n in names]].to_numpy()
+        rng = np.random.default_rng([seed, 1, int(mine["_block"].iloc[0])])
+        sums = np.stack([np.bincount(rng.integers(0, len(v), k), minlength=len(v)) @ v for k in dealt["_draws"].iloc[0]])
+        return pd.DataFrame({**{c: [mine[c].iloc[0]] * resamples for c in by}, "b": range(resamples), **dict(zip(names, sums.T))})[[*by, "b", *names]]
+
+    dealt = sizes.groupBy(*by).applyInPandas(deal, f"{keys}, _block long, _draws array<long>")
+    parts = rows.groupBy(*by, "_block").cogroup(dealt.groupBy(*by, "_block")).applyInPandas(draw, f"{keys}, b int, " + ", ".join(f"{n} double" for n in names))
+    return parts.groupBy(*by, "b").agg(*[F.sum(n).alias(n) for n in names]).join(totals, by)
+
+
+def bootstrap_mean_large(df: DataFrame, by: list[str], order: list[str], value: str, resamples: int = 1000, seed: int = 42, confidence: float = 0.95, block_rows: int = 4096) -> DataFrame:
+    """bootstrap_mean for groups of any size, by blocks; groups by null keys are left out."""
+    sums = _block_resample(df, by, order, {"v": value}, resamples, seed, block_rows).withColumn("m", F.when(F.col("n") < 2, 0.0).otherwise(F.col("v") / F.col("n")))
+    return _order_statistics(sums, by, "m", confidence)
+
+
+def bootstrap_ratio_large(df: DataFrame, by: list[str], order: list[str], top: str, bottom: str, resamples: int = 1000, seed: int = 42, confidence: float = 0.95, block_rows: int = 4096) -> DataFrame:
+    """bootstrap_ratio for groups of any size, by blocks; groups by null keys are left out."""
+    sums = _block_resample(df, by, order, {"t": top, "u": bottom}, resamples, seed, block_rows).where("u > 0 and n >= 2").withColumn("r", F.col("t") / F.col("u"))
+    return _order_statistics(sums, by, "r", confidence)
+
+
 def mersenne_bootstrap(df: DataFrame, by: list[str], value: str, resamples: int = 1000, seed: int = 42, confidence: float = 0.95) -> DataFrame:
     """The same interval from Python's generator, where draws must equal those of a sequential program. Groups are small by nature
     (a benchmark's domains); use bootstrap_mean for large ones."""

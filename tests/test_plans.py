@@ -128,3 +128,32 @@ def test_plans_push_columns_to_the_scan(spark, name, capsys):
     catalog.QUERIES[name](spark, SF).explain("formatted")
     plan = capsys.readouterr().out
     assert "CartesianProduct" not in plan and "l_comment" not in plan and "ReadSchema" in plan
+
+
+def test_bootstrap_of_all_records_against_brute_force(spark):
+    import numpy as np
+
+    from evidora import catalog
+    from evidora.sources import views
+
+    records = views.records(spark, "/root/testdata/sf0.001").select("domain", "answer_correct", "usd").toPandas()
+    means = {r.domain: (r.lo, r.hi) for r in catalog.QUERIES["bootstrap_accuracy_ci_all"](spark, "/root/testdata/sf0.001").collect()}
+    ratios = {r.domain: (r.lo, r.hi) for r in catalog.QUERIES["bootstrap_usd_ratio_ci_all"](spark, "/root/testdata/sf0.001").collect()}
+    exact = {r.domain: (r.lo, r.hi) for r in catalog.QUERIES["bootstrap_mersenne"](spark, "/root/testdata/sf0.001").collect()}
+    rng = np.random.default_rng(5)
+    for domain, rows in records.groupby("domain"):
+        c, u = rows["answer_correct"].fillna(0).astype(float).to_numpy(), rows["usd"].fillna(0).astype(float).to_numpy()
+        at = rng.integers(0, len(c), (2000, len(c)))
+        mean, ratio = c[at].mean(axis=1), u[at].sum(axis=1) / c[at].sum(axis=1)
+        for got, want in ((means, mean), (exact, mean), (ratios, ratio)):
+            assert np.abs(np.array(got[domain]) - np.quantile(want, [0.025, 0.975])).max() < 0.5 * want.std(), domain
+
+
+def test_block_resamples_draw_n_rows_evenly(spark):
+    n, b = 50, 400
+    df = spark.range(n).selectExpr("id % 1 AS g", "id", "1.0 AS one", "IF(id = 7, 1.0, 0.0) AS seven")
+    rows = aggregates._block_resample(df, ["g"], ["id"], {"one": "one", "seven": "seven"}, b, 42, 8).collect()
+    assert len(rows) == b and all(r.one == n == r.n for r in rows)
+    mean = sum(r.seven for r in rows) / b
+    var = sum((r.seven - mean) ** 2 for r in rows) / b
+    assert abs(mean - 1) < 0.2 and abs(var - (1 - 1 / n)) < 0.3
