@@ -554,6 +554,13 @@ def route_hit_at_k(spark, sf_dir):
     return r6(h.groupBy("question_id").agg(*[F.bool_or(F.when(F.col("rank") <= k, F.col("gold"))).alias(f"hit_{k}") for k in (1, 3, 5)], F.avg(F.col("gold").cast("int")).alias("precision_5")))
 
 
+@query()
+def route_hit_at_k_by_doc(spark, sf_dir):
+    """Hits and precision of each question in each source, all sources."""
+    h = rt.bm25(vw.page_texts(spark, sf_dir), vw.questions(spark, sf_dir)).withColumn("gold", F.col("page") % 3 == 0)
+    return r6(h.groupBy("question_id", "doc").agg(*[F.bool_or(F.when(F.col("rank") <= k, F.col("gold"))).alias(f"hit_{k}") for k in (1, 3, 5)], F.avg(F.col("gold").cast("int")).alias("precision_5")))
+
+
 @query(f"SELECT trace, arg_min(k % 2, (ts, event_id)) AS first, arg_max(k % 2, (ts, event_id)) AS last FROM {STEP} WHERE stage = 'error' GROUP BY trace")
 def verifier_first_vs_last(spark, sf_dir):
     s = vw.steps(spark, sf_dir).where("stage = 'error'").withColumn("supported", F.col("k") % 2)

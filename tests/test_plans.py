@@ -157,3 +157,16 @@ def test_block_resamples_draw_n_rows_evenly(spark):
     mean = sum(r.seven for r in rows) / b
     var = sum((r.seven - mean) ** 2 for r in rows) / b
     assert abs(mean - 1) < 0.2 and abs(var - (1 - 1 / n)) < 0.3
+
+
+def test_route_hits_cover_all_sources(spark):
+    from evidora import catalog
+    from evidora.sources import views
+
+    sf = "/root/testdata/sf0.001"
+    rows = catalog.QUERIES["route_hit_at_k_by_doc"](spark, sf).collect()
+    assert len({r.doc for r in rows}) == views.page_texts(spark, sf).select("doc").distinct().count() > 1
+    one = {r.question_id: r for r in catalog.QUERIES["route_hit_at_k"](spark, sf).collect()}
+    mine = {r.question_id: r for r in rows if r.doc == "src0"}
+    assert set(one) == set(mine)
+    assert all((one[q].hit_1, one[q].hit_3, one[q].hit_5, one[q].precision_5) == (r.hit_1, r.hit_3, r.hit_5, r.precision_5) for q, r in mine.items())
