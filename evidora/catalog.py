@@ -535,6 +535,15 @@ def repair_lines_topk(spark, sf_dir):
     return r6(se.line_overlap(docs.join(q, "item_id"), docs.select("doc_id").distinct(), ["doc_id"], "text", "question"))
 
 
+@query()
+def repair_lines_topk_all_items(spark, sf_dir):
+    """As repair_lines_topk, with documents dealt over all items by rank."""
+    q = vw.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
+    q = q.withColumn("_r", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("item_id")) - 1)  # over items, a bounded list
+    docs = vw.table(spark, sf_dir, "documents").select("doc_id", "text", F.pmod("doc_id", F.lit(max(1, q.count()))).cast("int").alias("_r"))
+    return r6(se.line_overlap(docs.join(q, "_r").drop("_r"), docs.select("doc_id").distinct(), ["doc_id"], "text", "question"))
+
+
 # ---- stages
 
 
@@ -661,18 +670,24 @@ def json_args_parse(spark, sf_dir):
     return vw.steps(spark, sf_dir).groupBy(F.col("trace").alias("user_id")).agg(F.sum("k").alias("k"))
 
 
-def _responses(spark, sf_dir):
-    b = vw.boxes(spark, sf_dir).where("line = 1")
+def _responses(b):
     body = F.concat(F.lit('[{"region_id": "r'), F.col("part"), F.lit('", "relevance": '), F.round(F.col("score") * 2, 3), F.lit(', "needed_for": "'), F.when(F.col("supp") % 2 == 0, "caption_context").otherwise("bogus"), F.lit('"}]'))
-    return b.select("doc", "part", "supp", F.when(F.col("supp") % 3 == 0, F.concat(F.lit("Here it is:\n```json\n"), body, F.lit("\n```"))).otherwise(body).alias("text"))
+    return b.select("doc", "part", "supp", "line", F.when(F.col("supp") % 3 == 0, F.concat(F.lit("Here it is:\n```json\n"), body, F.lit("\n```"))).otherwise(body).alias("text"))
 
 
 @query(f"SELECT doc, 'r' || part AS region_id, round(greatest(0, least(1, round(score * 2, 3))), 6) AS relevance, CASE WHEN supp % 2 = 0 THEN 'caption_context' END AS needed_for, supp FROM {BOX} WHERE line = 1")
 def rerank_json_validate(spark, sf_dir):
-    e = _responses(spark, sf_dir).select("doc", "supp", F.explode(st.rerank_entries(F.col("text"))).alias("e"))
+    e = _responses(vw.boxes(spark, sf_dir).where("line = 1")).select("doc", "supp", F.explode(st.rerank_entries(F.col("text"))).alias("e"))
     return r6(e.select("doc", "e.region_id", "e.relevance", "e.needed_for", "supp"))
 
 
+@query()
+def rerank_json_validate_all(spark, sf_dir):
+    """As rerank_json_validate, from the boxes of all lines."""
+    e = _responses(vw.boxes(spark, sf_dir)).select("doc", "supp", "line", F.explode(st.rerank_entries(F.col("text"))).alias("e"))
+    return r6(e.select("doc", "e.region_id", "e.relevance", "e.needed_for", "supp", "line"))
+
+
 @query("SELECT event_id, 'k' AS path, round(CAST(json_extract_string(props, '$.k') AS DOUBLE), 6) AS value FROM events UNION ALL SELECT event_id, 'm.v', round(value, 6) FROM events")
 def metric_paths_flatten(spark, sf_dir):
     e = vw.table(spark, sf_dir, "events").select("event_id", F.concat(F.lit('{"k": '), F.get_json_object("props", "$.k"), F.lit(', "m": {"v": '), F.format_string("%.6f", "value"), F.lit(', "s": "x"}}')).alias("j"))

@@ -170,3 +170,23 @@ def test_route_hits_cover_all_sources(spark):
     mine = {r.question_id: r for r in rows if r.doc == "src0"}
     assert set(one) == set(mine)
     assert all((one[q].hit_1, one[q].hit_3, one[q].hit_5, one[q].precision_5) == (r.hit_1, r.hit_3, r.hit_5, r.precision_5) for q, r in mine.items())
+
+
+def test_rerank_and_repair_cover_all_boxes_and_items(spark):
+    import re
+
+    from evidora import catalog
+    from evidora.sources import views
+
+    sf = "/root/testdata/sf0.001"
+    assert catalog.QUERIES["rerank_json_validate_all"](spark, sf).count() == views.boxes(spark, sf).count() > catalog.QUERIES["rerank_json_validate"](spark, sf).count()
+    items = [r.text for r in views.table(spark, sf, "benchmark").orderBy("item_id").collect()]
+    texts = {r.doc_id: r.text or "" for r in views.table(spark, sf, "documents").collect()}
+    words = lambda t: set(re.findall("[a-z0-9]{3,}", t.lower()))
+    want = set()
+    for d, t in texts.items():
+        q = words(items[d % len(items)])
+        hits = sorted((-len(words(x) & q), i) for i, x in enumerate(t.split("\n")) if words(x) & q)
+        want |= {(d, i, -n) for n, i in hits[:6]}
+    got = {(r.doc_id, r.line, r.overlap) for r in catalog.QUERIES["repair_lines_topk_all_items"](spark, sf).collect()}
+    assert got == want
