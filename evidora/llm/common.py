@@ -17,13 +17,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's checkpoint folder; a temporary one only where none is set (tests)."""
+    """The folder all executors share: the session's checkpoint folder. In local mode, as in tests, a temporary one where none is set."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="evidora-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="evidora-"))
     return sc.getCheckpointDir()
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df has not, in any case."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{name}"
+    while name in taken:
+        name += "_"
+    return name
+
+
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Cut lineage: write df as a Parquet table in the shared folder and read it again.
 

@@ -3,26 +3,28 @@
 1. Each distinct text (by SHA-256) gets `sketches` entries. For entry j the `picked` least of its occurrence-labelled word k-mers
    are found, in a random order given by j, and kept in the order in which they stand in the text: two texts share an entry
    only where they share these k-mers and their order, so the chance follows edit similarity and not the set of k-mers alone.
+   A task sketches a text once however many copies it meets; copies in other tasks are merged by key.
 2. Texts that share an entry form a bucket. Each member is paired with the bucket's least key (its pivot), never with all others,
    and each distinct pair is aligned once, over words, within the band that the threshold allows.
-3. Members that their pivot did not fit are chained: sorted by bucket and then by their other entries, neighbours are aligned.
-   Similar texts agree on most entries and so stand together, however many others share the bucket. Nothing is dropped.
-4. Connected components over the verified links (large-star and small-star steps on tables; nothing is collected).
-5. Buckets whose members are not all of one component go on: in each round about 8, 64, 512, ... of a bucket's members, the least by
-   key, are pivots for all its members of other components, until every member was one. So any two members of a bucket end up in
-   one class, or were aligned, or were ruled out exactly (by length, by counts of hashed words, by their bags of words).
+3. Connected components over the verified links (large-star and small-star steps on tables; nothing is collected).
+4. Buckets whose members are not all of one component go on: every member outside the bucket's largest component is compared with
+   all members of other components by three exact bounds (component, length, and counts of hashed words: an edit changes
+   at most one word), in blocks of bounded size that are sorted by length. The few pairs that no bound rules out are aligned too.
+   So any two members of a bucket end up in one class, or were aligned, or were ruled out exactly.
 
 Similarity is 1 - distance / max(words), 0.8 or more by default. Scattered edits of one word in five leave few long k-mers whole
-(a resemblance of 0.2 for five words, of 0.47 for two), so k-mers are of two words and a text has 32 entries of two: the README
-gives the measured share of pairs that meet. Pairs whose lengths or bags of words rule them out are not aligned; both bounds are exact.
+(a resemblance of 0.2 for five words, of 0.47 for two), so k-mers are of two words: the README gives the measured share of pairs
+that meet.
 
 Defined results: texts without a word (null and empty ones too) are alone in their class, whatever others there are; equal texts
 share a class also without any k-mer in common with others; repeated rows are copies; null ids may occur: a class's id is the
-least id that is not null; extra columns are ignored.
+least id that is not null; a text of any length is one text, hashed in slices of 1 MiB that are cut between words; an empty table
+gives no rows; extra columns are ignored, whatever their names, and keep_one returns them as they were.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,21 +33,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stage, small_text_batches, stage
+from .common import drop_stage, fresh, small_text_batches, stage
 from .textvec import mix, words
 
-MAX_ROUNDS = 60
-#: Pivots of a bucket grow by this from round to round.
-GROW = 8
 #: Hashed words are counted in so many places, up to 255 each.
-PLACES = 64
+PLACES = 256
+#: Members of a bucket, or pairs of one pivot, in one block.
+BLOCK = 1024
+#: Distinct texts that a task remembers having sketched.
+REMEMBERED = 200_000
 
 
 @dataclass(frozen=True)
 class Params:
     k: int = 2
     picked: int = 2
-    sketches: int = 32
+    sketches: int = 24
     similarity: float = 0.8
 
 
@@ -77,18 +80,19 @@ def order_min_hash(texts: list[str | None], p: Params) -> tuple[np.ndarray, np.n
         starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
         owner = doc[starts]
         length = np.diff(np.concatenate([starts, [len(doc)]]))
-        seg = np.repeat(np.arange(len(starts)), length)
-        top = np.iinfo(np.uint64).max
+        # the low bits of a rank make room for its place, so that a minimum names its place as well
+        top, low = np.iinfo(np.uint64).max, np.uint64((1 << len(kmer).bit_length()) - 1)
+        place = np.arange(len(kmer), dtype=np.uint64)
         for j in range(p.sketches):
-            rank = mix(labelled ^ np.uint64((0xA24BAED4963EE407 * (2 * j + 1)) % (1 << 64)))
+            salt = (0xA24BAED4963EE407 * (2 * j + 1)) % (1 << 64)
+            rank = (labelled ^ np.uint64(salt)) * np.uint64(salt | 1)
+            rank = (rank & ~low) | place
             places = []
             for i in range(p.picked):
-                least = np.minimum.reduceat(rank, starts)
-                hit = np.flatnonzero(rank == least[seg])
-                pos = hit[np.searchsorted(seg[hit], np.arange(len(starts)))]
+                pos = (np.minimum.reduceat(rank, starts) & low).astype(np.int64)
                 gone = length <= i
                 places.append(np.where(gone, -1, pos))
-                rank[pos] = top
+                rank[pos[~gone]] = top
             places = np.sort(np.stack(places), axis=0)
             entry = np.full(len(starts), np.uint64(j + 1))
             for row in places:
@@ -175,26 +179,30 @@ def _blob(texts: list[str | None]) -> list[bytes]:
 def word_counts(texts: list[str | None]) -> np.ndarray:
     """Counts of hashed words, PLACES a text, held at 255."""
     w = words(texts)
-    flat = np.bincount(w.doc * PLACES + (w.h >> np.uint64(58)).astype(np.int64), minlength=len(texts) * PLACES)
+    flat = np.bincount(w.doc * PLACES + (w.h >> np.uint64(56)).astype(np.int64), minlength=len(texts) * PLACES)
     return np.minimum(flat, 255).astype(np.uint8).reshape(len(texts), PLACES)
 
 
 def counts_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """By row, never more than the edit distance: an edit takes at most one word from a place and brings one to another."""
-    d = a.astype(np.int16) - b
-    return np.maximum(np.maximum(d, 0).sum(axis=1), np.maximum(-d, 0).sum(axis=1))
-
-
-def _near_counts(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
-    """(a, b, most, counts of a, counts of b) -> the pairs that the counts do not rule out."""
-    for b in batches:
-        x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, PLACES) for i in (3, 4))
-        near = pa.array(counts_distance(x, y) <= b.column(2).to_numpy())
-        yield pa.RecordBatch.from_arrays([b.column(0).filter(near), b.column(1).filter(near)], names=["a", "b"])
+    more = np.maximum(a, b)
+    return np.maximum((more - b).sum(axis=1, dtype=np.int64), (more - a).sum(axis=1, dtype=np.int64))
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
+    """(key, text) -> the sketch of each text that this task has not met before."""
+    seen: set[bytes] = set()
     for b in batches:
+        new = []
+        for i, key in enumerate(b.column(0).to_pylist()):
+            if key not in seen:
+                seen.add(key)
+                new.append(i)
+        if len(seen) > REMEMBERED:
+            seen.clear()
+        if not new:
+            continue
+        b = b.take(pa.array(new))
         texts = b.column(1).to_pylist()
         n, entries = order_min_hash(texts, p)
         counts = pa.array([x.tobytes() for x in word_counts(texts)], pa.binary())
@@ -204,8 +212,9 @@ def _sketch(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordB
 
 
 def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, node, text) -> (key, node, word hashes)."""
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_blob(b.column(1).to_pylist()), pa.binary())], names=["key", "w"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_blob(b.column(2).to_pylist()), pa.binary())], names=["key", "node", "w"])
 
 
 def bag_distance(a: np.ndarray, b: np.ndarray) -> int:
@@ -217,71 +226,32 @@ def bag_distance(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _align(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
+    """(node a, node b, words a, words b) -> the pairs (a, b) that are similar."""
     for b in batches:
         good = []
         for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
             s, t = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
             most = int((1 - p.similarity) * max(len(s), len(t)) + 1e-9)
             good.append(abs(len(s) - len(t)) <= most and bag_distance(s, t) <= most and banded_distance(s, t, most) <= most)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(good, pa.bool_())], names=["a", "b", "similar"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
 def _verify(pairs: DataFrame, blobs: DataFrame, p: Params) -> DataFrame:
-    """a, b, similar. A pivot with many members is a hot key of the first join, whose pair side can be split."""
-    first = pairs.join(blobs.select(F.col("key").alias("a"), F.col("w").alias("wa")), "a")
-    both = first.join(blobs.select(F.col("key").alias("b"), F.col("w").alias("wb")), "b").select("a", "b", "wa", "wb")
-    return both.mapInArrow(lambda x: _align(x, p), "a binary, b binary, similar boolean")
-
-
-def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, key) in order -> neighbours (a, b) of one bucket; and the partition's first and last row as an end."""
-    import pyspark
-
-    part = pyspark.TaskContext.get().partitionId()
-    before = first = None
-    for batch in batches:
-        a, b = [], []
-        for band, bucket, key in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            here = (band, bucket, key)
-            if before and before[:2] == here[:2] and before[2] != key:
-                a.append(min(before[2], key))
-                b.append(max(before[2], key))
-            first, before = first or here, here
-        yield _chain_rows(a, b, [None] * len(a), [None] * len(a), [None] * len(a))
-    if first:
-        yield _chain_rows([first[2]], [before[2]], [part], [first[:2]], [before[:2]])
-
-
-def _chain_rows(a, b, part, first, last) -> pa.RecordBatch:
-    side = pa.struct([("band", pa.int32()), ("bucket", pa.int64())])
-    rows = lambda xs: pa.array([x and {"band": x[0], "bucket": x[1]} for x in xs], side)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(part, pa.int32()), rows(first), rows(last)], names=["a", "b", "part", "first", "last"])
-
-
-def _neighbours(rows: DataFrame, parts: int) -> DataFrame:
-    """Pairs (a, b) of rows next to each other in the order of (band, bucket, rest, key), in one bucket.
-
-    The order is a range partitioning, so a bucket of any size spreads over tasks. Two rows a partition are kept aside to
-    join the ends of partitions; they are as many as partitions, not as rows.
-    """
-    order = ["band", "bucket", "rest", "key"]
-    out = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("band", "bucket", "key")
-    side = "struct<band:int,bucket:long>"
-    out = stage(out.mapInArrow(_chain, f"a binary, b binary, part int, first {side}, last {side}"), "chain")
-    ends = sorted(out.where("part is not null").collect(), key=lambda r: r["part"])
-    seam = [(min(x["b"], y["a"]), max(x["b"], y["a"])) for x, y in zip(ends, ends[1:]) if x["last"] == y["first"] and x["b"] != y["a"]]
-    pairs = out.where("part is null").select("a", "b")
-    return pairs.union(rows.sparkSession.createDataFrame([(bytearray(a), bytearray(b)) for a, b in seam], "a binary, b binary")) if seam else pairs
+    """Links (a, b as nodes) of pairs (a, b, salt as keys). A pivot's text is sent once for each of its salts, so no key is hot."""
+    sent = pairs.select("a", "salt").distinct().join(blobs.select(F.col("key").alias("a"), F.col("node").alias("na"), F.col("w").alias("wa")), "a")
+    both = pairs.join(sent, ["a", "salt"]).join(blobs.select(F.col("key").alias("b"), F.col("node").alias("nb"), F.col("w").alias("wb")), "b")
+    node = dict(blobs.dtypes)["node"]
+    return both.select("na", "nb", "wa", "wb").mapInArrow(lambda x: _align(x, p), f"a {node}, b {node}")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """key, root: the least key of the connected component of each key in edges (a, b).
+    """node, root: the least node of the connected component of each node in edges (a, b), of any type that has an order.
 
     Large-star and small-star steps (Kiveris et al., 2014): each is a group-by with a minimum and a join, both of which can split
-    a hot key; the number of rounds is logarithmic. Tables of superseded rounds are deleted.
+    a hot node; the number of rounds is logarithmic, and they go on until nothing changes. Superseded tables are deleted.
     """
     now = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "star")
-    for _ in range(MAX_ROUNDS):
+    while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -296,9 +266,7 @@ def components(edges: DataFrame) -> DataFrame:
         now = small
         if same:
             break
-    else:
-        raise RuntimeError("components did not settle")
-    return now.select(F.col("u").alias("key"), F.col("v").alias("root")).union(now.select(F.col("v").alias("key"), F.col("v").alias("root")).distinct())
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
 def _most(a: str, b: str, p: Params):
@@ -306,81 +274,150 @@ def _most(a: str, b: str, p: Params):
     return F.floor(F.lit(1 - p.similarity) * F.greatest(a, b) + F.lit(1e-9)).cast("int")
 
 
-def _settle(shared: DataFrame, tried: DataFrame, links: DataFrame, texts: DataFrame, blobs: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
-    """(links, components) once no bucket of shared has two members left that might be alike and are neither linked nor aligned.
-
-    A member is a pivot while its key, as a fraction of the key space, times the bucket's size is below the round's width; so no
-    bucket is sorted, and the join of pivots and members can split a bucket of any size.
+def _group_pairs(group: np.ndarray, left: np.ndarray, most: int):
+    """Index pairs (left row, right row) of rows in order of group, at most about most at a time."""
+    edge = np.flatnonzero(np.diff(group)) + 1
+    start, end = np.concatenate([[0], edge]), np.concatenate([edge, [len(group)]])
+    lefts = np.flatnonzero(left)
+    own = np.searchsorted(start, lefts, side="right") - 1  # the group of each left row
+    size = end[own] - start[own]
+    at = 0
+    while at < len(lefts):
+        to = max(at + 1, int(np.searchsorted(np.cumsum(size[at:]), most, side="right")) + at)
+        n = size[at:to]
+        x = np.repeat(lefts[at:to], n)
+        y = np.repeat(start[own[at:to]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        keep = ~left[y]
+        yield x[keep], y[keep]
+        at = to
+
+
+def _cross(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
+    """Rows (group, salt, left, major, key, root, n_words, counts) sorted by group -> the pairs of a left and a right row that no bound rules out."""
+
+    def work(t: pa.Table):
+        col = lambda c: t.column(c).combine_chunks()
+        group, n = col("group").to_numpy(), col("n_words").to_numpy().astype(np.int64)
+        left, major = (np.asarray(col(c).to_numpy(zero_copy_only=False), bool) for c in ("left", "major"))
+        key, salt = col("key"), col("salt")
+        number = key.dictionary_encode().indices.to_numpy()  # keys and roots as small numbers
+        root = col("root").dictionary_encode().indices.to_numpy()
+        names = key.to_pylist()
+        counts = np.frombuffer(b"".join(col("counts").to_pylist()), np.uint8).reshape(-1, PLACES)
+        for x, y in _group_pairs(group, left, 1 << 18):
+            most = np.floor((1 - p.similarity) * np.maximum(n[x], n[y]) + 1e-9).astype(np.int64)
+            ok = (root[x] != root[y]) & (np.abs(n[x] - n[y]) <= most)
+            x, y, most = x[ok], y[ok], most[ok]
+            near = [np.zeros(0, bool)]
+            for i in range(0, len(x), 16384):
+                near.append(counts_distance(counts[x[i : i + 16384]], counts[y[i : i + 16384]]) <= most[i : i + 16384])
+            near = np.concatenate(near)
+            x, y = x[near], y[near]
+            # two members outside the largest component meet twice: once is enough
+            once = np.array([bool(m) or names[i] < names[j] for i, j, m in zip(x.tolist(), y.tolist(), major[y].tolist())], dtype=bool)
+            x, y = x[once], y[once]
+            _, first = np.unique(number[x].astype(np.int64) << 32 | number[y], return_index=True)
+            x, y = pa.array(x[first]), pa.array(y[first])
+            yield pa.RecordBatch.from_arrays([key.take(x), key.take(y), salt.take(y)], names=["a", "b", "salt"])
+
+    held, rows = [], 0
+    for b in batches:
+        held.append(b)
+        rows += b.num_rows
+        if rows >= 8 * BLOCK:
+            t = pa.Table.from_batches(held)
+            group = t.column("group").to_numpy()
+            cut = int(np.searchsorted(group, group[-1], side="left"))  # the last group may go on
+            if cut:
+                yield from work(t.slice(0, cut))
+                held = t.slice(cut).to_batches()
+                rows = t.num_rows - cut
+    if rows:
+        yield from work(pa.Table.from_batches(held))
+
+
+def _across(shared: DataFrame, texts: DataFrame, roots: DataFrame, p: Params) -> DataFrame:
+    """Pairs (a, b, salt) of members of one bucket and different components that are not ruled out exactly.
+
+    Members of the bucket's largest component stand on the right only; the others stand on both sides. Both sides are dealt to
+    blocks by hash and to classes of length: texts of lengths that the threshold allows are in the same class or the next.
     """
-    roots = stage(components(links), "roots")
-    width = 1
-    shared = shared.select("band", "bucket", "key", "size")
-    while True:
-        split = shared.where(F.col("size") > max(2, width)).join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-        mixed = split.groupBy("band", "bucket").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi").select("band", "bucket")
-        left = stage(split.join(mixed, ["band", "bucket"], "left_semi"), "split")
-        if left.isEmpty():
-            return links, roots
-        width *= GROW
-        members = left.join(texts.select("key", "n_words", "counts"), "key")
-        place = F.conv(F.hex(F.substring("key", 1, 4)), 16, 10).cast("double") / F.lit(2.0**32)
-        pivots = members.where(place * F.col("size") < width).drop("size")
-        pivots = pivots.toDF(*[c if c in ("band", "bucket") else f"p_{c}" for c in pivots.columns])
-        met = pivots.join(members, ["band", "bucket"]).where(F.col("p_root") != F.col("root")).withColumn("most", _most("p_n_words", "n_words", p))
-        met = met.where(F.abs(F.col("p_n_words") - F.col("n_words")) <= F.col("most"))
-        near = met.select(F.least("p_key", "key").alias("a"), F.greatest("p_key", "key").alias("b"), "most", "p_counts", "counts")
-        near = near.mapInArrow(lambda x: _near_counts(x, p), "a binary, b binary").distinct()
-        near = stage(near.join(tried, ["a", "b"], "left_anti"), "near")
-        found = stage(_verify(near, blobs, p).where("similar").select("a", "b"), "found")
-        tried = tried.union(near)
-        drop_stage(left)
-        if not found.isEmpty():
-            links = links.union(found)
-            drop_stage(roots)
-            roots = stage(components(links), "roots")
+    known = roots.select(F.col("node.key").alias("key"), F.col("root.key").alias("root"))
+    split = stage(shared.join(known, "key", "left").select("bucket", "key", F.coalesce("root", "key").alias("root")), "split")
+    of_root = split.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    mixed = of_root.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("roots"))
+    mixed = mixed.where("roots > 1").select("bucket", F.col("top.root").alias("top"), F.ceil(F.col("size") / BLOCK).cast("int").alias("nr"), F.ceil((F.col("size") - F.col("top.n")) / BLOCK).cast("int").alias("nl"))
+    rows = split.join(mixed, "bucket").join(texts.select("key", "n_words", "counts"), "key")
+    width = -math.log(p.similarity) * 1.01 if p.similarity < 1 else 1e-6  # a little over, for rounding
+    rows = rows.withColumns({"major": F.col("root") == F.col("top"), "cls": F.floor(F.log("n_words") / F.lit(width)).cast("int"), "rb": F.pmod(F.xxhash64("key", F.lit(1)), F.col("nr")).cast("int"), "lb": F.pmod(F.xxhash64("key", F.lit(2)), F.col("nl")).cast("int")})
+    up_to = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    own = ["bucket", "cls", "lb", "rb", "left", "major", "key", "root", "n_words", "counts"]
+    right = rows.withColumn("left", F.lit(False)).withColumn("lb", F.explode(up_to("nl"))).select(*own)
+    left = rows.where("not major").withColumn("left", F.lit(True)).withColumn("cls", F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1))).withColumn("rb", F.explode(up_to("nr"))).select(*own)
+    parts = max(1, int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    both = right.unionByName(left).select(F.xxhash64("bucket", "cls", "lb", "rb").alias("group"), F.col("rb").alias("salt"), "left", "major", "key", "root", "n_words", "counts")
+    found = both.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(lambda x: _cross(x, p), "a binary, b binary, salt int")
+    once = found.groupBy(F.least("a", "b").alias("_x"), F.greatest("a", "b").alias("_y")).agg(F.min(F.struct("a", "b", "salt")).alias("one"))
+    return stage(once.select("one.*"), "near")
+
+
+def _key(text: str):
+    """The first half of the SHA-256 of a text; null is the empty text."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(F.col(text), F.lit("")), 256), 1, 32))
 
 
 def near_classes(docs: DataFrame, params: Params = Params(), doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(texts, links). texts: key, class_key, class_id, rep_id, n_copies, n_words, n_links: one row for each distinct text.
 
-    links: a, b: the verified pairs of different texts.
+    links: a, b: the verified pairs of different texts, as structs (no_id, id, key). The class's least node, which names it, is
+    the least of them, so a class's id travels with its root and classes are never gathered.
     """
     p = params
     spark = docs.sparkSession
     small_text_batches(spark)
-    raw = docs.select(F.col(doc_id).alias("_id"), F.unhex(F.substring(F.sha2(F.coalesce(F.col(text), F.lit("")), 256), 1, 32)).alias("key"), F.col(text).alias("_text"))
+    raw = docs.select(F.col(doc_id).alias("_id"), _key(text).alias("key"), F.col(text).alias("_text"))
     sketches = raw.select("key", "_text").mapInArrow(lambda x: _sketch(x, p), "key binary, n_words int, v array<long>, counts binary")
     sketches = sketches.groupBy("key").agg(F.max("n_words").alias("n_words"), F.max("v").alias("v"), F.max("counts").alias("counts"))
     copies = raw.groupBy("key").agg(F.min("_id").alias("rep_id"), F.count(F.lit(1)).alias("n_copies"))
     texts = stage(copies.join(sketches, "key"), "sketches")
-    members = texts.where("n_words > 0").select("key", F.posexplode("v").alias("band", "bucket"))
-    pivots = members.groupBy("band", "bucket").agg(F.min("key").alias("pivot"), F.max("key").alias("_last"), F.count(F.lit(1)).alias("size")).where("pivot < _last").drop("_last")
-    shared = stage(members.join(pivots, ["band", "bucket"]), "shared")
-    pairs = stage(shared.where("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
+    # an entry's number is part of its hash, so a bucket is a hash alone
+    members = texts.where("n_words > 0").select("key", "n_words", F.explode("v").alias("bucket"))
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = stage(members.join(sizes, "bucket"), "shared")
+    pivots = shared.groupBy("bucket").agg(F.min(F.struct("key", "n_words")).alias("pivot"))
+    pairs = shared.join(pivots, "bucket").where(F.col("key") != F.col("pivot.key")).select(F.col("pivot.key").alias("a"), F.col("key").alias("b"), F.col("pivot.n_words").alias("_m"), "n_words", "size")
+    pairs = pairs.where(F.abs(F.col("_m") - F.col("n_words")) <= _most("_m", "n_words", p))
+    pairs = pairs.groupBy("a", "b").agg(F.pmod(F.xxhash64("b"), F.ceil(F.max("size") / BLOCK)).cast("int").alias("salt"))
+    pairs = stage(pairs, "pairs")
     needed = shared.select("key").distinct().join(texts.select("key", "rep_id"), "key")
     source = raw.where("_text is not null").alias("r").join(needed.alias("n"), (F.col("r.key") == F.col("n.key")) & F.col("r._id").eqNullSafe(F.col("n.rep_id")))
-    blobs = source.select("r.key", "_text").mapInArrow(_words_of, "key binary, w binary")
+    node = F.struct(F.col("r._id").isNull().alias("no_id"), F.col("r._id").alias("id"), F.col("r.key").alias("key"))
+    source = source.select("r.key", node.alias("node"), "_text")
+    blobs = source.mapInArrow(_words_of, f"key binary, node {dict(source.dtypes)['node']}, w binary")
     blobs = stage(blobs, "words").dropDuplicates(["key"])
-    checked = stage(_verify(pairs, blobs, p), "checked")
-    failed = checked.where("not similar").select(F.col("a").alias("pivot"), F.col("b").alias("key"))
-    loose = shared.join(failed, ["pivot", "key"], "left_semi").select("band", "bucket", "key")
-    loose = loose.join(texts.select("key", "v"), "key").select("band", "bucket", F.concat(F.slice("v", F.col("band") + 2, p.sketches), F.slice("v", F.lit(1), F.col("band"))).alias("rest"), "key")
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    chained = stage(_neighbours(loose, parts).distinct().join(pairs, ["a", "b"], "left_anti"), "chained")
-    links = checked.where("similar").select("a", "b").union(_verify(chained, blobs, p).where("similar").select("a", "b"))
-    links, roots = _settle(shared, pairs.union(chained), stage(links, "links"), texts, blobs, p)
-    degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("key")).agg(F.count(F.lit(1)).alias("n_links"))
-    joined = texts.drop("v", "counts").join(roots, "key", "left").join(degree, "key", "left")
-    joined = joined.withColumn("class_key", F.coalesce("root", "key"))
-    ids = joined.groupBy("class_key").agg(F.min("rep_id").alias("class_id"))
-    out = joined.join(ids, "class_key").select("key", "class_key", "class_id", "rep_id", "n_copies", "n_words", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    links = stage(_verify(pairs, blobs, p), "links")
+    drop_stage(pairs)
+    roots = stage(components(links), "roots")
+    found = stage(_verify(_across(shared, texts, roots, p), blobs, p), "found")
+    drop_stage(shared)
+    if not found.isEmpty():
+        links = links.union(found)
+        drop_stage(roots)
+        roots = stage(components(links), "roots")
+    degree = links.select("a").union(links.select("b")).groupBy(F.col("a.key").alias("key")).agg(F.count(F.lit(1)).alias("n_links"))
+    known = roots.select(F.col("node.key").alias("key"), F.col("root.key").alias("_root"), F.col("root.id").alias("_root_id"))
+    joined = texts.drop("v", "counts").join(known, "key", "left").join(degree, "key", "left")
+    out = joined.select(
+        "key", F.coalesce("_root", "key").alias("class_key"), F.when(F.col("_root").isNull(), F.col("rep_id")).otherwise(F.col("_root_id")).alias("class_id"),
+        "rep_id", "n_copies", "n_words", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+    )
     return out, links
 
 
 def near_duplicates(docs: DataFrame, params: Params = Params(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, class_id (the least id of its class), n_links (verified links to different texts): one row a document."""
     classes, _ = near_classes(docs, params, doc_id, text)
-    mine = docs.select(F.col(doc_id).alias("_id"), F.unhex(F.substring(F.sha2(F.coalesce(F.col(text), F.lit("")), 256), 1, 32)).alias("key"))
+    mine = docs.select(F.col(doc_id).alias("_id"), _key(text).alias("key"))
     out = mine.join(classes.where("n_words > 0").select("key", "class_id", "n_links"), "key", "left")
     return out.select(F.col("_id").alias(doc_id), F.coalesce("class_id", "_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
@@ -388,13 +425,13 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), doc_id: str = "d
 def keep_one(docs: DataFrame, params: Params = Params(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each class: the one of the least id; texts without words all stay. Columns as in docs."""
     classes, _ = near_classes(docs, params, doc_id, text)
-    best = classes.where("n_words > 0").groupBy("class_key").agg(F.min(F.struct(F.col("rep_id").isNull(), "rep_id", "key")).alias("one"))
-    best = stage(best.select(F.col("one.key").alias("_key"), F.col("one.rep_id").alias("_rep")), "kept")
-    marked = docs.withColumn("_key", F.unhex(F.substring(F.sha2(F.coalesce(F.col(text), F.lit("")), 256), 1, 32)))
-    light = marked.select(doc_id, "_key").alias("d").join(best.alias("b"), (F.col("d._key") == F.col("b._key")) & F.col(f"d.{doc_id}").eqNullSafe(F.col("b._rep")))
-    repeated = not light.groupBy("d._key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
-    wordless = classes.where("n_words = 0").select(F.col("key").alias("_key"))
-    kept = marked.alias("d").join(best.alias("b"), (F.col("d._key") == F.col("b._key")) & F.col(f"d.{doc_id}").eqNullSafe(F.col("b._rep")), "left_semi")
+    key, rep = fresh(docs, "key"), fresh(docs, "rep")
+    best = stage(classes.where("n_words > 0 and key = class_key").select(F.col("key").alias(key), F.col("rep_id").alias(rep)), "kept")
+    marked = docs.withColumn(key, _key(text))
+    of_best = [F.col(f"d.{key}") == F.col(f"b.{key}"), F.col(f"d.{doc_id}").eqNullSafe(F.col(f"b.{rep}"))]
+    repeated = not marked.select(doc_id, key).groupBy(key, doc_id).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    wordless = classes.where("n_words = 0").select(F.col("key").alias(key))
+    kept = marked.alias("d").join(best.alias("b"), of_best[0] & of_best[1], "left_semi")
     if repeated:  # rows of one id and one text: any one of them
-        kept = kept.dropDuplicates(["_key"])
-    return kept.unionByName(marked.join(wordless, "_key", "left_semi")).select(*docs.columns)
+        kept = kept.dropDuplicates([key])
+    return kept.unionByName(marked.join(wordless, key, "left_semi")).select(*docs.columns)

@@ -269,7 +269,7 @@ def test_components(spark):
         a, b = find(a), find(b)
         root[max(a, b)] = min(a, b)
     df = spark.createDataFrame(edges, "a long, b long")
-    got = {r.key: r.root for r in near_dedup.components(df).collect()}
+    got = {r.node: r.root for r in near_dedup.components(df).collect()}
     assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
 
 
