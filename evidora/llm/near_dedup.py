@@ -4,12 +4,14 @@
    are found, in a random order given by j, and kept in the order in which they stand in the text: two texts share an entry
    only where they share these k-mers and their order, so the chance follows edit similarity and not the set of k-mers alone.
    A task sketches a text once however many copies it meets; copies in other tasks are merged by key.
-2. Texts that share an entry form a bucket. Each member is paired with the bucket's least key (its pivot), never with all others,
-   and each distinct pair is aligned once, over words, within the band that the threshold allows.
+2. Texts that share an entry form a bucket. Each member is paired with the bucket's least key (its pivot), never with all others.
+   Of its pivots the one that it shares most buckets with is aligned first, over words, within the band that the threshold allows;
+   then those that are not yet in its component.
 3. Connected components over the verified links (large-star and small-star steps on tables; nothing is collected).
 4. Buckets whose members are not all of one component go on: every member outside the bucket's largest component is compared with
-   all members of other components by three exact bounds (component, length, and counts of hashed words: an edit changes
-   at most one word), in blocks of bounded size that are sorted by length. The few pairs that no bound rules out are aligned too.
+   all members of other components by three exact bounds (component, length, and a bitmap of the counts of word pairs: an edit changes
+   at most two pairs), in blocks of bounded size; in large buckets only with members of a like length. The few pairs that no
+   bound rules out are aligned too.
    So any two members of a bucket end up in one class, or were aligned, or were ruled out exactly.
 
 Similarity is 1 - distance / max(words), 0.8 or more by default. Scattered edits of one word in five leave few long k-mers whole
@@ -36,8 +38,8 @@ from pyspark.sql import functions as F
 from .common import drop_stage, fresh, small_text_batches, stage
 from .textvec import mix, words
 
-#: Hashed words are counted in so many places, up to 255 each.
-PLACES = 256
+#: Word pairs are counted in so many places, up to twice each.
+PLACES = 2048
 #: Members of a bucket, or pairs of one pivot, in one block.
 BLOCK = 1024
 #: Distinct texts that a task remembers having sketched.
@@ -176,17 +178,20 @@ def _blob(texts: list[str | None]) -> list[bytes]:
     return [h[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
 
-def word_counts(texts: list[str | None]) -> np.ndarray:
-    """Counts of hashed words, PLACES a text, held at 255."""
+def pair_maps(texts: list[str | None]) -> np.ndarray:
+    """A bitmap for each text: the places with a pair of neighbouring words, then those with two or more; as 64-bit words."""
     w = words(texts)
-    flat = np.bincount(w.doc * PLACES + (w.h >> np.uint64(56)).astype(np.int64), minlength=len(texts) * PLACES)
-    return np.minimum(flat, 255).astype(np.uint8).reshape(len(texts), PLACES)
+    with np.errstate(over="ignore"):
+        same = w.doc[1:] == w.doc[:-1]
+        place = (mix(w.h[:-1] * np.uint64(0x9E3779B97F4A7C15) + w.h[1:])[same] >> np.uint64(64 - PLACES.bit_length() + 1)).astype(np.int64)
+    n = np.bincount(w.doc[1:][same] * PLACES + place, minlength=len(texts) * PLACES).reshape(len(texts), PLACES)
+    return np.packbits(np.concatenate([n >= 1, n >= 2], axis=1), axis=1, bitorder="little").view(np.uint64)
 
 
-def counts_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """By row, never more than the edit distance: an edit takes at most one word from a place and brings one to another."""
-    more = np.maximum(a, b)
-    return np.maximum((more - b).sum(axis=1, dtype=np.int64), (more - a).sum(axis=1, dtype=np.int64))
+def pairs_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """By row, never more than the edit distance: an edit takes at most two pairs and brings at most two."""
+    count = lambda x: np.bitwise_count(x).sum(axis=1, dtype=np.int64)
+    return (np.maximum(count(a), count(b)) - count(a & b) + 1) // 2
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
@@ -205,10 +210,10 @@ def _sketch(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordB
         b = b.take(pa.array(new))
         texts = b.column(1).to_pylist()
         n, entries = order_min_hash(texts, p)
-        counts = pa.array([x.tobytes() for x in word_counts(texts)], pa.binary())
+        maps = pa.array([x.tobytes() for x in pair_maps(texts)], pa.binary())
         flat = pa.array(entries.ravel().astype(np.int64))
         offsets = pa.array(np.arange(0, len(flat) + 1, p.sketches, dtype=np.int32))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.ListArray.from_arrays(offsets, flat), counts], names=["key", "n_words", "v", "counts"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.ListArray.from_arrays(offsets, flat), maps], names=["key", "n_words", "v", "pairs"])
 
 
 def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,43 +279,44 @@ def _most(a: str, b: str, p: Params):
     return F.floor(F.lit(1 - p.similarity) * F.greatest(a, b) + F.lit(1e-9)).cast("int")
 
 
-def _group_pairs(group: np.ndarray, left: np.ndarray, most: int):
-    """Index pairs (left row, right row) of rows in order of group, at most about most at a time."""
+def _group_pairs(group: np.ndarray, left: np.ndarray, right: np.ndarray, most: int):
+    """Index pairs (left row, right row) of rows in order of group, about most at a time."""
     edge = np.flatnonzero(np.diff(group)) + 1
     start, end = np.concatenate([[0], edge]), np.concatenate([edge, [len(group)]])
     lefts = np.flatnonzero(left)
     own = np.searchsorted(start, lefts, side="right") - 1  # the group of each left row
     size = end[own] - start[own]
+    until = np.cumsum(size)
     at = 0
     while at < len(lefts):
-        to = max(at + 1, int(np.searchsorted(np.cumsum(size[at:]), most, side="right")) + at)
+        to = max(at + 1, int(np.searchsorted(until, (until[at - 1] if at else 0) + most, side="right")))
         n = size[at:to]
         x = np.repeat(lefts[at:to], n)
         y = np.repeat(start[own[at:to]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        keep = ~left[y]
+        keep = right[y]
         yield x[keep], y[keep]
         at = to
 
 
 def _cross(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
-    """Rows (group, salt, left, major, key, root, n_words, counts) sorted by group -> the pairs of a left and a right row that no bound rules out."""
+    """Rows (group, salt, left, right, major, key, root, n_words, pairs) sorted by group -> the pairs of a left and a right row that no bound rules out."""
 
     def work(t: pa.Table):
         col = lambda c: t.column(c).combine_chunks()
         group, n = col("group").to_numpy(), col("n_words").to_numpy().astype(np.int64)
-        left, major = (np.asarray(col(c).to_numpy(zero_copy_only=False), bool) for c in ("left", "major"))
+        left, right, major = (np.asarray(col(c).to_numpy(zero_copy_only=False), bool) for c in ("left", "right", "major"))
         key, salt = col("key"), col("salt")
         number = key.dictionary_encode().indices.to_numpy()  # keys and roots as small numbers
         root = col("root").dictionary_encode().indices.to_numpy()
         names = key.to_pylist()
-        counts = np.frombuffer(b"".join(col("counts").to_pylist()), np.uint8).reshape(-1, PLACES)
-        for x, y in _group_pairs(group, left, 1 << 18):
+        maps = np.frombuffer(b"".join(col("pairs").to_pylist()), np.uint64).reshape(-1, PLACES // 32)
+        for x, y in _group_pairs(group, left, right, 1 << 18):
             most = np.floor((1 - p.similarity) * np.maximum(n[x], n[y]) + 1e-9).astype(np.int64)
             ok = (root[x] != root[y]) & (np.abs(n[x] - n[y]) <= most)
             x, y, most = x[ok], y[ok], most[ok]
             near = [np.zeros(0, bool)]
             for i in range(0, len(x), 16384):
-                near.append(counts_distance(counts[x[i : i + 16384]], counts[y[i : i + 16384]]) <= most[i : i + 16384])
+                near.append(pairs_distance(maps[x[i : i + 16384]], maps[y[i : i + 16384]]) <= most[i : i + 16384])
             near = np.concatenate(near)
             x, y = x[near], y[near]
             # two members outside the largest component meet twice: once is enough
@@ -339,24 +345,28 @@ def _cross(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBa
 def _across(shared: DataFrame, texts: DataFrame, roots: DataFrame, p: Params) -> DataFrame:
     """Pairs (a, b, salt) of members of one bucket and different components that are not ruled out exactly.
 
-    Members of the bucket's largest component stand on the right only; the others stand on both sides. Both sides are dealt to
-    blocks by hash and to classes of length: texts of lengths that the threshold allows are in the same class or the next.
+    Members of the bucket's largest component are compared with the others only. A bucket of at most BLOCK members is one group.
+    In a larger one the members are right rows, and those outside the largest component also left rows; both are dealt to blocks by
+    hash and to classes of length: texts of lengths that the threshold allows are in the same class or the next.
     """
     known = roots.select(F.col("node.key").alias("key"), F.col("root.key").alias("root"))
     split = stage(shared.join(known, "key", "left").select("bucket", "key", F.coalesce("root", "key").alias("root")), "split")
     of_root = split.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     mixed = of_root.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("roots"))
     mixed = mixed.where("roots > 1").select("bucket", F.col("top.root").alias("top"), F.ceil(F.col("size") / BLOCK).cast("int").alias("nr"), F.ceil((F.col("size") - F.col("top.n")) / BLOCK).cast("int").alias("nl"))
-    rows = split.join(mixed, "bucket").join(texts.select("key", "n_words", "counts"), "key")
+    rows = split.join(mixed, "bucket").join(texts.select("key", "n_words", "pairs"), "key")
     width = -math.log(p.similarity) * 1.01 if p.similarity < 1 else 1e-6  # a little over, for rounding
-    rows = rows.withColumns({"major": F.col("root") == F.col("top"), "cls": F.floor(F.log("n_words") / F.lit(width)).cast("int"), "rb": F.pmod(F.xxhash64("key", F.lit(1)), F.col("nr")).cast("int"), "lb": F.pmod(F.xxhash64("key", F.lit(2)), F.col("nl")).cast("int")})
+    rows = rows.withColumn("major", F.col("root") == F.col("top"))
+    no, yes = F.lit(False), F.lit(True)
+    own = ["bucket", "cls", "lb", "rb", "left", "right", "major", "key", "root", "n_words", "pairs"]
+    small = rows.where("nr = 1").withColumns({"cls": F.lit(0), "lb": F.lit(0), "rb": F.lit(0), "left": ~F.col("major"), "right": yes}).select(*own)
+    large = rows.where("nr > 1").withColumns({"cls": F.floor(F.log("n_words") / F.lit(width)).cast("int"), "rb": F.pmod(F.xxhash64("key", F.lit(1)), F.col("nr")).cast("int"), "lb": F.pmod(F.xxhash64("key", F.lit(2)), F.col("nl")).cast("int")})
     up_to = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
-    own = ["bucket", "cls", "lb", "rb", "left", "major", "key", "root", "n_words", "counts"]
-    right = rows.withColumn("left", F.lit(False)).withColumn("lb", F.explode(up_to("nl"))).select(*own)
-    left = rows.where("not major").withColumn("left", F.lit(True)).withColumn("cls", F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1))).withColumn("rb", F.explode(up_to("nr"))).select(*own)
+    right = large.withColumns({"left": no, "right": yes}).withColumn("lb", F.explode(up_to("nl"))).select(*own)
+    left = large.where("not major").withColumns({"left": yes, "right": no}).withColumn("cls", F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1))).withColumn("rb", F.explode(up_to("nr"))).select(*own)
     parts = max(1, int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    both = right.unionByName(left).select(F.xxhash64("bucket", "cls", "lb", "rb").alias("group"), F.col("rb").alias("salt"), "left", "major", "key", "root", "n_words", "counts")
-    found = both.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(lambda x: _cross(x, p), "a binary, b binary, salt int")
+    all_ = small.unionByName(right).unionByName(left).select(F.xxhash64("bucket", "cls", "lb", "rb").alias("group"), F.col("rb").alias("salt"), "left", "right", "major", "key", "root", "n_words", "pairs")
+    found = all_.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(lambda x: _cross(x, p), "a binary, b binary, salt int")
     once = found.groupBy(F.least("a", "b").alias("_x"), F.greatest("a", "b").alias("_y")).agg(F.min(F.struct("a", "b", "salt")).alias("one"))
     return stage(once.select("one.*"), "near")
 
@@ -376,8 +386,8 @@ def near_classes(docs: DataFrame, params: Params = Params(), doc_id: str = "doc_
     spark = docs.sparkSession
     small_text_batches(spark)
     raw = docs.select(F.col(doc_id).alias("_id"), _key(text).alias("key"), F.col(text).alias("_text"))
-    sketches = raw.select("key", "_text").mapInArrow(lambda x: _sketch(x, p), "key binary, n_words int, v array<long>, counts binary")
-    sketches = sketches.groupBy("key").agg(F.max("n_words").alias("n_words"), F.max("v").alias("v"), F.max("counts").alias("counts"))
+    sketches = raw.select("key", "_text").mapInArrow(lambda x: _sketch(x, p), "key binary, n_words int, v array<long>, pairs binary")
+    sketches = sketches.groupBy("key").agg(F.max("n_words").alias("n_words"), F.max("v").alias("v"), F.max("pairs").alias("pairs"))
     copies = raw.groupBy("key").agg(F.min("_id").alias("rep_id"), F.count(F.lit(1)).alias("n_copies"))
     texts = stage(copies.join(sketches, "key"), "sketches")
     # an entry's number is part of its hash, so a bucket is a hash alone
@@ -387,17 +397,29 @@ def near_classes(docs: DataFrame, params: Params = Params(), doc_id: str = "doc_
     pivots = shared.groupBy("bucket").agg(F.min(F.struct("key", "n_words")).alias("pivot"))
     pairs = shared.join(pivots, "bucket").where(F.col("key") != F.col("pivot.key")).select(F.col("pivot.key").alias("a"), F.col("key").alias("b"), F.col("pivot.n_words").alias("_m"), "n_words", "size")
     pairs = pairs.where(F.abs(F.col("_m") - F.col("n_words")) <= _most("_m", "n_words", p))
-    pairs = pairs.groupBy("a", "b").agg(F.pmod(F.xxhash64("b"), F.ceil(F.max("size") / BLOCK)).cast("int").alias("salt"))
+    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.pmod(F.xxhash64("b"), F.ceil(F.max("size") / BLOCK)).cast("int").alias("salt"))
     pairs = stage(pairs, "pairs")
+    best = pairs.groupBy("b").agg(F.max(F.struct("n", "a", "salt")).alias("top")).select("top.a", "b", "top.salt")
     needed = shared.select("key").distinct().join(texts.select("key", "rep_id"), "key")
     source = raw.where("_text is not null").alias("r").join(needed.alias("n"), (F.col("r.key") == F.col("n.key")) & F.col("r._id").eqNullSafe(F.col("n.rep_id")))
     node = F.struct(F.col("r._id").isNull().alias("no_id"), F.col("r._id").alias("id"), F.col("r.key").alias("key"))
     source = source.select("r.key", node.alias("node"), "_text")
     blobs = source.mapInArrow(_words_of, f"key binary, node {dict(source.dtypes)['node']}, w binary")
-    blobs = stage(blobs, "words").dropDuplicates(["key"])
-    links = stage(_verify(pairs, blobs, p), "links")
-    drop_stage(pairs)
+    blobs = stage(blobs, "words")
+    if not blobs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():  # repeated rows of one id and one text
+        blobs = stage(blobs.dropDuplicates(["key"]), "words")
+    links = stage(_verify(best, blobs, p), "links")
     roots = stage(components(links), "roots")
+    known = roots.select(F.col("node.key").alias("key"), F.col("root.key").alias("root"))
+    rest = pairs.join(best, ["a", "b"], "left_anti").select("a", "b", "salt")
+    of_a = rest.select("a", "salt").distinct().join(known.toDF("a", "ra"), "a")
+    rest = rest.join(of_a, ["a", "salt"], "left").join(known.toDF("b", "rb"), "b", "left").where(~F.coalesce("ra", "a").eqNullSafe(F.coalesce("rb", "b"))).select("a", "b", "salt")
+    more = stage(_verify(stage(rest, "rest"), blobs, p), "links")
+    drop_stage(pairs)
+    if not more.isEmpty():
+        links = links.union(more)
+        drop_stage(roots)
+        roots = stage(components(links), "roots")
     found = stage(_verify(_across(shared, texts, roots, p), blobs, p), "found")
     drop_stage(shared)
     if not found.isEmpty():
@@ -406,7 +428,7 @@ def near_classes(docs: DataFrame, params: Params = Params(), doc_id: str = "doc_
         roots = stage(components(links), "roots")
     degree = links.select("a").union(links.select("b")).groupBy(F.col("a.key").alias("key")).agg(F.count(F.lit(1)).alias("n_links"))
     known = roots.select(F.col("node.key").alias("key"), F.col("root.key").alias("_root"), F.col("root.id").alias("_root_id"))
-    joined = texts.drop("v", "counts").join(known, "key", "left").join(degree, "key", "left")
+    joined = texts.drop("v", "pairs").join(known, "key", "left").join(degree, "key", "left")
     out = joined.select(
         "key", F.coalesce("_root", "key").alias("class_key"), F.when(F.col("_root").isNull(), F.col("rep_id")).otherwise(F.col("_root_id")).alias("class_id"),
         "rep_id", "n_copies", "n_words", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
