@@ -6,7 +6,9 @@ are bounded by the longest document, not by the number of documents: suffix sums
 then over the few blocks) answer, for every context limit at once, how many documents are longer, how many tokens there
 are, how many remain if each document is cut at the limit, and quantiles.
 
-Defined results: null and empty texts have length `added`; repeated rows count each; an empty table gives no rows.
+Defined results: null and empty texts have length `added`; a text of any length counts whole; repeated rows count each, and equal
+lengths are one row; an empty table gives no rows; extra columns are ignored, whatever their names. The histogram is written once,
+so the corpus is encoded once.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_text_batches
+from .common import small_text_batches, stage
 from .tokens import default_path, encoder
 
 #: Lengths in one block of the two-level sums.
@@ -46,7 +48,7 @@ def length_histogram(lengths: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 def suffix_sums(histogram: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """The histogram with, for each length L as a limit: docs_longer (> L), tokens_total, tokens_within (documents of at
     most L, whole), tokens_truncated (all documents cut at L), docs_total and quantile (share of documents of at most L)."""
-    h = histogram.withColumn("_block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("_tokens", F.col("n_docs") * F.col("n_tokens"))
+    h = stage(histogram, "lengths").withColumn("_block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("_tokens", F.col("n_docs") * F.col("n_tokens"))
     blocks = h.groupBy(*by, "_block").agg(F.sum("n_docs").alias("_bd"), F.sum("_tokens").alias("_bt"))
     after = Window.partitionBy(*by).orderBy(F.col("_block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     all_ = Window.partitionBy(*by)

@@ -1,20 +1,23 @@
-"""Encoding with the public byte-level BPE vocabulary, bounded in memory and whole-text.
+"""Encoding of whole texts with the public byte-level BPE vocabulary.
 
 The `tokenizers` file defines the ids. Where its rank file lies beside it, ordinary text is encoded by tiktoken with the
 same vocabulary, which gives the same ids several times faster; a text that holds a special token's string is always
-encoded by `tokenizers` itself.
+encoded by `tokenizers` itself. Very long texts are encoded in parts that are cut between two words: the vocabulary's
+pattern always ends a piece where a letter is followed by a space and a letter, so the ids are those of the whole text.
 """
 
 from __future__ import annotations
 
 import base64
 import os
+import re
 from functools import lru_cache
 
 #: Strings that the tokenizers file takes for special tokens.
 SPECIAL = ("<|endoftext|>",)
-#: A text is encoded whole up to this many characters; a longer one in parts cut where encoding can't join across.
+#: A text is encoded at once up to about this many characters.
 PART_CHARS = 1 << 20
+CUT = re.compile("(?<=[a-z])(?= [a-z])")
 
 
 def default_path() -> str:
@@ -43,6 +46,14 @@ def encoder(path: str):
     def encode(text: str) -> list[int]:
         if any(s in text for s in SPECIAL):
             return exact.encode(text, add_special_tokens=False).ids
-        return fast.encode_ordinary(text)
+        if len(text) <= PART_CHARS:
+            return fast.encode_ordinary(text)
+        out, at = [], 0
+        while at < len(text):
+            cut = CUT.search(text, at + PART_CHARS) if at + PART_CHARS < len(text) else None
+            end = cut.start() if cut else len(text)
+            out += fast.encode_ordinary(text[at:end])
+            at = end
+        return out
 
     return encode
