@@ -6,10 +6,12 @@ around each hit Myers' bit-parallel algorithm gives the least edit distance of t
 of at most k is a match. No text is shuffled. Words are lower-cased runs of letters, digits and underscores, so case,
 punctuation and spacing do not count.
 
-The items are read in blocks of bounded size, each a pass over the documents; usually there is one.
+The distinct item texts are read in blocks of bounded size by a hash, each a pass over the documents; usually there is one. Hits
+carry the key of an item's text and get the ids of all items of that text by a join, so repeated items take no room in a block.
 
-Defined results: null and empty texts and items match nothing; repeated items and documents match each; an item of one word or
-more always has k < n, so it never matches the empty passage; extra columns are ignored.
+Defined results: null and empty texts and items match nothing; a text of any length is searched whole; repeated items and documents
+match each; of several places of an item the first of the least distance is told; an item of one word or more always has k < n, so
+it never matches the empty passage; an empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import small_text_batches
@@ -126,58 +128,70 @@ def find_items(text: str | None, auto, kept) -> dict[int, tuple[int, int, int]]:
     return found
 
 
+def item_blocks(items: DataFrame, item_text: str, block_chars: int) -> Iterator[DataFrame]:
+    """(key, text) of the distinct item texts, in blocks of about block_chars characters."""
+    texts = items.where(F.col(item_text).isNotNull()).select(F.unhex(F.substring(F.sha2(F.col(item_text), 256), 1, 32)).alias("key"), F.col(item_text).alias("text")).distinct()
+    chars = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
+    blocks = max(1, -(-chars // block_chars))
+    for block in range(blocks):
+        yield texts if blocks == 1 else texts.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == block)
+
+
+def _searcher(spark: SparkSession, block: DataFrame, error_rate: float):
+    """A function that builds a block's automaton once in a worker."""
+    rows = [(bytes(r[0]), r[1]) for r in block.collect()]  # at most about block_chars characters
+    shared, name = spark.sparkContext.broadcast(rows), uuid.uuid4().hex
+
+    def built():
+        if name not in _built:
+            _built.clear()
+            _built[name] = build(shared.value, error_rate)
+        return _built[name]
+
+    return built
+
+
 def match_items(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """doc_id, item_id, distance, first_word, last_word (exclusive): one row for each item that stands in a document."""
+    """doc_id, item_id, distance, first_word, last_word (exclusive): one row for each item that stands in a document.
+
+    If both ids have one name, the item's is prefixed by 'item_'.
+    """
     spark = docs.sparkSession
     small_text_batches(spark)
-    chars = items.agg(F.coalesce(F.sum(F.length(item_text)), F.lit(0)).alias("n")).first()["n"]
-    blocks = max(1, -(-chars // block_chars))
-    shape = f"{doc_id} {docs.schema[doc_id].dataType.simpleString()}, {item_id} {items.schema[item_id].dataType.simpleString()}, distance int, first_word int, last_word int"
+    shape = f"_doc {docs.schema[doc_id].dataType.simpleString()}, _key binary, distance int, first_word int, last_word int"
     out = None
-    for block in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64(item_text), F.lit(blocks)) == block)
-        rows = [(r[0], r[1]) for r in part.select(item_id, item_text).collect()]  # at most about block_chars characters
-        shared, name = spark.sparkContext.broadcast(rows), uuid.uuid4().hex
-        item_type = pa.int64() if items.schema[item_id].dataType.simpleString() == "bigint" else None
-
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared, name=name, item_type=item_type) -> Iterator[pa.RecordBatch]:
-            if name not in _built:
-                _built.clear()
-                _built[name] = build(shared.value, error_rate)
-            auto, kept = _built[name]
+    for block in item_blocks(items, item_text, block_chars):
+        built = _searcher(spark, block, error_rate)
+
+        def scan(batches: Iterator[pa.RecordBatch], built=built) -> Iterator[pa.RecordBatch]:
+            auto, kept = built()
             for b in batches:
-                at, item, dist, first, last = [], [], [], [], []
+                at, key, rows = [], [], []
                 for i, t in enumerate(b.column(1).to_pylist()):
-                    for k, (d, s, e) in sorted(find_items(t, auto, kept).items()):
+                    for k, place in sorted(find_items(t, auto, kept).items()):
                         at.append(i)
-                        item.append(kept[k][0])
-                        dist.append(d)
-                        first.append(s)
-                        last.append(e)
-                ints = lambda x: pa.array(x, pa.int32())
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(item, item_type) if item or item_type else pa.array(item, pa.string()), ints(dist), ints(first), ints(last)], names=[doc_id, item_id, "distance", "first_word", "last_word"])
-
-        one = docs.select(doc_id, F.col(text).alias("_text")).mapInArrow(scan, shape)
+                        key.append(kept[k][0])
+                        rows.append(place)
+                ints = [pa.array([r[j] for r in rows], pa.int32()) for j in range(3)]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(key, pa.binary()), *ints], names=["_doc", "_key", "distance", "first_word", "last_word"])
+
+        one = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text")).mapInArrow(scan, shape)
         out = one if out is None else out.unionByName(one)
-    return out
+    keys = items.select(F.col(item_id).alias("_item"), F.unhex(F.substring(F.sha2(F.col(item_text), 256), 1, 32)).alias("_key"))
+    name = item_id if item_id != doc_id else f"item_{item_id}"
+    return out.join(keys, "_key").select(F.col("_doc").alias(doc_id), F.col("_item").alias(name), "distance", "first_word", "last_word")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, text: str = "text", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """docs without those in which a test item stands. A filter inside the scan: no join on ids, so repeated ids are judged row by row."""
     spark = docs.sparkSession
     small_text_batches(spark)
-    chars = items.agg(F.coalesce(F.sum(F.length(item_text)), F.lit(0)).alias("n")).first()["n"]
-    blocks = max(1, -(-chars // block_chars))
     at = docs.columns.index(text)
-    for block in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64(item_text), F.lit(blocks)) == block)
-        shared, name = spark.sparkContext.broadcast([(0, r[0]) for r in part.select(item_text).collect()]), uuid.uuid4().hex
-
-        def keep(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
-            if name not in _built:
-                _built.clear()
-                _built[name] = build(shared.value, error_rate)
-            auto, kept = _built[name]
+    for block in item_blocks(items, item_text, block_chars):
+        built = _searcher(spark, block, error_rate)
+
+        def keep(batches: Iterator[pa.RecordBatch], built=built) -> Iterator[pa.RecordBatch]:
+            auto, kept = built()
             for b in batches:
                 yield b.filter(pa.array([not find_items(t, auto, kept) for t in b.column(at).to_pylist()], pa.bool_()))
 
