@@ -7,11 +7,15 @@ an avalanche step follows. Buffers are worked in slices of at most 1 MiB to boun
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 SLICE = 1 << 20
 BASE = 0x9E3779B97F4A7C15
 _tables: dict[str, np.ndarray] = {}
+#: Letters whose lower case takes more or fewer bytes.
+_UNEVEN = re.compile("[" + "".join(c for c in map(chr, range(0x80, 0x1F000)) if not 0xD800 <= ord(c) < 0xE000 and len(c.lower().encode()) != len(c.encode())) + "]")
 
 
 def powers() -> tuple[np.ndarray, np.ndarray]:
@@ -92,8 +96,16 @@ def slices(raw: list[bytes]):
         i = j
 
 
+def lower(text: str) -> bytes:
+    """UTF-8 of the text in lower case, byte for byte where it was: letters whose lower case has another length stay."""
+    out, own = text.lower().encode("utf-8", "replace"), text.encode("utf-8", "replace")
+    if len(out) != len(own) or _UNEVEN.search(text):
+        out = "".join(x if len(x.encode("utf-8", "replace")) == len(c.encode("utf-8", "replace")) else c for c in text for x in (c.lower(),)).encode("utf-8", "replace")
+    return out.replace(b"\0", b" ")
+
+
 def words(texts: list[str | None], prefix_lengths: tuple[int, ...] = ()) -> Words:
-    raw = [(t or "").lower().encode("utf-8", "replace").replace(b"\0", b" ") for t in texts]
+    raw = [lower(t or "") for t in texts]
     doc, hashes, prefixes, sentence, starts_, ends_ = [], [], [[] for _ in prefix_lengths], [], [], []
     n_sent = 0
     offsets = np.zeros(len(raw) + 1, dtype=np.int64)

@@ -7,9 +7,11 @@ sentences. The classifier is fitted on the driver on a bounded sample of labelle
 pass over the corpus without a shuffle. A part of the sample that the fit does not see sets the scale of the scores, weighted
 to the class shares of all labels.
 
-Defined results: null and empty texts have no sentences and score as low as the model can; without labels of both classes the
-score is the share of positive labels (0 without labels); a document labelled twice counts as toxic if either label says so;
-labels without a document are ignored; extra columns are ignored.
+Defined results: null and empty texts have no sentences and score as low as the model can; a text of any length is scored whole;
+without labels of both classes the score is the share of positive labels (0 without labels) and nothing can be told apart
+(Model.constant is set); a document labelled twice counts as toxic if either label says so; labels without a document are ignored;
+rows of one id and different texts are each scored, and each may be fitted on; equal rows are fitted on once; of equally toxic
+sentences the first is told; an empty table gives no rows; a column that has an output's name is replaced, other columns are kept.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_text_batches
+from .common import fresh, small_text_batches
 from .textvec import mix, words
 
 #: Bytes of word beginnings that are features.
@@ -52,11 +54,15 @@ class Model:
     constant: float | None = None
 
 
-def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(feature numbers, sentence of each, text of each sentence); sentences without words do not occur."""
+def features(texts: list[str | None], spans: bool = False):
+    """(feature numbers, sentence of each, text of each sentence); sentences without words do not occur.
+
+    spans: also (first byte, byte after the last word) of each sentence.
+    """
     w = words(texts, PREFIXES)
     if not len(w.h):
-        return np.zeros((4, 0), dtype=np.int32), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        none = np.zeros(0, dtype=np.int64)
+        return np.zeros((4, 0), dtype=np.int32), none, none, *([(none, none)] if spans else [])
     key = w.sentence
     start = np.concatenate([[True], (key[1:] != key[:-1]) | (w.doc[1:] != w.doc[:-1])])
     sentence = np.cumsum(start) - 1
@@ -64,7 +70,9 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         before = np.concatenate([[np.uint64(0)], w.h[:-1]])
         pair = mix(np.where(start, np.uint64(1), before) * np.uint64(0x9E3779B97F4A7C15) + w.h)
         kinds = [w.h, *[mix(p + np.uint64(k)) for k, p in zip(PREFIXES, w.prefixes)], pair]
-    return np.stack([(x >> np.uint64(64 - BITS)).astype(np.int32) for x in kinds]), sentence, w.doc[start]
+    first = np.flatnonzero(start)
+    where = [(w.spans[0][first], w.spans[1][np.concatenate([first[1:], [len(start)]]) - 1])] if spans else []
+    return np.stack([(x >> np.uint64(64 - BITS)).astype(np.int32) for x in kinds]), sentence, w.doc[start], *where
 
 
 def sentence_logits(model: Model, x: np.ndarray, sentence: np.ndarray, n: int) -> np.ndarray:
@@ -178,8 +186,16 @@ def text_odds(model: Model, texts: list[str | None]) -> np.ndarray:
 def score_texts(model: Model, texts: list[str | None]) -> np.ndarray:
     if model.constant is not None:
         return np.full(len(texts), model.constant)
-    odds = np.clip(text_odds(model, texts), -20, 20)
-    return 1 / (1 + np.exp(-np.clip(odds * model.scale + model.shift, -30, 30)))
+    return probability(model, text_odds(model, texts))
+
+
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+
+
+def probability(model: Model, odds: np.ndarray) -> np.ndarray:
+    """A document's score from its log-odds."""
+    return sigmoid(np.clip(np.clip(odds, -20, 20) * model.scale + model.shift, -30, 30))
 
 
 def training_rows(labels: DataFrame, doc_id: str = "doc_id") -> DataFrame:
@@ -197,38 +213,70 @@ def train(docs: DataFrame, labels: DataFrame, sample: Sample = Sample(), doc_id:
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     pick = lambda c, n: rows.where(F.col("_label") == c).orderBy(F.xxhash64(doc_id), doc_id).limit(n)
     chosen = pick(1, sample.positives).union(pick(0, sample.negatives))
-    got = docs.select(F.col(doc_id), F.col(text).alias("_text")).join(F.broadcast(chosen), doc_id).where("_text is not null")
-    # repeated ids and very long texts can't make the sample larger than its bounds: the least hashes are taken
-    got = got.select("_text", "_label", doc_id).orderBy(F.xxhash64(doc_id), doc_id, F.xxhash64("_text")).limit(sample.positives + sample.negatives)
-    texts, y, size = [], [], 0
-    for r in got.select("_text", "_label").toLocalIterator():
-        size += len(r[0])
-        if size > sample.characters:
-            break
-        texts.append(r[0])
-        y.append(r[1])
+    own = docs.select(F.col(doc_id), F.col(text).alias("_text")).join(F.broadcast(chosen), doc_id).where("_text is not null").withColumn("_h", F.xxhash64("_text"))
+    # first lengths only, of distinct rows: what fits the bounds is known before any text moves
+    light = own.groupBy(doc_id, "_h").agg(F.max(F.length("_text")).alias("_n")).orderBy(F.xxhash64(doc_id), doc_id, "_h").limit(sample.positives + sample.negatives).collect()
+    size, fits = 0, []
+    for r in light:  # a text that would pass the bound is left out
+        if size + r["_n"] <= sample.characters:
+            size += r["_n"]
+            fits.append((r[doc_id], r["_h"]))
+    if not fits:
+        return fit([], np.zeros(0, dtype=int), share, sample.held_out_share)
+    wanted = docs.sparkSession.createDataFrame(fits, f"{doc_id} {docs.schema[doc_id].dataType.simpleString()}, _h long")
+    texts, y = [], []
+    got = own.join(F.broadcast(wanted), [doc_id, "_h"]).dropDuplicates([doc_id, "_h"]).select(F.xxhash64(doc_id).alias("_o"), doc_id, "_h", "_text", "_label")
+    for r in sorted(got.collect(), key=lambda r: (r["_o"], r["_h"])):  # at most sample.characters
+        texts.append(r["_text"])
+        y.append(r["_label"])
     return fit(texts, np.array(y, dtype=int), share, sample.held_out_share)
 
 
-def score_documents(docs: DataFrame, model: Model, keep: list[str] | None = None, text: str = "text") -> DataFrame:
-    """keep (default: all columns) plus score; a column of that name is replaced."""
+def worst_sentences(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(log-odds of each text, first byte and byte after its most toxic sentence, that sentence's probability); -1, -1, 0 without sentences."""
+    x, sentence, doc, spans = features(texts, spans=True)
+    z = sentence_logits(model, x, sentence, len(doc))
+    start, end, worst = np.full(len(texts), -1), np.full(len(texts), -1), np.zeros(len(texts))
+    if len(doc):
+        order = np.lexsort((-np.arange(len(z)), z, doc))
+        last = order[np.concatenate([np.flatnonzero(np.diff(doc[order])), [len(doc) - 1]])]
+        start[doc[last]], end[doc[last]], worst[doc[last]] = spans[0][last], spans[1][last], sigmoid(z[last])
+    return document_odds(z, doc, len(texts)), start, end, worst
+
+
+def score_documents(docs: DataFrame, model: Model, keep: list[str] | None = None, text: str = "text", score: str = "score", locate: bool = False) -> DataFrame:
+    """keep (default: all columns) plus score; columns of the new names are replaced.
+
+    locate: also worst_start, worst_end (bytes of the UTF-8 text) and worst_probability of the most toxic sentence; nulls without sentences.
+    """
     spark = docs.sparkSession
     small_text_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    keep = [c for c in (docs.columns if keep is None else keep) if c != "score"]
-    src = docs.select(*keep, F.col(text).alias("_text"))
-    shape = docs.select(*keep, F.lit(0.0).alias("score")).schema
+    new = [score, *(["worst_start", "worst_end", "worst_probability"] if locate else [])]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
+    src = docs.select(*keep, F.col(text).alias(fresh(docs, "text")))
+    zero, none = F.lit(0.0), F.lit(None)
+    shape = docs.select(*keep, zero.alias(score), *([none.cast("int").alias("worst_start"), none.cast("int").alias("worst_end"), none.cast("double").alias("worst_probability")] if locate else [])).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
         for b in batches:
-            s = score_texts(shared.value, b.column(b.num_columns - 1).to_pylist())
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(b.num_columns - 1)], pa.array(s, pa.float64())], names=[*keep, "score"])
+            texts = b.column(b.num_columns - 1).to_pylist()
+            cols = []
+            if locate:
+                odds, start, end, worst = worst_sentences(m, texts)
+                none = start < 0
+                cols = [pa.array(start, pa.int32(), mask=none), pa.array(end, pa.int32(), mask=none), pa.array(worst, pa.float64(), mask=none)]
+                s = np.full(len(texts), m.constant) if m.constant is not None else probability(m, odds)
+            else:
+                s = score_texts(m, texts)
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(b.num_columns - 1)], pa.array(s, pa.float64()), *cols], names=[*keep, *new])
 
     return src.mapInArrow(run, shape)
 
 
 def offending_sentences(docs: DataFrame, model: Model, threshold: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, start, end (bytes of the lower-cased UTF-8 text), probability: the sentences that score at least threshold."""
+    """doc_id, start, end (bytes of the UTF-8 text), probability: the sentences that score at least threshold."""
     spark = docs.sparkSession
     small_text_batches(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -236,14 +284,9 @@ def offending_sentences(docs: DataFrame, model: Model, threshold: float = 0.5, d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).to_pylist()
-            x, sentence, doc = features(texts)
-            spans = words(texts).spans
-            z = sentence_logits(shared.value, x, sentence, len(doc))
-            p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+            x, sentence, doc, spans = features(b.column(1).to_pylist(), spans=True)
+            p = sigmoid(sentence_logits(shared.value, x, sentence, len(doc)))
             hit = np.flatnonzero(p >= threshold)
-            first = np.searchsorted(sentence, hit)
-            last = np.searchsorted(sentence, hit, side="right") - 1
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc[hit])), pa.array(spans[0][first], pa.int32()), pa.array(spans[1][last], pa.int32()), pa.array(p[hit])], names=[doc_id, "start", "end", "probability"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc[hit])), pa.array(spans[0][hit], pa.int32()), pa.array(spans[1][hit], pa.int32()), pa.array(p[hit])], names=[doc_id, "start", "end", "probability"])
 
     return docs.select(doc_id, F.col(text).alias("_text")).mapInArrow(run, shape)
