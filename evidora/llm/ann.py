@@ -6,12 +6,14 @@ axes, then moves of single vectors to the part that holds most of their neighbou
 part and routes each query to its most probable parts, as many as the sample needs for the recall asked for; the vectors there
 are reranked by exact distance in double precision.
 
-Parts are split into blocks by counted size, on the side of the vectors and of the queries, so a part of any size, such as one
-that holds many copies of a vector, spreads over tasks; what the driver sees besides the sample is one count for each part.
+The number of parts follows the counted table (Params.part_rows vectors each), up to what the sample can tell apart (sample_rows of
+its vectors each). Parts are split into blocks of bounded bytes, on the side of the vectors and of the queries, so a part of any size,
+such as one that holds many copies of a vector, spreads over tasks; what the driver sees besides the sample is one count for each part.
 
 Defined results: vectors that are null, zero, or hold nulls or non-finite components take no part, nor do those whose length
-differs from the most common one of the sample, nor those without an id; equal distances go to the smaller id; rows with the
-query's id are never its candidates; fewer candidates than k give all; an empty table gives no rows.
+differs from the most common one, nor those without an id; equal distances go to the smaller id; a query's own row, one row of the
+same id and vector, is not its candidate, while further rows of that id are; each row of a repeated query has its own ranks;
+fewer candidates than k give all; an empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,13 +35,12 @@ class Params:
     sample: int = 20_000
     sample_bytes: int = 64 << 20
     graph: int = 10
-    part_rows: int = 1500
-    max_parts: int = 64
+    part_rows: int = 4000
+    sample_rows: int = 60
     recall: float = 0.97
     hidden: int = 64
     epochs: int = 20
-    block_rows: int = 8192
-    block_queries: int = 1024
+    block_bytes: int = 32 << 20
 
 
 @dataclass
@@ -107,10 +108,10 @@ def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, passes: int = 6
     return label
 
 
-def train_router(x: np.ndarray, p: Params, seed: int = 3) -> Router:
-    """Fit on a sample: graph, parts, classifier, and the probes that the sample's own neighbours need."""
+def train_router(x: np.ndarray, p: Params, rows: int | None = None, seed: int = 3) -> Router:
+    """Fit on a sample of a table of so many rows: graph, parts, classifier, and the probes that the sample's own neighbours need."""
     n, d = x.shape
-    parts = int(np.clip(n // p.part_rows, 1, p.max_parts))
+    parts = int(np.clip((n if rows is None else rows) // p.part_rows, 1, max(1, n // p.sample_rows)))
     mean, scale = x.mean(0) if n else np.zeros(d), (x.std(0) + 1e-9) if n else np.ones(d)
     rng = np.random.default_rng(seed)
     w1, w2 = rng.normal(size=(d, p.hidden)) * np.sqrt(2 / max(d, 1)), rng.normal(size=(p.hidden, parts)) * np.sqrt(1 / p.hidden)
@@ -173,22 +174,21 @@ def good_vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def nearest(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, id, distance) of each query's k nearest of x: a bound from one matrix product, then exact distances."""
+    """(row of q, row of x, distance) of the k + 1 nearest rows of x: a bound from one matrix product, then exact distances; ties to the smaller id."""
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for i in range(0, len(q), 256):
-        part = q[i : i + 256]
+    step = max(1, min(256, (8 << 20) // max(1, len(x))))
+    most = (x * x).sum(1).max(initial=0)
+    for i in range(0, len(q), step):
+        part = q[i : i + step]
         d = squared(part, x)
-        tol = 1e-9 * (1 + (part * part).sum(1) + (x * x).sum(1).max(initial=0))
-        for row, (qi, qv) in enumerate(zip(q_ids[i : i + 256], part)):
+        tol = 1e-9 * (1 + (part * part).sum(1) + most)
+        for row, qv in enumerate(part):
             dist = d[row]
-            own = ids == qi
-            if own.any():
-                dist[own] = np.inf
-            least = np.partition(dist, k - 1)[k - 1] if len(dist) > k else np.inf
-            near = np.flatnonzero((dist <= least + tol[row]) & ~own)
+            least = np.partition(dist, k)[k] if len(dist) > k + 1 else np.inf
+            near = np.flatnonzero(dist <= least + tol[row])
             exact = np.sqrt(((x[near] - qv) ** 2).sum(1))
-            best = np.lexsort((ids[near], exact))[:k]
-            out.append((np.full(len(best), qi), ids[near][best], exact[best]))
+            best = np.lexsort((ids[near] != q_ids[i + row], ids[near], exact))[: k + 1]
+            out.append((np.full(len(best), i + row), near[best], exact[best]))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     return tuple(np.concatenate([o[j] for o in out]) for j in range(3))
@@ -201,11 +201,12 @@ def fit(vectors: DataFrame, params: Params = Params(), vec_id: str = "vec_id", e
         return Router(np.zeros(0), np.ones(0), np.zeros((0, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1), 0
     dim = dims[0]["d"]
     most = int(min(params.sample, params.sample_bytes // (8 * max(1, dim))))
-    # equal vectors say nothing new to the graph: one of each is enough
-    sample = vectors.where((F.size(embedding) == dim) & F.col(vec_id).isNotNull()).select(vec_id, embedding).dropDuplicates([embedding])
-    got = sample.orderBy(F.xxhash64(vec_id), vec_id).limit(most).select(embedding).toArrow()
+    # equal vectors say nothing new to the graph: one id of each hash is enough; only hashes and ids move
+    own = vectors.where((F.size(embedding) == dim) & F.col(vec_id).isNotNull()).select(vec_id, embedding).withColumn("_h", F.xxhash64(embedding))
+    chosen = own.groupBy("_h").agg(F.min(vec_id).alias(vec_id)).orderBy(F.xxhash64("_h"), "_h").limit(most)
+    got = own.join(F.broadcast(chosen), ["_h", vec_id]).dropDuplicates(["_h"]).orderBy("_h").select(embedding).toArrow()
     _, x = good_vectors(got.column(0), dim)
-    return train_router(x, params), dim
+    return train_router(x, params, dims[0]["n"]), dim
 
 
 def search(vectors: DataFrame, queries: DataFrame, params: Params = Params(), vec_id: str = "vec_id", embedding: str = "embedding", fitted: tuple[Router, int] | None = None) -> DataFrame:
@@ -228,7 +229,7 @@ def search(vectors: DataFrame, queries: DataFrame, params: Params = Params(), ve
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, x = good_vectors(b.column(1), dim)
+            rows, x = good_vectors(b.column(2), dim)
             src, part = [], []
             if len(rows):
                 order = np.argsort(-shared.value.scores(x), axis=1, kind="stable")
@@ -242,24 +243,33 @@ def search(vectors: DataFrame, queries: DataFrame, params: Params = Params(), ve
                             src.append(i)
                             part.append(q)
             take = pa.array(src, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take).cast(pa.list_(pa.float64())), pa.array(part, pa.int32())], names=["id", "x", "part"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), b.column(2).take(take).cast(pa.list_(pa.float64())), pa.array(part, pa.int32())], names=["q", "id", "x", "part"])
 
-    routed = stage(queries.where(F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long"), embedding).mapInArrow(route, "id long, x array<double>, part int"), "routed")
+    asking = queries.where(F.col(vec_id).isNotNull()).select(F.monotonically_increasing_id().alias("q"), F.col(vec_id).cast("long").alias("id"), embedding)
+    routed = stage(asking.mapInArrow(route, "q long, id long, x array<double>, part int"), "routed")
     asked = {r["part"]: r["n"] for r in routed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    blocks = [(q, max(1, -(-counts[q] // p.block_rows)), max(1, -(-asked[q] // p.block_queries))) for q in asked if q in counts]
+    in_block = max(1, p.block_bytes // (8 * max(1, dim)))
+    blocks = [(q, -(-counts[q] // in_block), -(-asked[q] // in_block)) for q in asked if q in counts]
     if not blocks:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     grid = F.broadcast(spark.createDataFrame(blocks, "part int, nr int, nq int"))  # one row a part
     left = index.join(grid, "part").withColumn("rb", F.pmod(F.xxhash64("id", F.lit(1)), F.col("nr")).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("nq") - 1))).select("part", "rb", "qb", "id", "x")
-    right = routed.join(grid, "part").withColumn("qb", F.pmod(F.xxhash64("id", F.lit(2)), F.col("nq")).cast("int")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.col("nr") - 1))).select("part", "rb", "qb", "id", "x")
+    right = routed.join(grid, "part").withColumn("qb", F.pmod(F.xxhash64("q", F.lit(2)), F.col("nq")).cast("int")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.col("nr") - 1))).select("part", "rb", "qb", "q", "id", "x")
 
     def rerank(rows: pa.Table, asked_here: pa.Table) -> pa.Table:
-        if not rows.num_rows or not asked_here.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        mat = lambda t: t.column("x").combine_chunks().values.to_numpy(zero_copy_only=False)[: t.num_rows * dim].reshape(t.num_rows, dim)
-        q, v, s = nearest(rows.column("id").to_numpy(), mat(rows), asked_here.column("id").to_numpy(), mat(asked_here), p.k)
-        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.float64())})
-
-    found = left.groupBy("part", "rb", "qb").cogroup(right.groupBy("part", "rb", "qb")).applyInArrow(rerank, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= p.k).select("query_id", "rank", "vec_id", "score")
+        none = np.zeros(0, np.int64)
+        q, v, d, query_id, own = none, none, np.zeros(0), none, np.zeros(0, bool)
+        if rows.num_rows and asked_here.num_rows:
+            mat = lambda t: t.column("x").combine_chunks().values.to_numpy(zero_copy_only=False)[: t.num_rows * dim].reshape(t.num_rows, dim)
+            ids, q_ids = rows.column("id").to_numpy(), asked_here.column("id").to_numpy()
+            a, i, d = nearest(ids, mat(rows), q_ids, mat(asked_here), p.k)
+            q, query_id, v = asked_here.column("q").to_numpy()[a], q_ids[a], ids[i]
+            own = (query_id == v) & (d == 0)
+        return pa.table({"q": q, "query_id": query_id, "vec_id": v, "score": d, "own": own})
+
+    found = left.groupBy("part", "rb", "qb").cogroup(right.groupBy("part", "rb", "qb")).applyInArrow(rerank, "q long, query_id long, vec_id long, score double, own boolean")
+    # one row of the query's id and vector is the query itself; of the own rows at distance 0 the first goes
+    alike = Window.partitionBy("q").orderBy(F.col("own").desc(), "score", "vec_id")
+    found = found.withColumn("_first", F.row_number().over(alike)).where(~(F.col("own") & (F.col("_first") == 1)))
+    order = Window.partitionBy("q").orderBy("score", "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= p.k).select("query_id", "rank", "vec_id", "score")
