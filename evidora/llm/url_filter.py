@@ -5,7 +5,8 @@ each word of one block, so a probe is one equi-join on the block number and eigh
 filter reach the exact join, which removes its false positives.
 
 Defined results: a null url, or one without "://", has empty host and path and canonical form null, fits no rule and is
-allowed. Repeated pages are judged alike and each kept. Extra columns are ignored. An empty list or an empty table works.
+allowed. Repeated pages are judged alike and each kept; of fitting rules the longest wins, of those the smaller text. A url of any
+length is judged whole. Extra columns, whatever their names, are kept. An empty list or an empty table works.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS = 8
 #: Odd multipliers, one for each word of a block: the fixed values of the public Parquet split-block filter.
@@ -69,7 +72,7 @@ def match_rule(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, C
 
 
 def _block(key: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+    return F.when(key.isNotNull(), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
 
 
 def _masks(key: Column) -> list[Column]:
@@ -85,32 +88,50 @@ def build_bloom(listed: DataFrame, key: str, blocks: int) -> DataFrame:
 
 
 def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[Rule] = (), url: str = "url", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """pages with host, path, rule, verdict ('allow' or 'block'), possible (passed the Bloom filter) and hit (listed).
+    """pages with host, path, rule, verdict ('allow' or 'block'), possible (passed the Bloom filter) and hit (listed); columns of these names are replaced.
 
     listed: any columns, of which url is judged by its canonical form. Its distinct keys are counted once to size the
-    filter; the filter and the list are broadcast only if they fit broadcast_bytes. Beyond it only the rows that passed
-    are shuffled to the list, after their keys were made distinct, so a hot url weighs one row there.
+    filter; the filter and the list are broadcast only if they fit broadcast_bytes. Beyond it the distinct keys of the pages, not the
+    pages, are shuffled to the filter's blocks and, where they may be listed, to the list. The verdicts of keys come back to the pages
+    by key with a salt from the whole row, so a hot url of different pages is no hot key; urls without a key take no part in any join.
     """
     keys = listed.select(canonical_url(*url_parts(F.col(url))).alias("__listed")).where("__listed is not null").distinct()
     n = keys.count()
     blocks = max(1, -(-n * BITS_PER_KEY // (32 * WORDS)))
     bloom = build_bloom(keys, "__listed", blocks)
-    small_filter, small_list = blocks * BLOCK_BYTES <= broadcast_bytes, n * KEY_BYTES <= broadcast_bytes
+    small = blocks * BLOCK_BYTES <= broadcast_bytes and n * KEY_BYTES <= broadcast_bytes
     host, path, rest = url_parts(F.col(url))
-    base = pages.drop("host", "path", "rule", "verdict", "possible", "hit").withColumns({"host": host, "path": path, "__key": canonical_url(host, path, rest)})
-    base = base.withColumn("__block", _block(F.col("__key"), blocks))
-    probe = base.join(F.broadcast(bloom) if small_filter else bloom, "__block", "left")
-    passed = F.lit(True)
-    for i, m in enumerate(_masks(F.col("__key"))):
-        passed = passed & (F.col(f"__w{i}").bitwiseAND(m) != 0)
-    probe = probe.withColumn("possible", F.coalesce(passed & F.col("__key").isNotNull(), F.lit(False)))
-    if small_list:
-        probe = probe.withColumn("__probe", F.when(F.col("possible"), F.col("__key"))).join(F.broadcast(keys), F.col("__probe") == F.col("__listed"), "left")
-        out = probe.withColumn("hit", F.col("__listed").isNotNull())
+    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "possible", "hit")]
+    key = fresh(pages, "key")
+    base = pages.withColumns({"host": host, "path": path}).withColumn(key, canonical_url(F.col("host"), F.col("path"), rest)).select(*kept, "host", "path", key)
+    if small:
+        probe = _probe(base, key, F.broadcast(bloom), blocks)
+        flag = fresh(probe, "listed")
+        out = probe.join(F.broadcast(keys.withColumnRenamed("__listed", flag)), F.when(F.col("possible"), F.col(key)) == F.col(flag), "left").withColumn("hit", F.col(flag).isNotNull())
     else:
-        maybe = probe.where("possible")
-        hits = maybe.select(F.col("__key").alias("__hit")).distinct().join(keys, F.col("__hit") == F.col("__listed"), "left_semi")
-        out = maybe.join(hits, F.col("__key") == F.col("__hit"), "left").withColumn("hit", F.col("__hit").isNotNull()).drop("__hit").unionByName(probe.where(~F.col("possible")).withColumn("hit", F.lit(False)))
+        salts = max(1, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        salt = fresh(base, "salt")
+        by = [c for c, t in pages.select(*kept).dtypes if "map<" not in t and "variant" not in t]  # what can be hashed
+        base = base.withColumn(salt, F.pmod(F.xxhash64(*by), F.lit(salts)))
+        sent = base.where(F.col(key).isNotNull()).select(key, salt).distinct()
+        judged = _probe(sent.select(F.col(key).alias("__k")).distinct(), "__k", bloom, blocks).where("possible")
+        judged = judged.join(keys, F.col("__k") == F.col("__listed"), "left").select("__k", F.lit(True).alias("possible"), F.col("__listed").isNotNull().alias("hit"))
+        back = sent.join(judged, F.col(key) == F.col("__k")).select(F.col(key).alias("__k"), F.col(salt).alias("__s"), "possible", "hit")
+        with_key = base.where(F.col(key).isNotNull()).join(back, (F.col(key) == F.col("__k")) & (F.col(salt) == F.col("__s")), "left")
+        no = F.lit(False)
+        with_key = with_key.withColumns({"possible": F.coalesce("possible", no), "hit": F.coalesce("hit", no)}).select(*kept, "host", "path", "possible", "hit")
+        out = with_key.unionByName(base.where(F.col(key).isNull()).select(*kept, "host", "path", no.alias("possible"), no.alias("hit")))
     rule, verdict = match_rule(F.col("host"), F.col("path"), list(rules))
     out = out.withColumns({"rule": rule, "verdict": F.coalesce(verdict, F.when(F.col("hit"), "block").otherwise("allow"))})
-    return out.drop("__key", "__block", "__probe", "__listed", *[f"__w{i}" for i in range(WORDS)])
+    return out.select(*kept, "host", "path", "rule", "verdict", "possible", "hit")
+
+
+def _probe(df: DataFrame, key: str, bloom: DataFrame, blocks: int) -> DataFrame:
+    """df with possible: whether all eight bits of its key are set; rows without a key meet no block."""
+    block, names = fresh(df, "block"), [fresh(df, f"w{i}") for i in range(WORDS)]
+    own = bloom.toDF(block, *names)
+    out = df.join(own, _block(F.col(key), blocks) == F.col(block), "left")
+    passed = F.lit(True)
+    for w, m in zip(names, _masks(F.col(key))):
+        passed = passed & (F.col(w).bitwiseAND(m) != 0)
+    return out.withColumn("possible", F.coalesce(passed & F.col(key).isNotNull(), F.lit(False))).drop(block, *names)
