@@ -5,18 +5,22 @@ Every byte that lies in a string of `length` bytes which also starts anywhere el
 1. Winnowing: of the `gram`-byte hashes in each `length`-byte window the least (the leftmost on ties) is its anchor. Equal
    windows have equal anchors at equal offsets, so windows need comparing only where anchors are equal, about one in 170
    positions. The windows of one anchor are consecutive; their union is its context.
-2. Anchors that occur once are dropped. Contexts that occur twice or more, counted by hash on the map side, are covered whole.
+2. Anchors that occur once are dropped. Contexts that occur twice or more, counted by a cryptographic digest (BLAKE2b, 128 bits) on
+   the map side, are covered whole: equal digests are equal bytes, as for whole texts.
 3. The distinct contexts of an anchor are suffix sorted in both directions from it, by mergesort. Two suffixes are compared by
    prefix polynomial hashes: binary search finds how far they agree, so a comparison takes logarithmic time. The common
    extensions of neighbours are verified byte by byte; on a collision the suffixes are sorted by their bytes instead. A window
    with d bytes left of the anchor is repeated if another context agrees on d bytes to the left and length - d to the right.
-4. An anchor with more than `hot` distinct contexts is not gathered in a task: its windows are counted one by one, by hash, with
-   map-side sums.
+4. An anchor with more than `hot` distinct contexts is not gathered in a task: its windows are counted one by one, by the same
+   digest, with map-side sums; the result is that of the suffix sort.
 
 Whole copies of a document never enter steps 2 to 4 more than once: texts are counted by their SHA-256 first.
 
-Defined results: a null text is the empty one; texts shorter than `length` bytes are kept; repeated rows (also of one doc_id) are
-copies of each other; an empty table gives no rows; extra columns are ignored.
+Joins on an anchor or a context are inner or semi joins whose larger side Spark's adaptive execution splits where one key is hot.
+
+Defined results: a null text is the empty one; texts shorter than `length` bytes are kept; a text of any length is one text, scanned
+in overlapping slices of 1 MiB; repeated rows (also of one doc_id) are copies of each other; a tie of hashes in a window goes to the
+leftmost; an empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -94,18 +98,17 @@ def anchors(buf: np.ndarray, ends: np.ndarray, p: Params):
 
 
 def _scan(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
-    """(key, text as bytes) -> (h, u, key, packed)."""
-    import xxhash
+    """(key, text as bytes) -> (h, u, key, packed); u: digest of the context."""
 
     def emit(keys, rows):
         h, u, src, packed = (np.concatenate([r[i] for r in rows]) for i in range(4))
-        return pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(u.astype(np.int64)), keys.take(pa.array(src)), pa.array(packed)], names=["h", "u", "key", "packed"])
+        return pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(u, pa.binary()), keys.take(pa.array(src)), pa.array(packed)], names=["h", "u", "key", "packed"])
 
     def work(raw: bytes, ends: np.ndarray, src: np.ndarray, base: np.ndarray):
         h, at, first, last, text = anchors(np.frombuffer(raw, np.uint8), ends, p)
         view = memoryview(raw)
-        digest = xxhash.xxh3_64_intdigest
-        u = np.fromiter((digest(view[a : b + p.length]) for a, b in zip(first.tolist(), last.tolist())), dtype=np.uint64, count=len(first))
+        u = np.empty(len(first), dtype=object)
+        u[:] = [hashlib.blake2b(view[a : b + p.length], digest_size=16).digest() for a, b in zip(first.tolist(), last.tolist())]
         starts = np.concatenate([[0], ends[:-1]])
         return h, u, src[text], _pack(at - starts[text] + base[text], at - first, at - last)
 
@@ -309,22 +312,18 @@ def _cut_contexts(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.R
 
 
 def _each_window(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
-    """Rows (h, n, key, packed, context) -> (w1, w2, start, n, key): every window of a context by hash."""
-    import xxhash
-
+    """Rows (h, n, key, packed, context) -> (w, start, n, key): every window of a context by its digest and place."""
     for b in batches:
         pos, left, right = _unpack(b.column("packed").to_numpy())
-        w1, w2, start, src = [], [], [], []
-        for i, (h, c) in enumerate(zip(b.column("h").to_pylist(), b.column("context").to_pylist())):
+        w, start, src = [], [], []
+        for i, c in enumerate(b.column("context").to_pylist()):
             view = memoryview(c)
             for d in range(int(right[i]), int(left[i]) + 1):
                 o = int(left[i]) - d
-                x = xxhash.xxh3_128_intdigest(view[o : o + p.length], seed=d)
-                w1.append(((x >> 64) ^ h) & ((1 << 63) - 1))
-                w2.append(x & ((1 << 63) - 1))
+                w.append(hashlib.blake2b(view[o : o + p.length], digest_size=16, salt=d.to_bytes(4, "little")).digest())
                 start.append(int(pos[i]) - d)
                 src.append(i)
-        yield pa.RecordBatch.from_arrays([pa.array(w1, pa.int64()), pa.array(w2, pa.int64()), pa.array(start, pa.int64()), b.column("n").take(pa.array(src, pa.int64())), b.column("key").take(pa.array(src, pa.int64()))], names=["w1", "w2", "start", "n", "key"])
+        yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(start, pa.int64()), b.column("n").take(pa.array(src, pa.int64())), b.column("key").take(pa.array(src, pa.int64()))], names=["w", "start", "n", "key"])
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,7 +364,7 @@ def remove_repeats(docs: DataFrame, params: Params = Params(), doc_id: str = "do
     light = raw.select("_id", "key", "_sha", F.octet_length("_text").cast("long").alias("n_bytes"))
     copies = light.groupBy("key").agg(F.count(F.lit(1)).alias("n_copies"), F.min("_id").alias("_rep"))
 
-    found = stage(raw.where(F.octet_length("_text") >= p.length).select("key", F.col("_text").cast("binary").alias("t")).mapInArrow(run(_scan), "h long, u long, key binary, packed long"), "anchors")
+    found = stage(raw.where(F.octet_length("_text") >= p.length).select("key", F.col("_text").cast("binary").alias("t")).mapInArrow(run(_scan), "h long, u binary, key binary, packed long"), "anchors")
     again = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     found = stage(found.join(again, "h", "left_semi").distinct(), "repeated")
     contexts = found.groupBy("h", "u").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "packed")).alias("one"))
@@ -387,9 +386,9 @@ def remove_repeats(docs: DataFrame, params: Params = Params(), doc_id: str = "do
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     sorted_ = cut.where(~F.col("hot")).drop("hot").repartition(parts, "h").sortWithinPartitions("h")
     near = sorted_.mapInArrow(run(_sort_groups), "key binary, start long, end long")
-    each = cut.where("hot").drop("hot").mapInArrow(run(_each_window), "w1 long, w2 long, start long, n long, key binary")
-    twice = each.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c")
-    hot = each.where("n = 1").join(twice, ["w1", "w2"], "left_semi").select("key", "start", (F.col("start") + p.length).alias("end"))
+    each = cut.where("hot").drop("hot").mapInArrow(run(_each_window), "w binary, start long, n long, key binary")
+    twice = each.groupBy("w").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c")
+    hot = each.where("n = 1").join(twice, "w", "left_semi").select("key", "start", (F.col("start") + p.length).alias("end"))
 
     spans = whole.unionByName(near).unionByName(hot).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     # a text with copies goes whole; only others need their bytes again
