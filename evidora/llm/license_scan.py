@@ -1,16 +1,18 @@
-"""Licence scan: each line against licence templates by the Dice coefficient over word bigrams.
+"""Licence scan: lines and paragraphs against licence templates by the Dice coefficient over word bigrams.
 
-Native: DataFrame functions only. Text is lower-cased, everything but letters and digits becomes a space, and a line is
-compared as the set of its word bigrams. A template with t bigrams can reach a coefficient of at least tau only with lines
-of t*tau/(2-tau) to t*(2-tau)/tau bigrams, so a line's number of words alone picks its candidate templates; lines of a
-size that no template allows never get bigrams at all. Before that, lines without any of the words that such a match must hold
-(cover_words, a lossless bound) are passed over.
+Native: DataFrame functions only. A unit is a single line, or a paragraph: a whole run of two or more lines that hold words, so a
+grant or a licence wrapped over lines is one unit, whatever marks (such as '#' or ' * ') begin its lines. Text is lower-cased,
+everything but letters and digits becomes a space, and a unit is compared as the set of its word bigrams. A template with t bigrams
+can reach a coefficient of at least tau only with units of t*tau/(2-tau) to t*(2-tau)/tau bigrams, so a unit's size alone picks its
+candidate templates. Before that, texts and units without any of the words that such a match must hold (cover_words, a lossless
+bound) are passed over.
 
-scan_licences judges whole single lines. scan_windows judges runs of consecutive words of the whole text, wherever lines end, against
-the same templates and whole licence texts; it needs Python, for texts that hold a cover word only.
+scan_licences judges whole units. scan_windows judges runs of consecutive words of the whole text, wherever lines end, against the
+same templates; it needs Python, for texts that hold a cover word only.
 
-Defined results: null and empty texts have no lines and no rows; a repeated document or doc_id is scanned row by row; a
-template tie goes to the smaller template id; extra columns are ignored.
+Defined results: null and empty texts have no units and no rows; a text of any length is judged whole; a repeated document or doc_id
+is scanned row by row; a template tie goes to the smaller template id; an empty table gives no rows; extra columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -25,9 +27,6 @@ from pyspark.sql import functions as F
 from .common import small_text_batches
 
 MIN_DICE = 0.8
-#: Templates are a short list given by the caller; more than this are refused.
-MAX_TEMPLATES = 2000
-
 #: Public licence grants and notices, in their common wording.
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("mit-released", "Released under the MIT License."),
@@ -53,7 +52,7 @@ _BSD = "Redistribution and use in source and binary forms, with or without modif
 _BSD_3 = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
 _BSD_REST = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
 
-#: Whole permission texts, for scan_windows.
+#: Whole permission texts.
 FULL_TEXTS: tuple[tuple[str, str], ...] = (
     ("mit-permission", _MIT),
     ("mit-text", _MIT + _MIT_REST),
@@ -100,34 +99,43 @@ def cover_words(grams: list[str], min_dice: float = MIN_DICE) -> list[str]:
 
 
 def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
-    """template, grams, n_template: bounded by MAX_TEMPLATES."""
-    if len(templates) > MAX_TEMPLATES:
-        raise ValueError(f"{len(templates)} templates; at most {MAX_TEMPLATES} are compared in one scan")
+    """template, grams, n_template: a list given by the caller, which becomes part of the plan."""
     rows = spark.createDataFrame([tuple(t) for t in templates], "template string, wording string")
     return rows.select("template", bigrams(normal_words(F.col("wording"))).alias("grams")).withColumn("n_template", F.size("grams"))
 
 
-def scan_licences(docs: DataFrame, templates=TEMPLATES, min_dice: float = MIN_DICE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each line that reaches min_dice: doc_id, line (from 0), template (its best), dice, n_grams."""
+def units(text: Column) -> Column:
+    """[(line, n_lines, words)] of a text: each line that holds words, and each run of two or more such lines."""
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]+", " ")))
+    single = F.transform(lines, lambda x, i: F.struct(i.alias("line"), F.lit(1).alias("n_lines"), x.alias("words")))
+    # runs between blank lines: their ends, then the lines of each
+    joined = F.split(F.array_join(F.transform(lines, lambda x, i: F.when(x == "", "\n").otherwise(F.concat(i.cast("string"), F.lit("\t"), x, F.lit("\t")))), ""), "\n")
+    runs = F.filter(F.transform(joined, lambda r: F.split(r, "\t")), lambda r: F.size(r) > 4)
+    several = F.transform(runs, lambda r: F.struct(r[0].cast("int").alias("line"), F.floor(F.size(r) / 2).cast("int").alias("n_lines"), F.array_join(F.filter(r, lambda x, i: i % 2 == 1), " ").alias("words")))
+    return F.concat(F.filter(single, lambda u: u["words"] != ""), several)
+
+
+def scan_licences(docs: DataFrame, templates=TEMPLATES + FULL_TEXTS, min_dice: float = MIN_DICE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each unit that reaches min_dice: doc_id, line (its first, from 0), n_lines, template (its best), dice, n_grams."""
     spark = docs.sparkSession
-    by_size = template_table(spark, templates).collect()  # a short list given by the caller
-    sizes = sorted({k for t in by_size for k in range(size_bounds(t.n_template, min_dice)[0], size_bounds(t.n_template, min_dice)[1] + 1)})
+    by_size = template_table(spark, templates).where("n_template > 0").collect()  # a short list given by the caller
+    bounds = {t.template: size_bounds(t.n_template, min_dice) for t in by_size}
+    sizes = sorted({k for low, high in bounds.values() for k in range(low, high + 1)})
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
     if not sizes:
-        return docs.select(F.col(doc_id), F.lit(0).alias("line"), F.lit("").alias("template"), F.lit(0.0).alias("dice"), F.lit(0).alias("n_grams")).where("false")
-    # lossless: texts and lines without any cover word can't reach min_dice with any template
+        return rows.select(F.col("_id").alias(doc_id), F.lit(0).alias("line"), F.lit(1).alias("n_lines"), F.lit("").alias("template"), F.lit(0.0).alias("dice"), F.lit(0).alias("n_grams")).where("false")
+    # lossless: texts and units without any cover word can't reach min_dice with any template
     words = "|".join(sorted({w for t in by_size for w in cover_words(list(t.grams), min_dice)}))
-    cover = rf"(?<![\p{{L}}\p{{N}}])(?:{words})(?![\p{{L}}\p{{N}}])"
-    docs = docs.where(F.lower(F.col(text)).rlike(cover))
-    lines = docs.select(F.col(doc_id), F.posexplode(F.split(F.col(text), "\n")).alias("line", "_line"))
-    lines = lines.where(F.lower("_line").rlike(cover))
-    lines = lines.withColumn("_words", normal_words(F.col("_line"))).where(F.size("_words") > 0)
-    lines = lines.withColumn("_grams", bigrams(F.col("_words"))).withColumn("n_grams", F.size("_grams")).where(F.col("n_grams").isin(sizes))
+    rows = rows.where(F.lower("_text").rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{words})(?![\p{{L}}\p{{N}}])"))
+    found = rows.select("_id", F.explode(units(F.col("_text"))).alias("_u")).select("_id", "_u.line", "_u.n_lines", "_u.words")
+    found = found.where(F.col("words").rlike(rf"(?:^| )(?:{words})(?: |$)")).withColumn("words", F.split("words", " "))
+    found = found.withColumn("_grams", bigrams(F.col("words"))).withColumn("n_grams", F.size("_grams")).where(F.col("n_grams").isin(sizes))
     structs = [
-        F.when(F.col("n_grams").between(*size_bounds(t.n_template, min_dice)), F.struct((2.0 * F.size(F.array_intersect("_grams", F.array(*[F.lit(g) for g in t.grams]))) / (F.col("n_grams") + F.lit(t.n_template))).alias("dice"), F.lit(-i).alias("order"), F.lit(t.template).alias("template")))
+        F.when(F.col("n_grams").between(*bounds[t.template]), F.struct((2.0 * F.size(F.array_intersect("_grams", F.array(*[F.lit(g) for g in t.grams]))) / (F.col("n_grams") + F.lit(t.n_template))).alias("dice"), F.lit(-i).alias("order"), F.lit(t.template).alias("template")))
         for i, t in enumerate(sorted(by_size, key=lambda t: t.template))
     ]
-    hits = lines.withColumn("_best", F.array_max(F.array(*structs))).where(F.col("_best.dice") >= min_dice)
-    return hits.select(F.col(doc_id), F.col("line").cast("int").alias("line"), F.col("_best.template").alias("template"), F.round("_best.dice", 6).alias("dice"), "n_grams")
+    hits = found.withColumn("_best", F.array_max(F.array(*structs))).where(F.col("_best.dice") >= min_dice)
+    return hits.select(F.col("_id").alias(doc_id), "line", "n_lines", F.col("_best.template").alias("template"), F.round("_best.dice", 6).alias("dice"), "n_grams")
 
 
 def windows(words: list[str], templates: list[tuple[str, frozenset]], min_dice: float = MIN_DICE) -> list[tuple[int, int, str, float]]:

@@ -51,13 +51,13 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.train(docs, toxicity.training_rows(labels))
-    scored = toxicity.score_documents(docs, model, ["doc_id"])
+    scored = toxicity.score_documents(docs, model, ["doc_id"], locate=True)
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "worst_start", "worst_end", "worst_probability")
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), found="n_entities")
+    return pii.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), pii.Surrogates(pii.session_key(spark)), found="n_entities")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,16 +108,21 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/
 
 
 def _licence_sql() -> str:
-    values = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in license_scan.TEMPLATES)
+    """Every line and every paragraph of every document against every template."""
+    values = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in license_scan.TEMPLATES + license_scan.FULL_TEXTS)
     words = lambda x: f"list_filter(string_split(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '')"
     grams = "CASE WHEN len(w) = 1 THEN [w[1] || ' ' || w[1]] ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END"
     return f"""
 WITH t AS (SELECT template, {grams} AS g FROM (SELECT template, {words('wording')} AS w FROM (VALUES {values}) v(template, wording))),
-l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
-s AS (SELECT doc_id, line, {grams} AS g FROM (SELECT doc_id, line, {words('x')} AS w FROM l WHERE regexp_matches(x, '(?i)licen|permi|copyright|redistrib')) WHERE len(w) > 0),
-d AS (SELECT doc_id, line, template, 2.0::DOUBLE * len(list_intersect(s.g, t.g)) / (len(s.g) + len(t.g)) AS dice, len(s.g) AS n FROM s, t)
-SELECT doc_id, line::INT AS line, template, round(dice, 6) AS dice, n::INT AS n_grams
-FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY dice DESC, template) AS rn FROM d WHERE dice >= 0.8) WHERE rn = 1
+d AS (SELECT row_number() OVER () AS row, doc_id, text FROM documents),
+l AS (SELECT row, doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM d),
+w AS (SELECT row, doc_id, line, {words('x')} AS w FROM l),
+r AS (SELECT *, line - row_number() OVER (PARTITION BY row ORDER BY line) AS run FROM w WHERE len(w) > 0),
+u AS (SELECT row, doc_id, line, 1 AS n_lines, w FROM r UNION ALL SELECT row, doc_id, min(line), count(*), flatten(list(w ORDER BY line)) FROM r GROUP BY row, doc_id, run HAVING count(*) > 1),
+s AS (SELECT row, doc_id, line, n_lines, {grams} AS g FROM u),
+c AS (SELECT row, doc_id, line, n_lines, template, 2.0::DOUBLE * len(list_intersect(s.g, t.g)) / (len(s.g) + len(t.g)) AS dice, len(s.g) AS n FROM s, t WHERE len(s.g) <= 3 * len(t.g))
+SELECT doc_id, line::INT AS line, n_lines::INT AS n_lines, template, round(dice, 6) AS dice, n::INT AS n_grams
+FROM (SELECT *, row_number() OVER (PARTITION BY row, line, n_lines ORDER BY dice DESC, template) AS rn FROM c WHERE dice >= 0.8) WHERE rn = 1
 """
 
 
