@@ -10,33 +10,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidora.llm import decontaminate, near_dedup, packing, pii, toxicity
-from evidora.llm.common import stage, table
+from evidora.llm.common import fresh, stage, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold. Labels are learned only where they may be."""
+    """Documents that score below the threshold. Labels are learned only where they may be.
+
+    Null and empty texts score low and stay; repeated rows go or stay alike; without labels of both classes nothing can be told
+    apart, and all documents stay. Columns, also one named score, are as they were.
+    """
     model = toxicity.train(docs, toxicity.training_rows(table(spark, sf_dir, "labels")))
-    return toxicity.score_documents(docs, model).where(F.col("score") < toxicity.THRESHOLD).drop("score")
+    if model.constant is not None:
+        return docs
+    score = fresh(docs, "score")
+    return toxicity.score_documents(docs, model, score=score).where(F.col(score) < toxicity.THRESHOLD).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates."""
+    """One document of each class of near-duplicates: the least id, one row of it. Documents without a word (null and empty ones) all stay."""
     return near_dedup.keep_one(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item stands."""
+    """Documents in which no benchmark item stands. Null and empty texts hold none and stay; repeated rows go or stay alike."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with surrogates in place of personal data; n_chars follows the new text."""
-    out = pii.replace_pii(docs)
+    """All documents, with surrogates in place of personal data; n_chars follows the new text. Null texts stay null; repeated rows change alike."""
+    out = pii.replace_pii(docs, pii.Surrogates(pii.session_key(spark)))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their places in sequences of at most 1024 tokens."""
+    """Pieces of all documents with their places in sequences of at most 1024 tokens; null and empty texts are one end-of-text id."""
     return packing.pack_documents(docs)
 
 
