@@ -16,6 +16,7 @@ from .operators import diagnosis as dg
 from .operators import localisation as lo
 from .operators import retrieval as rt
 from .operators import selection as se
+from .operators import stages as sg
 from .sources import readers as rd
 from .sources import views as vw
 from .streaming import incremental as inc
@@ -71,36 +72,18 @@ def agg_null_as_zero_vs_skip(spark, sf_dir):
     return r6(v.groupBy("domain").agg(F.avg(F.coalesce("v", F.lit(0.0))).alias("null_as_zero"), F.avg("v").alias("null_skipped")))
 
 
-#: The records of five suppliers' first lines, for the queries that are compared with SQL draw by draw; the queries below resample all records.
-_SLICE = "supp <= 5 AND line = 1"
-_DRAWS = f"""WITH r AS (SELECT domain, answer_correct AS c, usd AS u, row_number() OVER (PARTITION BY domain ORDER BY example_id, part, supp) - 1 AS i FROM {REC} WHERE {_SLICE}),
-s AS (SELECT domain, count(*) AS n FROM r GROUP BY domain),
-d AS (SELECT domain, n, b, ('0x' || substr(md5('42:' || b || ':' || k), 1, 8))::UBIGINT % n AS i FROM s, unnest(range(0, 100)) x(b), LATERAL (SELECT unnest(range(0, n)) AS k)),
-m AS (SELECT d.domain, b, sum(c) / any_value(n) AS mean, CASE WHEN sum(c) > 0 THEN sum(u) / sum(c) END AS ratio FROM d JOIN r ON d.domain = r.domain AND d.i = r.i GROUP BY d.domain, b)"""
-
-
-@query(f"{_DRAWS}, k AS (SELECT domain, mean, row_number() OVER (PARTITION BY domain ORDER BY mean) - 1 AS p FROM m) SELECT domain, round(max(mean) FILTER (p = 2), 6) AS lo, round(max(mean) FILTER (p = 97), 6) AS hi FROM k GROUP BY domain")
-def bootstrap_accuracy_ci(spark, sf_dir):
-    return r6(ag.bootstrap_mean(vw.records(spark, sf_dir).where(_SLICE), ["domain"], ["example_id", "part", "supp"], "answer_correct", resamples=100))
-
-
-@query(f"{_DRAWS}, k AS (SELECT domain, ratio, row_number() OVER (PARTITION BY domain ORDER BY ratio) - 1 AS p, count(*) OVER (PARTITION BY domain) AS q FROM m WHERE ratio IS NOT NULL) SELECT domain, round(max(ratio) FILTER (p = floor(0.025 * q)), 6) AS lo, round(max(ratio) FILTER (p = least(q - 1, floor(0.975 * q))), 6) AS hi FROM k GROUP BY domain")
-def bootstrap_usd_ratio_ci(spark, sf_dir):
-    return r6(ag.bootstrap_ratio(vw.records(spark, sf_dir).where(_SLICE), ["domain"], ["example_id", "part", "supp"], "usd", "answer_correct", resamples=100))
-
-
 @query()
 def bootstrap_mersenne(spark, sf_dir):
     return ag.mersenne_bootstrap(vw.records(spark, sf_dir), ["domain"], "answer_correct")
 
 
 @query()
-def bootstrap_accuracy_ci_all(spark, sf_dir):
+def bootstrap_accuracy_ci(spark, sf_dir):
     return r6(ag.bootstrap_mean_large(vw.records(spark, sf_dir), ["domain"], ["example_id", "line", "part", "supp"], "answer_correct"))
 
 
 @query()
-def bootstrap_usd_ratio_ci_all(spark, sf_dir):
+def bootstrap_usd_ratio_ci(spark, sf_dir):
     return r6(ag.bootstrap_ratio_large(vw.records(spark, sf_dir), ["domain"], ["example_id", "line", "part", "supp"], "usd", "answer_correct"))
 
 
@@ -294,39 +277,11 @@ def evidence_reward(spark, sf_dir):
     return r6(vw.records(spark, sf_dir).select("example_id", "line", "part", "supp", reward.alias("reward")))
 
 
-def _contract_frame(spark, sf_dir):
-    """Questions that ask for several shapes, made of orders."""
-    o = vw.table(spark, sf_dir, "orders")
-    forms = ["What is the lowest voltage rating in the row?", "Which unit and value does the table give?", "Explain the visual cues in the chart.", "What are the min/typ/max values?", "Is the checkbox checked?", "Which company reached its maximum, and the corresponding value?", "Name the part number."]
-    q = F.element_at(F.array(*[F.lit(x) for x in forms]), (F.col("o_orderkey") % len(forms) + 1).cast("int"))
-    return o.select(F.col("o_orderkey").alias("example_id"), q.alias("question"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).otherwise(F.floor("o_totalprice").cast("string")).alias("answer"))
-
-
-@query()
-def answer_contract_flags(spark, sf_dir):
-    q = _contract_frame(spark, sf_dir)
-    return q.select("example_id", *[v.alias(k) for k, v in an.answer_contract(F.col("question")).items()])
-
-
-@query()
-def contract_failures(spark, sf_dir):
-    q = _contract_frame(spark, sf_dir)
-    c = an.answer_contract(F.col("question"))
-    return q.select("example_id", an.contract_failures(F.col("answer"), c).alias("failures"), an.contract_risks(c).alias("risks"))
-
-
-@query()
-def shape_normalise(spark, sf_dir):
-    a = vw.answers(spark, sf_dir)
-    return a.select("example_id", an.normalise_answer(F.col("pred"), F.col("answer_type"), F.lit("finance"), F.lit("what is the current")).alias("shaped"))
-
-
 @query("SELECT event_id, round(usd, 6) AS usd FROM (SELECT event_id, (value * p.price_in + (event_id % 1000) * p.price_out) / 1e6 AS usd FROM events e LEFT JOIN (VALUES ('click', 3.0::DOUBLE, 15.0::DOUBLE), ('view', 0.25, 1.0), ('purchase', 1.0, 5.0)) p(model, price_in, price_out) ON p.model = lower(e.event_type))")
 def usd_pricing_join(spark, sf_dir):
-    prices = spark.createDataFrame([("click", 3.0, 15.0), ("view", 0.25, 1.0), ("purchase", 1.0, 5.0)], "model string, price_in double, price_out double")
-    e = vw.table(spark, sf_dir, "events").select("event_id", "value", F.lower("event_type").alias("model"))
-    usd = (F.col("value") * F.col("price_in") + (F.col("event_id") % 1000) * F.col("price_out")) / 1e6
-    return r6(e.join(F.broadcast(prices), "model", "left").select("event_id", usd.alias("usd")))  # three rows, given here
+    prices = spark.createDataFrame([("Click", 3.0, 15.0), ("view", 0.25, 1.0), ("purchase", 1.0, 5.0)], "model string, price_in double, price_out double")
+    e = vw.table(spark, sf_dir, "events").select("event_id", F.upper("event_type").alias("model"), F.col("value").alias("tokens_in"), (F.col("event_id") % 1000).alias("tokens_out"))
+    return r6(ag.price(e, prices).select("event_id", "usd"))
 
 
 # ---- boxes
@@ -417,24 +372,36 @@ def bm25_topk(spark, sf_dir):
     return r6(rt.bm25(vw.page_texts(spark, sf_dir), vw.questions(spark, sf_dir)))
 
 
-@query(f"{_BM}, g AS (SELECT question_id, doc, page, h.score FROM (SELECT doc, page, item_id AS question_id FROM (SELECT source AS doc, doc_id AS page FROM documents), benchmark) FULL JOIN (SELECT * FROM h WHERE rank <= 5) h USING (question_id, doc, page)), k AS (SELECT *, row_number() OVER (PARTITION BY question_id, doc ORDER BY score IS NULL, round(score, 9) DESC, page) AS rank FROM g) SELECT question_id, doc, page, round(coalesce(score, 0), 6) AS score, rank, CASE WHEN score IS NULL THEN 'pad' ELSE 'hit' END AS reason FROM k WHERE rank <= 5")
+_ASKED = "(SELECT item_id AS question_id, 'src' || (item_id % 20) AS doc FROM benchmark)"
+
+
+@query(f"{_BM}, g AS (SELECT a.question_id, a.doc, d.doc_id AS page, h.score FROM {_ASKED} a JOIN documents d ON d.source = a.doc LEFT JOIN (SELECT * FROM h WHERE rank <= 5) h ON h.question_id = a.question_id AND h.doc = a.doc AND h.page = d.doc_id), k AS (SELECT *, row_number() OVER (PARTITION BY question_id, doc ORDER BY score IS NULL, round(score, 9) DESC, page) AS rank FROM g) SELECT question_id, doc, page, round(coalesce(score, 0), 6) AS score, rank, CASE WHEN score IS NULL THEN 'pad' ELSE 'hit' END AS reason FROM k WHERE rank <= 5")
 def route_pages_padded(spark, sf_dir):
-    pages, q = vw.page_texts(spark, sf_dir), vw.questions(spark, sf_dir)
+    pages, q = vw.page_texts(spark, sf_dir), vw.asked(spark, sf_dir)
     return r6(rt.route(pages, rt.bm25(pages, q), q))
 
 
-@query("SELECT item_id AS question_id, doc, page, 0.0::DOUBLE AS score, rank, 'pad' AS reason FROM benchmark, (SELECT source AS doc, doc_id AS page, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents) WHERE rank <= 5")
+@query(f"SELECT question_id, doc, page, 0.0::DOUBLE AS score, rank, 'pad' AS reason FROM {_ASKED} JOIN (SELECT source AS doc, doc_id AS page, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents) USING (doc) WHERE rank <= 5")
 def route_no_match(spark, sf_dir):
-    pages, q = vw.page_texts(spark, sf_dir), vw.questions(spark, sf_dir).withColumn("question", F.lit("zzzqx"))
+    pages, q = vw.page_texts(spark, sf_dir), vw.asked(spark, sf_dir).withColumn("question", F.lit("zzzqx"))
     return r6(rt.route(pages, rt.bm25(pages, q), q))
 
 
+@query()
+def bm25_porter_topk(spark, sf_dir):
+    """As bm25_topk with folded diacritics and Porter stems, as a full-text index would have them; SQL has neither."""
+    return r6(rt.bm25(vw.page_texts(spark, sf_dir), vw.questions(spark, sf_dir), analyse=rt.porter_terms))
+
+
 @query(f"SELECT source AS doc, count(*) AS n_pages, sum(len({_TOK}))::BIGINT AS n_tokens, round(avg(len({_TOK})), 6) AS avgdl FROM documents GROUP BY source")
 def index_stats(spark, sf_dir):
     return r6(rt.statistics(vw.page_texts(spark, sf_dir)).groupBy("doc").agg(F.count(F.lit(1)).alias("n_pages"), F.sum("dl").alias("n_tokens"), F.avg("dl").alias("avgdl")))
 
 
-@query()
+_Q = "[" + ", ".join(f"1.0::DOUBLE / {i + 1}" for i in range(64)) + "]"
+
+
+@query(f"SELECT vec_id, round(score, 6) AS score FROM (SELECT vec_id, list_dot_product(embedding::DOUBLE[], {_Q}) / nullif(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product({_Q}, {_Q})), 0) AS score FROM embeddings) ORDER BY score DESC NULLS LAST, vec_id LIMIT 10")
 def cosine_topk(spark, sf_dir):
     return r6(rt.cosine_top_k(vw.table(spark, sf_dir, "embeddings"), [1.0 / (i + 1) for i in range(64)], 10))
 
@@ -463,11 +430,12 @@ def page_diverse_topn(spark, sf_dir):
     return r6(se.page_diverse(_ranked(spark, sf_dir), ["doc"], "page", order, 3).select("doc", "page", "part", "supp", "line", "rank"))
 
 
-@query(f"SELECT doc, part, supp, line::BIGINT AS line, row_number() OVER (PARTITION BY doc ORDER BY round(coalesce(rel * score, 0), 9) DESC, coalesce(part, 1 << 30), part, supp, line) AS rank FROM (SELECT *, CASE WHEN part % 3 = 0 THEN (part % 10) / 10.0::DOUBLE END AS rel FROM {BOX} WHERE is_gold)")
+@query(f"SELECT doc, part, supp, line::BIGINT AS line, row_number() OVER (PARTITION BY doc ORDER BY coalesce(rel * score, 0) DESC, CASE WHEN rel IS NOT NULL THEN part ELSE 1 << 30 END, part, supp, line) AS rank FROM (SELECT *, CASE WHEN part % 3 = 0 THEN (part % 10) / 10.0::DOUBLE END AS rel FROM {BOX} WHERE is_gold)")
 def rerank_merge_sort(spark, sf_dir):
-    b = vw.boxes(spark, sf_dir).where("is_gold").withColumn("rel", F.when(F.col("part") % 3 == 0, (F.col("part") % 10) / 10.0))
-    w = Window.partitionBy("doc").orderBy(F.round(F.coalesce(F.col("rel") * F.col("score"), F.lit(0.0)), 9).desc(), "part", "supp", "line")
-    return r6(b.select("doc", "part", "supp", "line", F.row_number().over(w).alias("rank")))
+    none = F.array().cast("array<string>")
+    b = vw.boxes(spark, sf_dir).where("is_gold").withColumns({"region_id": F.concat_ws(":", "part", "supp", "line"), "ordinal": F.struct("part", "supp", "line"), "hints": none})
+    marked = b.where("part % 3 = 0").select("doc", "region_id", ((F.col("part") % 10) / 10.0).alias("relevance"), F.lit(None).cast("string").alias("needed_for"), none.alias("hints"), F.col("part").alias("entry"))
+    return r6(se.merge_rerank(b, marked, ["doc"]).select("doc", "part", "supp", "line", "rank"))
 
 
 def _regions(spark, sf_dir):
@@ -528,16 +496,9 @@ def best_answer_lexicographic(spark, sf_dir):
 _W3 = r"list_distinct(regexp_extract_all(lower({}), '[a-z0-9]{{3,}}'))"
 
 
-@query(f"SELECT doc_id, line::BIGINT AS line, overlap, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY overlap DESC, line) AS rank FROM (SELECT doc_id, line, len(list_intersect({_W3.format('l')}, q)) AS overlap FROM (SELECT doc_id, unnest(string_split(d.text, chr(10))) AS l, generate_subscripts(string_split(d.text, chr(10)), 1) - 1 AS line, {_W3.format('b.text')} AS q FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id)) WHERE overlap > 0) WHERE rank <= 6")
+@query(f"SELECT doc_id, line::BIGINT AS line, overlap, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY overlap DESC, line) AS rank FROM (SELECT doc_id, line, len(list_intersect({_W3.format('l')}, q)) AS overlap FROM (SELECT doc_id, unnest(string_split(d.text, chr(10))) AS l, generate_subscripts(string_split(d.text, chr(10)), 1) - 1 AS line, {_W3.format('b.text')} AS q FROM documents d JOIN (SELECT text, row_number() OVER (ORDER BY item_id) - 1 AS i FROM benchmark) b ON d.doc_id % (SELECT count(*) FROM benchmark) = b.i)) WHERE overlap > 0) WHERE rank <= 6")
 def repair_lines_topk(spark, sf_dir):
-    docs = vw.table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id"))
-    q = vw.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
-    return r6(se.line_overlap(docs.join(q, "item_id"), docs.select("doc_id").distinct(), ["doc_id"], "text", "question"))
-
-
-@query()
-def repair_lines_topk_all_items(spark, sf_dir):
-    """As repair_lines_topk, with documents dealt over all items by rank."""
+    """Documents are dealt over all items by rank."""
     q = vw.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
     q = q.withColumn("_r", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("item_id")) - 1)  # over items, a bounded list
     docs = vw.table(spark, sf_dir, "documents").select("doc_id", "text", F.pmod("doc_id", F.lit(max(1, q.count()))).cast("int").alias("_r"))
@@ -557,15 +518,8 @@ def stage_efficiency_mean_trunc(spark, sf_dir):
     return ag.stage_efficiency_means(ag.stage_efficiency(vw.steps(spark, sf_dir)))
 
 
-@query(f"{_BM} SELECT question_id, bool_or(page % 3 = 0) FILTER (rank <= 1) AS hit_1, bool_or(page % 3 = 0) FILTER (rank <= 3) AS hit_3, bool_or(page % 3 = 0) AS hit_5, round(avg((page % 3 = 0)::INT), 6) AS precision_5 FROM h WHERE rank <= 5 AND doc = 'src0' GROUP BY question_id")
+@query(f"{_BM} SELECT question_id, doc, bool_or(page % 3 = 0) FILTER (rank <= 1) AS hit_1, bool_or(page % 3 = 0) FILTER (rank <= 3) AS hit_3, bool_or(page % 3 = 0) AS hit_5, round(avg((page % 3 = 0)::INT), 6) AS precision_5 FROM h WHERE rank <= 5 GROUP BY question_id, doc")
 def route_hit_at_k(spark, sf_dir):
-    h = rt.bm25(vw.page_texts(spark, sf_dir).where("doc = 'src0'"), vw.questions(spark, sf_dir)).withColumn("gold", F.col("page") % 3 == 0)
-    return r6(h.groupBy("question_id").agg(*[F.bool_or(F.when(F.col("rank") <= k, F.col("gold"))).alias(f"hit_{k}") for k in (1, 3, 5)], F.avg(F.col("gold").cast("int")).alias("precision_5")))
-
-
-@query()
-def route_hit_at_k_by_doc(spark, sf_dir):
-    """Hits and precision of each question in each source, all sources."""
     h = rt.bm25(vw.page_texts(spark, sf_dir), vw.questions(spark, sf_dir)).withColumn("gold", F.col("page") % 3 == 0)
     return r6(h.groupBy("question_id", "doc").agg(*[F.bool_or(F.when(F.col("rank") <= k, F.col("gold"))).alias(f"hit_{k}") for k in (1, 3, 5)], F.avg(F.col("gold").cast("int")).alias("precision_5")))
 
@@ -579,14 +533,13 @@ def verifier_first_vs_last(spark, sf_dir):
 @query("SELECT loop, count(*) AS n, round(count(*) / (sum(count(*)) OVER ())::DOUBLE, 6) AS share FROM (SELECT CASE event_type WHEN 'click' THEN 'accepted' WHEN 'view' THEN 'abstained' WHEN 'purchase' THEN 'exhausted' ELSE 'no_loop' END AS loop FROM events) GROUP BY loop")
 def loop_distribution(spark, sf_dir):
     raw = F.create_map(*[F.lit(x) for x in ("click", "accepted", "view", "abstained", "purchase", "exhausted", "signup", "accepted_preserved_initial")])
-    loop = F.coalesce(F.element_at(raw, F.col("stage")), F.lit("no_loop"))
-    loop = F.when(loop.isin("no_loop", "accepted", "abstained", "exhausted"), loop).otherwise("no_loop")
-    return r6(ag.shares(vw.steps(spark, sf_dir).select(loop.alias("loop")), "loop"))
+    telemetry = F.struct(F.lit(0).alias("retries_used"), F.element_at(raw, F.col("stage")).alias("loop_terminated"), F.lit(None).cast("boolean").alias("loop_retry_helped"))
+    return r6(ag.shares(vw.steps(spark, sf_dir).select(sg.loop(telemetry)["ended"].alias("loop")), "loop"))
 
 
-@query(f"SELECT sequence, n FROM (SELECT sequence, count(*) AS n, min(trace) AS f FROM (SELECT trace, array_to_string(list(stage ORDER BY ts, event_id)[1:3], '>') AS sequence FROM (SELECT * FROM {STEP} WHERE tool IS NOT NULL) GROUP BY trace) GROUP BY sequence) ORDER BY n DESC, f LIMIT 5")
+@query(f"SELECT sequence, n FROM (SELECT sequence, count(*) AS n, min(trace) AS f FROM (SELECT trace, array_to_string(list(stage ORDER BY ts, event_id), '>') AS sequence FROM (SELECT * FROM {STEP} WHERE tool IS NOT NULL) GROUP BY trace) GROUP BY sequence) ORDER BY n DESC, f LIMIT 5")
 def tool_sequence_top5(spark, sf_dir):
-    s = vw.steps(spark, sf_dir).where("tool is not null").withColumn("_r", F.row_number().over(Window.partitionBy("trace").orderBy("ts", "event_id"))).where("_r <= 3")
+    s = vw.steps(spark, sf_dir).where("tool is not null")
     return ag.top_sequences(s, ["trace"], ["ts", "event_id"], "stage")
 
 
@@ -675,15 +628,8 @@ def _responses(b):
     return b.select("doc", "part", "supp", "line", F.when(F.col("supp") % 3 == 0, F.concat(F.lit("Here it is:\n```json\n"), body, F.lit("\n```"))).otherwise(body).alias("text"))
 
 
-@query(f"SELECT doc, 'r' || part AS region_id, round(greatest(0, least(1, round(score * 2, 3))), 6) AS relevance, CASE WHEN supp % 2 = 0 THEN 'caption_context' END AS needed_for, supp FROM {BOX} WHERE line = 1")
+@query(f"SELECT doc, 'r' || part AS region_id, round(greatest(0, least(1, round(score * 2, 3))), 6) AS relevance, CASE WHEN supp % 2 = 0 THEN 'caption_context' END AS needed_for, supp, line::BIGINT AS line FROM {BOX}")
 def rerank_json_validate(spark, sf_dir):
-    e = _responses(vw.boxes(spark, sf_dir).where("line = 1")).select("doc", "supp", F.explode(st.rerank_entries(F.col("text"))).alias("e"))
-    return r6(e.select("doc", "e.region_id", "e.relevance", "e.needed_for", "supp"))
-
-
-@query()
-def rerank_json_validate_all(spark, sf_dir):
-    """As rerank_json_validate, from the boxes of all lines."""
     e = _responses(vw.boxes(spark, sf_dir)).select("doc", "supp", "line", F.explode(st.rerank_entries(F.col("text"))).alias("e"))
     return r6(e.select("doc", "e.region_id", "e.relevance", "e.needed_for", "supp", "line"))
 
@@ -739,3 +685,10 @@ def unique_ids(spark, sf_dir):
 def stress_filter(spark, sf_dir):
     o = vw.table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("domain"), F.when(F.col("o_orderstatus") == "F", "none").otherwise(F.col("o_orderstatus")).alias("stress_type"))
     return rd.drop_stress(o).groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
+
+
+# the other books of queries add theirs
+from . import casebook, tracebook  # noqa: E402, F401
+
+QUERIES |= casebook.QUERIES
+ORACLE_SQL |= casebook.ORACLE_SQL

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # What a rerank entry may ask for.
 NEEDED_FOR = ("primary", "legend_binding", "axis_reading", "caption_context", "footnote_adjustment", "table_cell_lookup", "header_disambiguation")
 HINTS = ("legend", "caption", "x_axis", "y_axis", "title", "footnote", "unit", "row_header", "column_header", "continuation")
-NEXT_ACTIONS = ("accept", "expand_context", "reinspect", "escalate", "abstain")
 BUDGETS = ("easy_local", "multi_region", "highres_tiny", "cross_page")
 ROUTES = ("text_first", "visual_first", "hybrid", "all_pages")
 
@@ -46,18 +47,24 @@ def plan(text: Column) -> Column:
     )
 
 
-def verdict(text: Column) -> Column:
-    """{supported, reason, next_action, confidence} made consistent: supported accepts, unsupported never does."""
-    v = F.from_json(json_part(text), "struct<supported:boolean,reason:string,next_action:string,confidence:double>")
-    supported = F.coalesce(v["supported"], F.lit(False))
-    action = F.regexp_replace(F.lower(F.coalesce(v["next_action"], F.lit(""))), "[ -]", "_")
-    action = F.when(action.isin(*NEXT_ACTIONS), action).otherwise("escalate")
-    return F.struct(
-        supported.alias("supported"),
-        F.substring(F.coalesce(v["reason"], F.lit("")), 1, 240).alias("reason"),
-        F.when(supported, "accept").when(action == "accept", "escalate").otherwise(action).alias("next_action"),
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(v["confidence"], F.lit(0.0)))).alias("confidence"),
-    )
+def simple_answer(text: Column) -> Column:
+    """{answer, citations} of a single-shot response; text that is no JSON object is the answer itself, and citations without a page and four numbers fall out."""
+    body = json_part(text)
+    a = F.from_json(body, "struct<answer:string,citations:array<struct<page:string,bbox:string>>>")
+    cited = F.transform(F.coalesce(a["citations"], F.array().cast("array<struct<page:string,bbox:string>>")), lambda c: F.struct(c["page"].try_cast("int").alias("page"), F.from_json(c["bbox"], "array<double>").alias("bbox")))
+    good = F.filter(cited, lambda c: c["page"].isNotNull() & (F.size(c["bbox"]) == 4) & ~F.exists(c["bbox"], lambda x: x.isNull()))
+    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json(body)).startswith("OBJECT"), F.lit(False))
+    return F.struct(F.when(is_object, F.coalesce(a["answer"], F.lit(""))).otherwise(F.trim(F.coalesce(text, F.lit("")))).alias("answer"), F.when(is_object, good).otherwise(F.array().cast("array<struct<page:int,bbox:array<double>>>")).alias("citations"))
+
+
+def structured_region(text: Column) -> Column:
+    """{region_kind, headers, units, candidate_rows, key_values, checkboxes, notes, confidence}: lists cleaned, each text once, confidence in [0, 1]."""
+    lists = ("headers", "units", "candidate_rows", "key_values", "checkboxes", "notes")
+    r = F.from_json(json_part(text), "struct<region_kind:string,confidence:string," + ",".join(f"{c}:string" for c in lists) + ">")
+    clean = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    items = lambda c: F.array_distinct(F.filter(F.transform(F.coalesce(F.from_json(r[c], "array<string>"), F.array().cast("array<string>")), clean), lambda x: x != ""))
+    kind = clean(r["region_kind"])
+    return F.struct(F.when(kind != "", kind).otherwise("unknown").alias("region_kind"), *[items(c).alias(c) for c in lists], F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(r["confidence"].try_cast("double"), F.lit(0.0)))).alias("confidence"))
 
 
 def answer(text: Column, packet_ids: Column) -> Column:
@@ -77,10 +84,14 @@ def turn(text: Column) -> Column:
     return F.struct(F.when(is_tool, t["action"]).alias("tool"), F.when(is_tool, t["action_input"]).alias("input"), F.when(~F.coalesce(is_tool, F.lit(False)), F.coalesce(t["final_answer"], t["action_input"], F.trim(text))).alias("final"))
 
 
-def crop_plan(text: Column, n_candidates: Column) -> Column:
-    """[{region_idx, mode}] with indices in range."""
+def crop_plan(text: Column, n_candidates: Column, scores: Column | None = None, n: int = 3) -> Column:
+    """[{region_idx, mode}] with indices in range; without any the n regions of the best scores, whole, if scores are given."""
     rows = F.from_json(json_part(text), "array<struct<region_idx:int,mode:string>>")
-    return F.filter(rows, lambda r: (r["region_idx"] >= 0) & (r["region_idx"] < n_candidates))
+    good = F.filter(F.coalesce(rows, F.array().cast("array<struct<region_idx:int,mode:string>>")), lambda r: (r["region_idx"] >= 0) & (r["region_idx"] < n_candidates))
+    if scores is None:
+        return good
+    ranked = F.slice(F.array_sort(F.transform(scores, lambda s, i: F.struct((-s).alias("s"), i.alias("i")))), 1, n)
+    return F.when(F.size(good) > 0, good).otherwise(F.transform(ranked, lambda r: F.struct(r["i"].alias("region_idx"), F.lit("full").alias("mode"))))
 
 
 def json_list_issue(text: Column) -> Column:
@@ -108,7 +119,9 @@ def metric_paths(df, json_column: str, *keep: str, depth: int = 4):
 
 
 def _explode(level, keep):
-    view = "_level"
+    view = f"level_{uuid.uuid4().hex}"  # a name of its own: callers may run at the same time
     level.createOrReplaceTempView(view)
     names = "".join(f"l.{k}, " for k in keep)
-    return level.sparkSession.sql(f"SELECT {names} CASE WHEN l.path = '' THEN e.key ELSE concat(l.path, '.', e.key) END AS path, e.value AS v FROM {view} l, LATERAL variant_explode(l.v) e WHERE e.key IS NOT NULL")
+    out = level.sparkSession.sql(f"SELECT {names} CASE WHEN l.path = '' THEN e.key ELSE concat(l.path, '.', e.key) END AS path, e.value AS v FROM {view} l, LATERAL variant_explode(l.v) e WHERE e.key IS NOT NULL")
+    level.sparkSession.catalog.dropTempView(view)
+    return out

@@ -177,3 +177,14 @@ def top_sequences(df: DataFrame, by: list[str], order: list[str], value: str, k:
     """The k most frequent sequences of value within groups: ties to the sequence seen first by its group key."""
     seqs = df.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, value))), lambda x: x[value]), ">").alias("sequence"))
     return seqs.groupBy("sequence").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*by)).alias("_first")).orderBy(F.desc("n"), "_first").limit(k).drop("_first")
+
+
+def price(df: DataFrame, prices: DataFrame, tokens_in: str = "tokens_in", tokens_out: str = "tokens_out", keys: tuple[str, ...] = ("model",)) -> DataFrame:
+    """df with usd: tokens times the price per million of their model, by keys in lower case; null where no price is known.
+
+    prices: keys, price_in, price_out; a short list, one row a model.
+    """
+    known = prices.select(*[F.lower(k).alias(f"_{k}") for k in keys], "price_in", "price_out").dropDuplicates([f"_{k}" for k in keys])
+    j = df.join(known, [F.lower(df[k]) == F.col(f"_{k}") for k in keys], "left")
+    usd = (F.col(tokens_in) * F.col("price_in") + F.col(tokens_out) * F.col("price_out")) / 1e6
+    return j.withColumn("usd", usd).drop("price_in", "price_out", *[f"_{k}" for k in keys])

@@ -135,3 +135,8 @@ def seeded_pick(df: DataFrame, by: str, key: str, seed: int, n: int = 1) -> Data
     """n keys of each group, by hash order."""
     w = Window.partitionBy(by).orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(key))), key)
     return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
+
+
+def only_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose id is listed, repeats kept."""
+    return df.join(ids.select(key).distinct(), key, "left_semi").select(*df.columns)

@@ -64,10 +64,15 @@ def page_images(raw: DataFrame, images: str = "page_images") -> DataFrame:
 
 
 def with_unique_ids(df: DataFrame, order: list[str], id_column: str = "example_id") -> DataFrame:
-    """Missing ids become row-NNNN; the k-th repeat of an id gets the suffix __k."""
-    w = Window.partitionBy(id_column).orderBy(*order)
+    """unique_id: a missing or empty id becomes row-NNNN by its place among those, the k-th repeat of an id gets the suffix __k.
+
+    Rows without an id are numbered in blocks by a hash of their order, so that they are no single hot group: row-<block>-<place>.
+    """
+    none = F.col(id_column).isNull() | (F.col(id_column) == "")
+    block = F.when(none, F.pmod(F.xxhash64(*order), F.lit(1000))).otherwise(-1)
+    w = Window.partitionBy(F.when(~none, F.col(id_column)), block).orderBy(*order)
     k = F.row_number().over(w)
-    named = F.when(F.col(id_column).isNull() | (F.col(id_column) == ""), F.format_string("row-%04d", k.cast("int"))).when(k > 1, F.concat(F.col(id_column), F.lit("__"), k.cast("string"))).otherwise(F.col(id_column))
+    named = F.when(none, F.format_string("row-%03d-%04d", block.cast("int"), k.cast("int"))).when(k > 1, F.concat(F.col(id_column), F.lit("__"), k.cast("string"))).otherwise(F.col(id_column))
     return df.withColumn("unique_id", named)
 
 
@@ -78,9 +83,24 @@ def last_by_id(df: DataFrame, order: list[str], id_column: str = "id") -> DataFr
     return best.select(id_column, *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
+def read_split(spark: SparkSession, folder: str, split: str, limit: int | None = None) -> DataFrame:
+    """Raw examples of one split as JSON lines: <split>.jsonl, or candidates.jsonl where that is missing, rows of the split or of none; limit is the caller's."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{split}.jsonl")
+    own = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    df = spark.read.schema(RAW_EXAMPLE_SCHEMA).json(f"{folder}/{split if own else 'candidates'}.jsonl").where(F.col("id").isNotNull())
+    df = df.where(F.col("split").isNull() | (F.col("split") == split))
+    return df if limit is None else df.limit(limit)
+
+
+def doc_stem(example_id):
+    """The document part of an id '<domain>-<document>-<number>'."""
+    return F.regexp_extract(example_id, r"^(?:[a-z]{3}-)?(.+?)(?:-\d+)?$", 1)
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
     """n_rows and an order-free checksum of all columns."""
-    return df.select(F.xxhash64(*df.columns).alias("h")).agg(F.count(F.lit(1)).alias("n_rows"), F.hex(F.bit_xor("h")).alias("fingerprint"))
+    total = F.sum(F.col("h").cast("decimal(38,0)"))  # a sum, so that repeated rows count
+    return df.select(F.xxhash64(*df.columns).alias("h")).agg(F.count(F.lit(1)).alias("n_rows"), F.sha2(F.coalesce(total, F.lit(0)).cast("string"), 256).alias("fingerprint"))
 
 
 def write_run(records: DataFrame, manifest: dict, path: str) -> None:
@@ -104,6 +124,21 @@ def write_table(df: DataFrame, path: str, fmt: str = "json") -> None:
 # ---- recorded responses: the engine never calls a model
 
 
+def canonical_json(**fields):
+    """JSON of named columns in the order of their names, doubles at four places: equal requests spell alike."""
+    spelled = lambda v: F.when(v.cast("string").isNull(), "null").otherwise(v.cast("string"))
+    parts = [F.concat(F.lit(f'"{k}":'), spelled(v)) for k, v in sorted(fields.items())]
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
+def json_number(v, places: int = 4):
+    return F.format_string(f"%.{places}f", v.cast("double"))
+
+
+def json_text(v):
+    return F.to_json(F.array(v)).substr(F.lit(2), F.length(F.to_json(F.array(v))) - 2)
+
+
 def cache_key(*parts: str):
     """The content key of a request: sha256 over its canonical parts."""
     return F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts]), 256)

@@ -118,6 +118,11 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
 
 
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """questions with the document that each is asked of."""
+    return questions(spark, sf_dir).withColumn("doc", F.concat(F.lit("src"), (F.col("question_id") % 20).cast("string")))
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
 
