@@ -9,8 +9,8 @@
    then those that are not yet in its component.
 3. Connected components over the verified links (large-star and small-star steps on tables; nothing is collected).
 4. Buckets whose members are not all of one component go on: every member outside the bucket's largest component is compared with
-   all members of other components by three exact bounds (component, length, and a bitmap of the counts of word pairs: an edit changes
-   at most two pairs), in blocks of bounded size; in large buckets only with members of a like length. The few pairs that no
+   all members of other components by three exact bounds (component, length, and a bitmap of their word pairs: an edit changes at
+   most two pairs), in blocks of bounded size; in large buckets only with members of a like length. The few pairs that no
    bound rules out are aligned too.
    So any two members of a bucket end up in one class, or were aligned, or were ruled out exactly.
 
@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from .common import drop_stage, fresh, small_text_batches, stage
 from .textvec import mix, words
 
-#: Word pairs are counted in so many places, up to twice each.
-PLACES = 2048
+#: Hashed word pairs are marked in so many places.
+PLACES = 4096
 #: Members of a bucket, or pairs of one pivot, in one block.
 BLOCK = 1024
 #: Distinct texts that a task remembers having sketched.
@@ -179,13 +179,14 @@ def _blob(texts: list[str | None]) -> list[bytes]:
 
 
 def pair_maps(texts: list[str | None]) -> np.ndarray:
-    """A bitmap for each text: the places with a pair of neighbouring words, then those with two or more; as 64-bit words."""
+    """A bitmap for each text, as 64-bit words: the places of its pairs of neighbouring words."""
     w = words(texts)
     with np.errstate(over="ignore"):
         same = w.doc[1:] == w.doc[:-1]
         place = (mix(w.h[:-1] * np.uint64(0x9E3779B97F4A7C15) + w.h[1:])[same] >> np.uint64(64 - PLACES.bit_length() + 1)).astype(np.int64)
-    n = np.bincount(w.doc[1:][same] * PLACES + place, minlength=len(texts) * PLACES).reshape(len(texts), PLACES)
-    return np.packbits(np.concatenate([n >= 1, n >= 2], axis=1), axis=1, bitorder="little").view(np.uint64)
+    bits = np.zeros((len(texts), PLACES), dtype=bool)
+    bits[w.doc[1:][same], place] = True
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
 
 
 def pairs_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -241,6 +242,12 @@ def _align(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
+def _only(blobs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The texts that some pair needs, as a table of their own: few, once most links are known."""
+    keys = stage(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "keys")
+    return stage(blobs.join(keys, "key", "left_semi"), "few")
+
+
 def _verify(pairs: DataFrame, blobs: DataFrame, p: Params) -> DataFrame:
     """Links (a, b as nodes) of pairs (a, b, salt as keys). A pivot's text is sent once for each of its salts, so no key is hot."""
     sent = pairs.select("a", "salt").distinct().join(blobs.select(F.col("key").alias("a"), F.col("node").alias("na"), F.col("w").alias("wa")), "a")
@@ -249,6 +256,12 @@ def _verify(pairs: DataFrame, blobs: DataFrame, p: Params) -> DataFrame:
     return both.select("na", "nb", "wa", "wb").mapInArrow(lambda x: _align(x, p), f"a {node}, b {node}")
 
 
+def _checksum(pairs: DataFrame) -> tuple:
+    """The number of distinct rows and two sums of their hashes: two tables of one checksum are taken as equal."""
+    row = pairs.agg(F.count(F.lit(1)), *[F.sum(F.xxhash64("u", "v", F.lit(seed)).cast("decimal(38,0)")) for seed in (1, 2)]).first()
+    return tuple(row)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the least node of the connected component of each node in edges (a, b), of any type that has an order.
 
@@ -256,6 +269,7 @@ def components(edges: DataFrame) -> DataFrame:
     a hot node; the number of rounds is logarithmic, and they go on until nothing changes. Superseded tables are deleted.
     """
     now = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "star")
+    after = _checksum(now)
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -265,11 +279,11 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         small = stage(small, "star")
-        same = now.count() == small.count() and now.exceptAll(small).isEmpty()
+        before, after = after, _checksum(small)
         drop_stage(now)
         drop_stage(large)
         now = small
-        if same:
+        if before == after:
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
@@ -309,7 +323,7 @@ def _cross(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBa
         number = key.dictionary_encode().indices.to_numpy()  # keys and roots as small numbers
         root = col("root").dictionary_encode().indices.to_numpy()
         names = key.to_pylist()
-        maps = np.frombuffer(b"".join(col("pairs").to_pylist()), np.uint64).reshape(-1, PLACES // 32)
+        maps = np.frombuffer(b"".join(col("pairs").to_pylist()), np.uint64).reshape(-1, PLACES // 64)
         for x, y in _group_pairs(group, left, right, 1 << 18):
             most = np.floor((1 - p.similarity) * np.maximum(n[x], n[y]) + 1e-9).astype(np.int64)
             ok = (root[x] != root[y]) & (np.abs(n[x] - n[y]) <= most)
@@ -414,13 +428,15 @@ def near_classes(docs: DataFrame, params: Params = Params(), doc_id: str = "doc_
     rest = pairs.join(best, ["a", "b"], "left_anti").select("a", "b", "salt")
     of_a = rest.select("a", "salt").distinct().join(known.toDF("a", "ra"), "a")
     rest = rest.join(of_a, ["a", "salt"], "left").join(known.toDF("b", "rb"), "b", "left").where(~F.coalesce("ra", "a").eqNullSafe(F.coalesce("rb", "b"))).select("a", "b", "salt")
-    more = stage(_verify(stage(rest, "rest"), blobs, p), "links")
+    rest = stage(rest, "rest")
+    more = stage(_verify(rest, _only(blobs, rest), p), "links")
     drop_stage(pairs)
     if not more.isEmpty():
         links = links.union(more)
         drop_stage(roots)
         roots = stage(components(links), "roots")
-    found = stage(_verify(_across(shared, texts, roots, p), blobs, p), "found")
+    near = _across(shared, texts, roots, p)
+    found = stage(_verify(near, _only(blobs, near), p), "found")
     drop_stage(shared)
     if not found.isEmpty():
         links = links.union(found)
