@@ -63,16 +63,18 @@ def page_images(raw: DataFrame, images: str = "page_images") -> DataFrame:
     return raw.select("id", F.posexplode(images).alias("i", "image"), "supporting_pages").select("id", F.coalesce(F.get("supporting_pages", F.col("i")), F.col("i") + 1).alias("page"), "image")
 
 
-def with_unique_ids(df: DataFrame, order: list[str], id_column: str = "example_id") -> DataFrame:
-    """unique_id: a missing or empty id becomes row-NNNN by its place among those, the k-th repeat of an id gets the suffix __k.
+def with_unique_ids(df: DataFrame, order: list[str], id_column: str = "example_id", position: str | None = None) -> DataFrame:
+    """unique_id: a missing or empty id becomes row-NNNN by the row's position, the k-th repeat of an id gets the suffix __k.
 
-    Rows without an id are numbered in blocks by a hash of their order, so that they are no single hot group: row-<block>-<place>.
+    position: the column that has it (a line number). Without one, rows without an id are numbered in blocks by a hash of their order,
+    so that they are no single hot group: row-<block>-<place>.
     """
     none = F.col(id_column).isNull() | (F.col(id_column) == "")
     block = F.when(none, F.pmod(F.xxhash64(*order), F.lit(1000))).otherwise(-1)
     w = Window.partitionBy(F.when(~none, F.col(id_column)), block).orderBy(*order)
     k = F.row_number().over(w)
-    named = F.when(none, F.format_string("row-%03d-%04d", block.cast("int"), k.cast("int"))).when(k > 1, F.concat(F.col(id_column), F.lit("__"), k.cast("string"))).otherwise(F.col(id_column))
+    made = F.format_string("row-%04d", F.col(position).cast("long")) if position else F.format_string("row-%03d-%04d", block.cast("int"), k.cast("int"))
+    named = F.when(none, made).when(k > 1, F.concat(F.col(id_column), F.lit("__"), k.cast("string"))).otherwise(F.col(id_column))
     return df.withColumn("unique_id", named)
 
 
