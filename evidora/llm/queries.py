@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, license_scan, near_dedup, packing, pii, substring_dedup, token_counts, toxicity, url_filter
+from . import ann, decontaminate, lexical, license_scan, near_dedup, packing, pii, simhash, substring_dedup, token_counts, toxicity, url_filter, vector_codes
 from .common import table
 
 RULES = [
@@ -77,9 +77,21 @@ def op10_licence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_windows(table(spark, sf_dir, "documents"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_table(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_url_filter, op2_substring_dedup, op3_near_dedup, op4_token_counts, op5_decontaminate, op6_toxicity, op7_pii, op8_packing, op9_nearest, op10_licences, op10_licence_windows)
+    for f in (op1_url_filter, op2_substring_dedup, op3_near_dedup, op4_token_counts, op5_decontaminate, op6_toxicity, op7_pii, op8_packing, op9_nearest, op10_licences, op10_licence_windows, op11_simhash, op12_ranked_search, op13_vector_codes)
 }
 
 _HOST_PATH = r"""
@@ -127,3 +139,44 @@ FROM (SELECT *, row_number() OVER (PARTITION BY row, line, n_lines ORDER BY dice
 
 
 SQL["op10_licences"] = _licence_sql()
+
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')"
+
+SQL["op12_ranked_search"] = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_TERMS} AS t FROM documents WHERE text IS NOT NULL),
+n AS (SELECT row, doc_id, len(t)::BIGINT AS n FROM d WHERE len(t) > 0),
+s AS (SELECT count(*)::BIGINT AS nd, sum(n)::BIGINT AS nt FROM n),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+p AS (SELECT row, term, count(*)::BIGINT AS tf FROM (SELECT row, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY row, term),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(nd) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, s GROUP BY term),
+i AS (SELECT row, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * nd) // nt))) AS part FROM p JOIN w USING (term) JOIN n USING (row), s),
+r AS (SELECT item_id, row, doc_id, sum(part)::BIGINT AS score FROM q JOIN i USING (term) GROUP BY item_id, row, doc_id)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0) WHERE rank <= 10
+"""
+
+
+def _codes_sql() -> str:
+    """Plain assignment to every entry, twice with a move of the entries and once without."""
+    xs = [f"x{i}" for i in range(4)]
+    distance = " + ".join(f"(p.{x} - b.{x}) * (p.{x} - b.{x})" for x in xs)
+    mean = lambda x: f"((sum({x}) - ((sum({x}) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS {x}"
+    steps = []
+    for r in range(3):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT r, part, min(({distance}) * 64 + entry) AS k FROM p JOIN b{r} b USING (part) GROUP BY r, part)")
+        if r < 2:
+            steps.append(f"m{r} AS (SELECT part, k % 64 AS entry, {', '.join(mean(x) for x in xs)} FROM p JOIN a{r} USING (r, part) GROUP BY part, k % 64)")
+            steps.append(f"b{r + 1} AS MATERIALIZED (SELECT part, entry, {', '.join(f'coalesce(m.{x}, b.{x}) AS {x}' for x in xs)} FROM b{r} b LEFT JOIN m{r} m USING (part, entry))")
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS r, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT r, part, {', '.join(f'x[part * 4 + {i + 1}] AS x{i}' for i in range(4))} FROM v, range(16) t(part)),
+b0 AS MATERIALIZED (SELECT part, r AS entry, {', '.join(xs)} FROM p WHERE r < 64),
+{", ".join(steps)},
+c AS (SELECT r, string_agg(format('{{:02x}}', k % 64), '' ORDER BY part) AS code, sum(k // 64)::BIGINT AS error FROM a2 GROUP BY r),
+h AS (SELECT sha256(string_agg(concat_ws(',', {', '.join(xs)}), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b2),
+l AS (SELECT label, sum(error)::BIGINT AS label_error FROM v JOIN c USING (r) GROUP BY label)
+SELECT vec_id, code, error, label_error, codebooks_sha256 FROM v JOIN c USING (r) JOIN l ON v.label IS NOT DISTINCT FROM l.label, h
+"""
+
+
+SQL["op13_vector_codes"] = _codes_sql()
