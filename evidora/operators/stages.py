@@ -62,10 +62,13 @@ def tools(steps: Column, reward: Column) -> Column:
 
 
 def efficiency(records: DataFrame, key: str = "example_id") -> DataFrame:
-    """key, stage, tokens, usd, latency_ms, tool_calls: sums over all steps of a stage, repeats in a retry loop included."""
+    """key, stage, tokens, usd, latency_ms, tool_calls: sums over all steps of a stage, repeats in a retry loop included.
+
+    Money is summed as decimals of twelve places, so a sum does not depend on the order of its steps.
+    """
     s = records.select(key, F.explode("trace.steps").alias("s")).where(F.coalesce("s.stage", F.lit("")) != "")
     zero = lambda c: F.coalesce(F.col(f"s.{c}"), F.lit(0))
-    return s.groupBy(key, F.col("s.stage").alias("stage")).agg(F.sum(zero("tokens_in") + zero("tokens_out")).alias("tokens"), F.sum(zero("usd")).alias("usd"), F.sum(zero("latency_ms")).alias("latency_ms"), F.count_if(is_tool(F.col("s"))).alias("tool_calls"))
+    return s.groupBy(key, F.col("s.stage").alias("stage")).agg(F.sum(zero("tokens_in") + zero("tokens_out")).alias("tokens"), F.sum(zero("usd").cast("decimal(24,12)")).cast("double").alias("usd"), F.sum(zero("latency_ms")).alias("latency_ms"), F.count_if(is_tool(F.col("s"))).alias("tool_calls"))
 
 
 def stage_metrics(records: DataFrame) -> DataFrame:

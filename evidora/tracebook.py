@@ -75,7 +75,7 @@ def stage_metrics_aggregate(spark, sf_dir):
     return r6(sg.aggregate(sg.stage_metrics(traces(spark, sf_dir)), "answer_type"))
 
 
-@query(f"SELECT k::VARCHAR AS example_id, stage, sum(tin + tout)::BIGINT AS tokens, round(sum(usd), 6) AS usd, sum(lat)::BIGINT AS latency_ms, count(*) FILTER (tool IS NOT NULL OR action = 'tool_call') AS tool_calls FROM {_L} GROUP BY k, stage")
+@query(f"SELECT k::VARCHAR AS example_id, stage, sum(tin + tout)::BIGINT AS tokens, round(sum(usd::DECIMAL(24,12)), 6)::DOUBLE AS usd, sum(lat)::BIGINT AS latency_ms, count(*) FILTER (tool IS NOT NULL OR action = 'tool_call') AS tool_calls FROM {_L} GROUP BY k, stage")
 def stage_efficiency_records(spark, sf_dir):
     return r6(sg.efficiency(traces(spark, sf_dir)))
 
