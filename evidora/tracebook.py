@@ -5,7 +5,7 @@ A trace is made of the lines of an order: each line is a step. SQL works on the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import catalog as cat
@@ -19,6 +19,7 @@ from .operators import selection as se
 from .operators import stages as sg
 from .plans import evaluation
 from .plans import recorded as recorded_plans
+from .plans import retry_machine as rm
 from .sources import readers as rd
 from .sources import views as vw
 
@@ -325,3 +326,68 @@ def deterministic_override(spark, sf_dir):
 @query("SELECT conv_id, count(*) AS n_packets, string_agg('[' || r || '] ' || t, chr(10) ORDER BY r) AS prompt FROM (SELECT conv_id, t, row_number() OVER (PARTITION BY conv_id ORDER BY o, t) AS r FROM (SELECT conv_id, substr(trim(text), 1, 600) AS t, min(turn) AS o FROM conversations WHERE coalesce(trim(text), '') <> '' GROUP BY 1, 2)) GROUP BY conv_id")
 def prompt_assembly(spark, sf_dir):
     return r6(recorded_plans.prompts(vw.turns(spark, sf_dir), ["conv_id"], "turn"))
+
+
+# ---- retries over recorded responses
+
+MACHINE_ACTIONS = ("accept", "abstain", "retry_localization", "expand_context", "escalate_reasoner", "ask_again")
+MACHINE = rm.Policy(max_retries=2, max_evidence_retries=3)
+
+
+def recorded_attempts(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(questions, answers, verdicts): an order is a question, each of its lines a region and what was recorded for one attempt."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")  # the lines of one order
+    lines = vw.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", (F.row_number().over(w) - 1).alias("attempt"))
+    k, p, s, n = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey"), F.col("attempt").cast("string")
+    region = F.struct(F.concat(F.lit("p"), n).alias("id"), (F.col("l_discount") * 5).alias("confidence"))
+    near = F.struct(F.concat(F.lit("p"), n).alias("of"), F.concat(F.lit("n"), n).alias("id"), (F.col("l_tax") * 2).alias("distance"))
+    questions = lines.groupBy(k.cast("string").alias("example_id")).agg(F.array_sort(F.collect_list(region)).alias("regions"), F.array_sort(F.collect_list(near)).alias("neighbours"))
+    questions = questions.select("*", F.lit("What is stated?").alias("question"), F.when(F.col("example_id").cast("long") % 3 == 0, "AnswerType.UNANSWERABLE").otherwise("numeric").alias("answer_type"))
+    cites = F.array(F.concat(F.lit("p"), (s % 4).cast("string")), F.concat(F.lit("n"), (p % 4).cast("string")))
+    answer = lambda gone, shift: F.when(gone, "Unanswerable").otherwise(F.concat(F.lit("V"), (s % 90 + shift).cast("string")))
+    row = [k.cast("string").alias("example_id"), "attempt"]
+    answers = lines.select(*row, answer(s % 4 == 0, 100).alias("answer"), cites.alias("citations"), (F.col("l_quantity") / 50).alias("confidence"), F.lit(False).alias("nudged"))
+    nudged = lines.where((F.col("attempt") == 0) & (s % 3 == 0)).select(*row, answer(s % 8 == 0, 300).alias("answer"), cites.alias("citations"), F.lit(0.5).alias("confidence"), F.lit(True).alias("nudged"))
+    verdicts = lines.select(*row, (p % 6 == 0).alias("supported"), _pick(MACHINE_ACTIONS, p).alias("next_action"), F.array(F.concat(F.lit("p"), (p % 4).cast("string"))).alias("targets"), (s % 5 == 0).alias("shape_failure"))
+    return questions, answers.unionByName(nudged), verdicts
+
+
+_MACHINE = f"""WITH RECURSIVE ln AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS a FROM lineitem),
+rec AS MATERIALIZED (SELECT l_orderkey AS k, a, CASE WHEN l_suppkey % 4 = 0 THEN 'Unanswerable' ELSE 'V' || (l_suppkey % 90 + 100) END AS answer, ['p' || (l_suppkey % 4), 'n' || (l_partkey % 4)] AS cites, l_quantity / 50 AS conf, l_partkey % 6 = 0 AS sup,
+  {_sql_pick(MACHINE_ACTIONS, 'l_partkey')} AS act, ['p' || (l_partkey % 4)] AS targets, l_suppkey % 5 = 0 AS shape, l_suppkey % 3 = 0 AS again, CASE WHEN l_suppkey % 8 = 0 THEN 'Unanswerable' ELSE 'V' || (l_suppkey % 90 + 300) END AS answer2 FROM ln),
+q AS MATERIALIZED (SELECT l_orderkey AS k, list({{'id': 'p' || a, 'c': l_discount * 5}} ORDER BY a) AS regions, list({{'of': 'p' || a, 'id': 'n' || a, 'd': l_tax * 2}} ORDER BY a) AS near, l_orderkey % 3 = 0 AS untyped FROM ln GROUP BY l_orderkey),
+s0 AS (SELECT q.*, list_transform(list_filter(regions, lambda r: r.c >= 0.3::DOUBLE), lambda r: r.id) AS e0 FROM q),
+s1 AS (SELECT s0.*, list_concat(e0, list_transform(list_filter(near, lambda n: list_contains(e0, n.of) AND n.d <= 0.08::DOUBLE), lambda n: n.id)) AS ev FROM s0),
+s2 AS (SELECT s1.*, r.*EXCLUDE (k, cites, answer, conf), list_filter(r.cites, lambda c: list_contains(ev, c)) AS ci, r.answer AS an1, r.conf AS cf1 FROM s1 JOIN rec r ON r.k = s1.k AND r.a = 0),
+s3 AS (SELECT s2.*, an1 = 'Unanswerable' AND len(ci) > 0 AND again AS asked FROM s2),
+m AS (
+  SELECT k, 0 AS a, regions, near, untyped, 0.3::DOUBLE AS th, 0.08::DOUBLE AS pad, ev, ev AS scope, CASE WHEN asked AND answer2 <> 'Unanswerable' THEN answer2 ELSE an1 END AS an, ci, CASE WHEN asked AND answer2 <> 'Unanswerable' THEN 0.5::DOUBLE ELSE cf1 END AS cf, sup, act, targets, shape, 0 AS er, false AS tr,
+    'plan route_pages localize rerank inspect expand_context answer ' || CASE WHEN asked THEN 'answer ' ELSE '' END || 'verify' AS st,
+    CASE WHEN asked AND answer2 <> 'Unanswerable' THEN answer2 ELSE an1 END AS i_an, ci AS i_ci, CASE WHEN asked AND answer2 <> 'Unanswerable' THEN 0.5::DOUBLE ELSE cf1 END AS i_cf, ev AS i_scope, sup AS i_sup,
+    NOT sup AS has_b, CASE WHEN asked AND answer2 <> 'Unanswerable' THEN answer2 ELSE an1 END AS b_an, ci AS b_ci, CASE WHEN asked AND answer2 <> 'Unanswerable' THEN 0.5::DOUBLE ELSE cf1 END AS b_cf, ev AS b_scope, false AS lost FROM s3
+  UNION ALL
+  SELECT k, a, regions, near, untyped, th, pad, ev, scope, CASE WHEN lost THEN an ELSE r_an END, CASE WHEN lost THEN ci ELSE r_ci END, CASE WHEN lost THEN cf ELSE r_cf END, CASE WHEN lost THEN sup ELSE r_sup END, CASE WHEN lost THEN act ELSE r_act END, targets, shape, er, tr, st || CASE WHEN lost THEN '' ELSE ' answer verify' END, i_an, i_ci, i_cf, i_scope, i_sup,
+    has_b OR (NOT lost AND NOT r_sup), CASE WHEN swap THEN r_an ELSE b_an END, CASE WHEN swap THEN r_ci ELSE b_ci END, CASE WHEN swap THEN r_cf ELSE b_cf END, CASE WHEN swap THEN scope ELSE b_scope END, lost FROM (
+    SELECT *, NOT lost AND NOT r_sup AND (NOT has_b OR CASE WHEN r_an = 'Unanswerable' AND b_an <> 'Unanswerable' THEN false WHEN b_an = 'Unanswerable' AND r_an <> 'Unanswerable' THEN true WHEN len(r_ci) > 0 AND len(b_ci) = 0 THEN true WHEN len(b_ci) > 0 AND len(r_ci) = 0 THEN false ELSE r_cf - b_cf > 0 END) AS swap FROM (
+    SELECT t.* EXCLUDE (targets), r.k IS NULL AS lost, r.answer AS r_an, list_filter(r.cites, lambda c: list_contains(t.scope, c)) AS r_ci, r.conf AS r_cf, r.sup AS r_sup, r.act AS r_act, coalesce(r.targets, []) AS targets, coalesce(r.shape, false) AS shape FROM (
+      SELECT y.* EXCLUDE (tg, foc, lost), CASE WHEN act = 'expand_context' AND len(foc) > 0 THEN foc ELSE ev END AS scope FROM (
+        SELECT x.*, list_filter(ev, lambda e: list_contains(tg, e) OR list_contains(ci, e) OR len(list_filter(near, lambda n: n.id = e AND list_contains(tg, n.of) AND n.d <= pad)) > 0) AS foc FROM (
+          SELECT z.* EXCLUDE (ev, loc), CASE act WHEN 'retry_localization' THEN list_concat(loc, list_transform(list_filter(near, lambda n: list_contains(loc, n.of) AND n.d <= pad), lambda n: n.id))
+            WHEN 'expand_context' THEN list_concat(ev, list_filter(list_transform(list_filter(near, lambda n: list_contains(tg, n.of) AND list_contains(ev, n.of) AND n.d <= pad), lambda n: n.id), lambda i: NOT list_contains(ev, i))) ELSE ev END AS ev FROM (
+            SELECT w.*, list_transform(list_filter(regions, lambda r: r.c >= th), lambda r: r.id) AS loc, CASE WHEN len(list_filter(targets, lambda t: list_contains(ev, t))) > 0 THEN list_filter(targets, lambda t: list_contains(ev, t)) ELSE ci END AS tg FROM (
+              SELECT k, a + 1 AS a, regions, near, untyped, CASE WHEN act = 'retry_localization' THEN th * 0.7::DOUBLE ELSE th END AS th, CASE WHEN act = 'expand_context' THEN least(pad * 1.5::DOUBLE, 0.3::DOUBLE) ELSE pad END AS pad, ev, an, ci, cf, sup, act, targets, er + (act = 'expand_context')::INT AS er, tr OR act <> 'escalate_reasoner' AS tr,
+                st || CASE act WHEN 'retry_localization' THEN ' localize rerank inspect expand_context' WHEN 'expand_context' THEN ' expand_context' ELSE '' END AS st, i_an, i_ci, i_cf, i_scope, i_sup, has_b, b_an, b_ci, b_cf, b_scope, lost
+              FROM m WHERE NOT lost AND act IN ('retry_localization', 'expand_context', 'escalate_reasoner') AND a < CASE WHEN act = 'expand_context' OR (act = 'escalate_reasoner' AND NOT sup AND len(ci) > 0 AND shape) THEN 3 ELSE 2 END
+            ) w) z) x) y) t LEFT JOIN rec r ON r.k = t.k AND r.a = t.a))),
+l AS (SELECT *, a > 0 AND len(i_ci) > 0 AND i_an <> 'Unanswerable' AND an = 'Unanswerable' AND (len(ci) = 0 OR list_has_any(i_ci, ci)) AND cf - i_cf <= {rm.policies.CONFIDENCE_MARGIN} AS keep, row_number() OVER (PARTITION BY k ORDER BY a DESC) AS rn FROM m),
+f AS (SELECT *, CASE WHEN lost THEN 'unrecorded' WHEN act = 'accept' THEN CASE WHEN keep THEN 'accepted_preserved_initial' ELSE 'accepted' END
+  WHEN act = 'abstain' THEN CASE WHEN a > 0 AND NOT untyped AND has_b AND len(b_ci) > 0 AND b_an <> 'Unanswerable' AND b_cf >= 0.45::DOUBLE THEN 'exhausted' ELSE 'abstained' END WHEN act = 'ask_again' THEN 'accepted' ELSE 'exhausted' END AS ended FROM l WHERE rn = 1),
+g AS (SELECT *, ended = 'exhausted' AND NOT sup AND has_b AS weak FROM f),
+h AS (SELECT *, CASE WHEN ended = 'accepted_preserved_initial' THEN i_an WHEN ended = 'abstained' THEN 'Unanswerable' WHEN weak THEN b_an ELSE an END AS answer, CASE WHEN ended = 'accepted_preserved_initial' THEN i_ci WHEN ended = 'abstained' THEN [] WHEN weak THEN b_ci ELSE ci END AS cites,
+  CASE WHEN ended = 'accepted_preserved_initial' THEN i_cf WHEN weak THEN b_cf ELSE cf END AS conf, CASE WHEN ended = 'accepted_preserved_initial' THEN i_scope WHEN weak THEN b_scope ELSE scope END AS fin FROM g)"""
+
+
+@query(f"{_MACHINE} SELECT k::VARCHAR AS example_id, answer, array_to_string(cites, ',') AS citations, round(conf, 6) AS confidence, ended, a::BIGINT AS retries, er::BIGINT AS evidence_retries, sup AS supported, CASE WHEN a > 0 THEN NOT i_sup AND sup AND ended <> 'accepted_preserved_initial' END AS helped, tr AND answer <> i_an AS changed, st AS stages, array_to_string(list_sort(fin), ',') AS evidence FROM h")
+def retry_machine(spark, sf_dir):
+    out = rm.run(*recorded_attempts(spark, sf_dir), MACHINE)
+    return r6(out.withColumns({"citations": F.array_join("citations", ","), "stages": F.array_join("stages", " "), "evidence": F.array_join(F.array_sort("evidence"), ",")}))
