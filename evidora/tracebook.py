@@ -22,6 +22,7 @@ from .plans import recorded as recorded_plans
 from .plans import retry_machine as rm
 from .sources import readers as rd
 from .sources import views as vw
+from .streaming import tool_loop as tl
 
 QUERIES, ORACLE_SQL, query, r6 = cat.QUERIES, cat.ORACLE_SQL, cat.query, cat.r6
 
@@ -391,3 +392,27 @@ h AS (SELECT *, CASE WHEN ended = 'accepted_preserved_initial' THEN i_an WHEN en
 def retry_machine(spark, sf_dir):
     out = rm.run(*recorded_attempts(spark, sf_dir), MACHINE)
     return r6(out.withColumns({"citations": F.array_join("citations", ","), "stages": F.array_join("stages", " "), "evidence": F.array_join(F.array_sort("evidence"), ",")}))
+
+
+# ---- tool loops over conversations
+
+LOOP_TOOLS = ["zoom", "ocr", "crop"]
+
+
+def recorded_turns(spark, sf_dir) -> DataFrame:
+    """The assistant's turns of conversations, each wrapped as a tool call, a fenced final answer, or left as it is."""
+    c = vw.turns(spark, sf_dir).where("role = 'assistant'")
+    pick = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(5))
+    head = F.regexp_replace(F.substring("text", 1, 12), r"[^\p{L} ]", "")
+    call = F.format_string('I look. {"action": "%s", "action_input": {"page": %d}}', F.element_at(F.array(*[F.lit(x) for x in (*LOOP_TOOLS, "launch")]), (F.col("turn") % 4 + 1).cast("int")), F.col("turn"))
+    final = F.format_string('```json\n{"final_answer": "%s", "citations": [{"page": %d, "bbox": [0, 0, 1, 0.5]}, 7, {"page": "x"}]}\n```', head, F.col("turn"))
+    return c.select("conv_id", "turn", F.when(pick < 3, call).when(pick == 3, final).otherwise(F.col("text")).alias("text"))
+
+
+@query(r"""WITH t AS (SELECT conv_id, turn, text, (conv_id + turn) % 5 AS pick, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM (SELECT conv_id, turn, min(coalesce(text, '')) AS text FROM conversations WHERE role = 'assistant' GROUP BY conv_id, turn)),
+h AS (SELECT *, pick >= 3 AS fin, ['zoom', 'ocr', 'crop', 'launch'][(turn % 4 + 1)::INT] AS tool FROM t WHERE r <= 6), f AS (SELECT conv_id, min(r) FILTER (fin) AS f FROM h GROUP BY conv_id),
+u AS (SELECT h.*, f.f FROM h JOIN f USING (conv_id) WHERE f.f IS NULL OR r <= f.f)
+SELECT conv_id, count(*) AS n_turns, count(*) FILTER (NOT fin AND tool <> 'launch') AS n_tool_calls, count(*) FILTER (NOT fin AND tool = 'launch') AS n_errors, coalesce(string_agg(tool, ',' ORDER BY r) FILTER (NOT fin), '') AS tools, CASE WHEN any_value(f) IS NOT NULL THEN 'final' WHEN count(*) >= 6 THEN 'budget' ELSE 'open' END AS ended,
+ arg_max(CASE WHEN pick < 3 THEN 'I look. {"action": "' || tool || '", "action_input": {"page": ' || turn || '}}' WHEN pick = 3 THEN regexp_replace(substr(text, 1, 12), '[^\p{L} ]', '', 'g') ELSE trim(text) END, r) AS answer, arg_max(CASE WHEN pick = 3 THEN 2 ELSE 0 END, r)::BIGINT AS n_citations FROM u GROUP BY conv_id""")
+def tool_loops(spark, sf_dir):
+    return r6(tl.loops(recorded_turns(spark, sf_dir), LOOP_TOOLS))
