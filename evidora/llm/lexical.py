@@ -10,7 +10,8 @@
 4. Within a shard ranges wait in a heap by their summed bounds. The highest is opened: into its parts, or at the bottom into exact
    scores. The search ends when the highest bound is below the k-th score; ranges of an equal bound are opened.
 
-No document is left out: what is not opened cannot reach the first k. Nothing but counts, shards and at most k rows an item and shard moves.
+No document is left out: what is not opened cannot reach the first k. Nothing is shuffled but counts, bounds and at most k rows an item
+and shard; the driver holds the vocabulary and two numbers an item of one job (at most QUERY_TERMS terms).
 
 Defined results: terms are runs of ASCII letters and digits and of all characters beyond ASCII, with A-Z lower-cased; null and empty
 texts have none and are neither counted nor found; an item without terms finds nothing; items of one id and one text are one item, of
@@ -269,21 +270,44 @@ class _Late:
         return other.id < self.id
 
 
-def _search(batches: Iterator[pa.RecordBatch], terms: list[np.ndarray], n_vocabulary: int, kind: pa.DataType, p: Params) -> Iterator[pa.RecordBatch]:
-    """Shards with (item, floor) lists -> (item, id, score), and for each item and shard a row without a score that counts opened and all ranges."""
+def _sums(flat: np.ndarray, at: np.ndarray, n_vocabulary: int, top_terms: pa.Scalar, top_scores: pa.Scalar) -> np.ndarray:
+    """The bound of a shard for each item."""
+    top = np.zeros(n_vocabulary, np.int64)
+    top[np.frombuffer(top_terms.as_buffer(), "<i4")] = np.frombuffer(top_scores.as_buffer(), "<i8")
+    return np.add.reduceat(top[flat], at[:-1])
+
+
+def _flat(terms: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate(terms), np.concatenate([[0], np.cumsum([len(t) for t in terms])])
+
+
+def _search(batches: Iterator[pa.RecordBatch], terms: list[np.ndarray], n_vocabulary: int, first: np.ndarray, floors: np.ndarray | None, kind: pa.DataType, p: Params) -> Iterator[pa.RecordBatch]:
+    """Shards -> (item, id, score), and for each item and shard that was searched a row without a score that counts opened ranges.
+
+    Without floors an item searches its first shard only; with them every other shard whose bound reaches its floor.
+    """
     asked = np.zeros(n_vocabulary, np.int64)
+    flat, at = _flat(terms)
     for b in batches:
         for r in range(b.num_rows):
             row = {c: b.column(c)[r] for c in b.schema.names}
+            number = row["shard"].as_py()
+            wanted = first == number
+            if floors is not None:
+                bound = _sums(flat, at, n_vocabulary, row["top_terms"], row["top_scores"])
+                wanted = ~wanted & (bound > 0) & (bound >= floors)
+            wanted = np.flatnonzero(wanted).tolist()
+            if not wanted:
+                continue
             array = lambda x, k: np.frombuffer(x.as_buffer(), k)
             parts = zip(row["level_widths"].as_py(), row["level_terms"].values, row["level_places"].values, row["level_tops"].values)
             levels = [Level(w, array(t, "<i4"), array(i, "<i4"), array(s, "<i8")) for w, t, i, s in parts]
             shard = Shard(row["ids"].as_py(), array(row["ends"], "<i4"), array(row["terms"], "<i4"), array(row["scores"], "<i8"), levels)
             items, ids, scores, opened = [], [], [], []
-            for item, floor in zip(row["items"].as_py(), row["floors"].as_py()):
+            for item in wanted:
                 mine = terms[item]
                 asked[mine] = 1
-                got, n = shard.best(mine, asked, p.k, floor, p)
+                got, n = shard.best(mine, asked, p.k, 0 if floors is None else int(floors[item]), p)
                 asked[mine] = 0
                 items += [item] * (len(got) + 1)
                 ids += [shard.ids[x] for _, x in got] + [None]
@@ -294,42 +318,42 @@ def _search(batches: Iterator[pa.RecordBatch], terms: list[np.ndarray], n_vocabu
 
 def _bounds(batches: Iterator[pa.RecordBatch], terms: list[np.ndarray], n_vocabulary: int) -> Iterator[pa.RecordBatch]:
     """Shards' tops -> (item, shard, bound) where the bound is above 0."""
-    at = np.concatenate([[0], np.cumsum([len(t) for t in terms])])
-    flat = np.concatenate(terms)
+    flat, at = _flat(terms)
     for b in batches:
         for shard, t, s in zip(b.column(0), b.column(1), b.column(2)):
-            top = np.zeros(n_vocabulary, np.int64)
-            top[np.frombuffer(t.as_buffer(), "<i4")] = np.frombuffer(s.as_buffer(), "<i8")
-            bound = np.add.reduceat(top[flat], at[:-1])
+            bound = _sums(flat, at, n_vocabulary, t, s)
             some = np.flatnonzero(bound)
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([shard.as_py()] * len(some), pa.int64()), pa.array(bound[some])], names=["item", "shard", "bound"])
 
 
 def search(shards: DataFrame, terms: list[np.ndarray], n_vocabulary: int, params: Params = Params()) -> tuple[DataFrame, DataFrame]:
-    """(item, id, score, rank) for items as lists of vocabulary numbers, and (item, shards, searched, opened): what the bounds saved."""
+    """(item, id, score, rank) for items as lists of vocabulary numbers, and (item, shards, searched, opened): what the bounds saved.
+
+    Shards stay where they are written: two numbers an item (its first shard and its floor) go to the tasks that read them.
+    """
     p = params
     spark = shards.sparkSession
     kind = dict(shards.dtypes)["ids"][6:-1]
     arrow_kind = pa.schema(spark.createDataFrame([], f"id {kind}").toArrow().schema).field("id").type
-    bounds = stage(shards.select("shard", "top_terms", "top_scores").mapInArrow(lambda x: _bounds(x, terms, n_vocabulary), "item int, shard long, bound long"), "bounds")
+    first, floors = np.full(len(terms), -1, np.int64), np.zeros(len(terms), np.int64)
+    per_shard = shards.select("shard", "top_terms", "top_scores").mapInArrow(lambda x: _bounds(x, terms, n_vocabulary), "item int, shard long, bound long")
+    n_shards = np.zeros(len(terms), np.int64)
+    for r in per_shard.groupBy("item").agg(F.max(F.struct("bound", "shard")).alias("b"), F.count(F.lit(1)).alias("n")).collect():  # a row an item
+        first[r.item], n_shards[r.item] = r.b.shard, r.n
 
-    def visit(asked: DataFrame) -> DataFrame:
-        lists = asked.groupBy("shard").agg(F.collect_list(F.struct("item", "floor")).alias("_a")).select("shard", F.col("_a.item").alias("items"), F.col("_a.floor").alias("floors"))
-        rows = shards.drop("top_terms", "top_scores").join(lists, "shard")
+    def visit(rows: DataFrame, floors: np.ndarray | None) -> DataFrame:
         with text_batches(spark, 4):
-            return stage(rows.mapInArrow(lambda x: _search(x, terms, n_vocabulary, arrow_kind, p), f"item int, id {kind}, score long, opened int"), "found")
-
-    first = stage(bounds.groupBy("item").agg(F.max(F.struct("bound", "shard")).alias("b")).select("item", "b.shard", F.lit(0).cast("long").alias("floor")), "first")
-    found = visit(first)
-    full = found.where("score is not null").groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
-    floors = stage(full.select("item", F.when(F.col("n") >= p.k, F.col("least")).otherwise(0).alias("floor")), "floors")
-    rest = bounds.join(first.select("item", "shard"), ["item", "shard"], "left_anti").join(floors, "item", "left").select("item", "shard", "bound", F.coalesce("floor", F.lit(0)).cast("long").alias("floor"))
-    again = visit(rest.where("bound >= floor").select("item", "shard", "floor"))
-    both = found.union(again)
+            return stage(rows.mapInArrow(lambda x: _search(x, terms, n_vocabulary, first, floors, arrow_kind, p), f"item int, id {kind}, score long, opened int"), "found")
+
+    found = visit(shards, None)
+    for r in found.where("score is not null").groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).collect():
+        floors[r.item] = r.least if r.n >= p.k else 0
+    both = found.union(visit(shards, floors))
     w = Window.partitionBy("item").orderBy(F.desc("score"), F.col("id").asc_nulls_last())
     ranked = both.where("score is not null").select("item", "id", "score").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= p.k)
+    totals = spark.createDataFrame([(i, n) for i, n in enumerate(n_shards.tolist()) if n], "item int, shards long")
     work = both.where("score is null").groupBy("item").agg(F.count(F.lit(1)).alias("searched"), F.sum("opened").alias("opened"))
-    return ranked, bounds.groupBy("item").agg(F.count(F.lit(1)).alias("shards")).join(work, "item", "left")
+    return ranked, totals.join(work, "item", "left")
 
 
 def rank_documents(docs: DataFrame, items: DataFrame, params: Params = Params(), doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", vocabulary_bytes: int = VOCABULARY_BYTES, query_terms: int = QUERY_TERMS) -> DataFrame:
