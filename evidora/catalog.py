@@ -13,6 +13,7 @@ from .functions import structured as st
 from .operators import aggregates as ag
 from .operators import comparison as cm
 from .operators import diagnosis as dg
+from .operators import draws as dw
 from .operators import localisation as lo
 from .operators import page_index as pi
 from .operators import retrieval as rt
@@ -76,7 +77,7 @@ def agg_null_as_zero_vs_skip(spark, sf_dir):
 
 @query()
 def bootstrap_mersenne(spark, sf_dir):
-    return ag.mersenne_bootstrap(vw.records(spark, sf_dir), ["domain"], "answer_correct")
+    return dw.sequential_bootstrap(vw.records(spark, sf_dir), ["domain"], ["example_id", "line", "part", "supp"], "answer_correct")
 
 
 @query()

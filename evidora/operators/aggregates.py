@@ -121,28 +121,6 @@ def bootstrap_ratio_large(df: DataFrame, by: list[str], order: list[str], top: s
     return _order_statistics(sums, by, "r", confidence)
 
 
-def mersenne_bootstrap(df: DataFrame, by: list[str], value: str, resamples: int = 1000, seed: int = 42, confidence: float = 0.95) -> DataFrame:
-    """The same interval from Python's generator, where draws must equal those of a sequential program. Groups are small by nature
-    (a benchmark's domains); use bootstrap_mean for large ones."""
-    import pandas as pd
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        import random
-
-        rng, v = random.Random(seed), pdf[value].fillna(0.0).astype(float).tolist()
-        n = len(v)
-        if n < 2:
-            lo = hi = 0.0
-        else:
-            m = sorted(sum(v[rng.randrange(n)] for _ in range(n)) / n for _ in range(resamples))
-            a = (1 - confidence) / 2
-            lo, hi = m[max(0, int(a * resamples))], m[min(resamples - 1, int((1 - a) * resamples))]
-        return pd.DataFrame([[*(pdf[c].iloc[0] for c in by), lo, hi]], columns=[*by, "lo", "hi"])
-
-    types = dict(df.dtypes)
-    return df.groupBy(*by).applyInPandas(one, ", ".join([*(f"{c} {types[c]}" for c in by), "lo double", "hi double"]))
-
-
 # ---- stage metrics over steps (trace, stage, latency, tool, tokens...)
 
 

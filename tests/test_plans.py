@@ -61,17 +61,6 @@ def test_bm25_ranks_the_matching_page_and_omits_others(spark):
     assert routed[0] == (2, "hit") and len(routed) == 4 and routed[-1] == (3, "pad")
 
 
-def test_mersenne_bootstrap_equals_a_sequential_one(spark):
-    import random
-
-    v = [0.0, 1.0, 1.0, 0.0, 1.0, 1.0]
-    df = spark.createDataFrame([("a", x) for x in v], "g string, v double").coalesce(1)
-    r = random.Random(42)
-    m = sorted(sum(v[r.randrange(6)] for _ in range(6)) / 6 for _ in range(1000))
-    got = aggregates.mersenne_bootstrap(df, ["g"], "v").first()
-    assert (got.lo, got.hi) == (m[25], m[975])
-
-
 def test_touching_intervals_overlap(spark):
     f = lambda *v: spark.range(1).select(comparison.intervals_overlap(*[F.lit(x) for x in v]).alias("x")).first().x
     assert f(0.1, 0.2, 0.2, 0.3) and not f(0.1, 0.19, 0.2, 0.3) and f(None, 0.1, 0.2, 0.3)
