@@ -9,9 +9,8 @@ from . import catalog as cat
 from .operators import diagnosis as dg
 from .sources import calls
 from .sources import views as vw
-from .tracebook import _pick, _sql_pick
 
-query, r6 = cat.query, cat.r6
+query, r6, _pick, _sql_pick = cat.query, cat.r6, vw.pick, vw.sql_pick
 
 QUESTIONS = ("What is the voltage in volts?", "Estimate the value, ± 0.5 allowed", "How many rows are there?", " ", "What ratio of A to B holds?", "Provide the gain, the offset and delay", "Approximately what value is read? +/- 2", "Which entry is named?")
 ANSWERS = ("12,345.5", "0x1F", "VDD - 3", "3 to -5", "x = 2 and y = 4", "a ratio of 3 and 4", "It moved from 3 by about 1,250 V", "Unanswerable", "", "No. 7, then 9", "41", "It cannot be determined.")

@@ -51,6 +51,16 @@ STEPS = {
 }
 
 
+def pick(xs, key):
+    """One of some texts by a key, in turn."""
+    return F.element_at(F.array(*[F.lit(x) for x in xs]), (key % len(xs) + 1).cast("int"))
+
+
+def sql_pick(xs, key: str) -> str:
+    """The same in DuckDB SQL."""
+    return f"[{', '.join(repr(x) for x in xs)}][({key} % {len(xs)} + 1)::INT]"
+
+
 def _project(df: DataFrame, view: dict[str, str]) -> DataFrame:
     return df.selectExpr(*[f"{e} AS {n}" for n, e in view.items()])
 

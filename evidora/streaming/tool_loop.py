@@ -86,7 +86,8 @@ def loops(turns: DataFrame, tools: list[str], budget: int = BUDGET, conv: str =
 def loop_updates(turns: DataFrame, tools: list[str], budget: int = BUDGET, patience: str | None = None, conv: str = "conv_id", number: str = "turn", text: str = "text") -> DataFrame:
     """The columns of `loops` for a stream, in update mode: a row for each conversation that a micro-batch changes.
 
-    patience: how long a conversation may wait for its next turn, in processing time.
+    patience: how long a conversation may wait for its next turn, in processing time. Such a query waits for what may time out, also
+    where its trigger is availableNow, and is stopped by its caller.
     """
     wait = None if patience is None else int(pd.Timedelta(patience).total_seconds() * 1000)
 

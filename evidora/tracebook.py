@@ -30,12 +30,7 @@ STAGES, ACTIONS, TOOLS, NEXT = ("route_pages", "inspect", "verify", "reason", "e
 ENDS = ("accepted", "abstained", "exhausted", "accepted_preserved_initial")
 
 
-def _pick(xs, key):
-    return F.element_at(F.array(*[F.lit(x) for x in xs]), (key % len(xs) + 1).cast("int"))
-
-
-def _sql_pick(xs, key: str) -> str:
-    return f"[{', '.join(repr(x) for x in xs)}][({key} % {len(xs)} + 1)::INT]"
+_pick, _sql_pick = vw.pick, vw.sql_pick
 
 
 def traces(spark, sf_dir) -> DataFrame:

@@ -48,17 +48,26 @@ def test_table(spark):
     assert tl.loops(df.where("false"), TOOLS).collect() == []
 
 
-def streamed(spark, tmp_path, frames, tools, budget, **more):
-    """The last row of each conversation after a stream over one file for each frame."""
+def streamed(spark, tmp_path, frames, tools, budget, until=None, **more):
+    """The last row of each conversation after a stream over one file for each frame; until: stops a stream that would wait on."""
     source, schema = tmp_path / "in", frames[0].schema
     for i, f in enumerate(frames):
         f.coalesce(1).write.mode("append").parquet(str(source / f"b{i:02d}"))
         time.sleep(0.02)
     seen = []
     turns = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(source))
-    query = tl.loop_updates(turns, tools, budget, **more).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "at")).foreachBatch(lambda df, n: seen.extend((n, tuple(r)) for r in df.collect())).trigger(availableNow=True).start()
-    query.awaitTermination(240)
-    assert query.exception() is None
+    query = tl.loop_updates(turns, tools, budget, **more).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "at")).foreachBatch(lambda df, n: seen.extend((n, tuple(r)) for r in df.collect()))
+    query = (query if until else query.trigger(availableNow=True)).start()
+    try:
+        if until:
+            end = time.monotonic() + 60
+            while not until(seen) and time.monotonic() < end:
+                time.sleep(0.2)
+        else:
+            assert query.awaitTermination(120)
+        assert query.exception() is None
+    finally:
+        query.stop()
     return {r[0]: r for _, r in seen}, seen
 
 
@@ -79,6 +88,5 @@ def test_stream_of_awkward_turns(spark, tmp_path):
 
 def test_a_silent_conversation_times_out(spark, tmp_path):
     df = spark.createDataFrame([(1, 0, turn("zoom")), (2, 0, "done")], "conv_id long, turn long, text string")
-    more = spark.createDataFrame([(9, 0, "x")], "conv_id long, turn long, text string")
-    got, seen = streamed(spark, tmp_path, [df, more, more.withColumn("conv_id", F.lit(8).cast("long"))], TOOLS, 3, patience="1ms")
+    got, seen = streamed(spark, tmp_path, [df], TOOLS, 3, until=lambda seen: any(r[5] == "timeout" for _, r in seen), patience="1ms")
     assert got[1][5:7] == ("timeout", turn("zoom")) and got[2][5:7] == ("final", "done")
