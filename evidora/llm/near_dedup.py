@@ -9,9 +9,9 @@
    then those that are not yet in its component.
 3. Connected components over the verified links (large-star and small-star steps on tables; nothing is collected).
 4. Buckets whose members are not all of one component go on: every member outside the bucket's largest component is compared with
-   all members of other components by three exact bounds (component, length, and a bitmap of their word pairs: an edit changes at
-   most two pairs), in blocks of bounded size; in large buckets only with members of a like length. The few pairs that no
-   bound rules out are aligned too.
+   all members of other components by three exact bounds (component, length, and the set of their hashed word pairs: an edit
+   changes at most two pairs), in blocks of bounded size. Members of whose length no other component has any stay out before
+   sets are moved; in large buckets only classes of like length meet. The few pairs that no bound rules out are aligned too.
    So any two members of a bucket end up in one class, or were aligned, or were ruled out exactly.
 
 Similarity is 1 - distance / max(words), 0.8 or more by default. Scattered edits of one word in five leave few long k-mers whole
@@ -38,8 +38,10 @@ from pyspark.sql import functions as F
 from .common import drop_stage, fresh, small_text_batches, stage
 from .textvec import mix, words
 
-#: Hashed word pairs are marked in so many places.
-PLACES = 4096
+#: Hashed word pairs fall on 16 to 32 places a word, as powers of two within these bounds.
+PLACE_BITS = (6, 16)
+#: Texts of more words than this keep their places as a bitmap, others as gaps of one byte.
+GAPS = 8192
 #: Members of a bucket, or pairs of one pivot, in one block.
 BLOCK = 1024
 #: Distinct texts that a task remembers having sketched.
@@ -178,21 +180,90 @@ def _blob(texts: list[str | None]) -> list[bytes]:
     return [h[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
 
-def pair_maps(texts: list[str | None]) -> np.ndarray:
-    """A bitmap for each text, as 64-bit words: the places of its pairs of neighbouring words."""
+def place_bits(n_words: np.ndarray) -> np.ndarray:
+    """The binary logarithm of the number of places that texts of so many words use."""
+    return np.clip(np.ceil(np.log2(np.maximum(n_words, 1))).astype(np.int64) + 4, *PLACE_BITS)
+
+
+def pair_sets(texts: list[str | None]) -> list[bytes]:
+    """The places of each text's pairs of neighbouring words: a byte for each gap less one (255 carries on), or a bitmap."""
     w = words(texts)
+    n = np.diff(w.bounds())
+    bits = place_bits(n)
     with np.errstate(over="ignore"):
         same = w.doc[1:] == w.doc[:-1]
-        place = (mix(w.h[:-1] * np.uint64(0x9E3779B97F4A7C15) + w.h[1:])[same] >> np.uint64(64 - PLACES.bit_length() + 1)).astype(np.int64)
-    bits = np.zeros((len(texts), PLACES), dtype=bool)
-    bits[w.doc[1:][same], place] = True
-    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
-
-
-def pairs_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """By row, never more than the edit distance: an edit takes at most two pairs and brings at most two."""
-    count = lambda x: np.bitwise_count(x).sum(axis=1, dtype=np.int64)
-    return (np.maximum(count(a), count(b)) - count(a & b) + 1) // 2
+        doc = w.doc[1:][same]
+        place = (mix(w.h[:-1] * np.uint64(0x9E3779B97F4A7C15) + w.h[1:])[same] >> (64 - bits[doc]).astype(np.uint64)).astype(np.int64)
+    marked = np.unique(doc << PLACE_BITS[1] | place)
+    doc, place = marked >> PLACE_BITS[1], marked & (1 << PLACE_BITS[1]) - 1
+    first = np.concatenate([[True], doc[1:] != doc[:-1]])[: len(doc)]
+    gap = place - np.where(first, -1, np.concatenate([[0], place[:-1]])[: len(doc)]) - 1
+    ends = np.cumsum(gap // 255 + 1)
+    code = np.full(int(ends[-1]) if len(ends) else 0, 255, dtype=np.uint8)
+    code[ends - 1] = gap % 255
+    at = np.searchsorted(doc, np.arange(len(texts) + 1))
+    cut = np.concatenate([[0], ends])[at].tolist()
+    out = []
+    for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
+        if n[i] > GAPS:
+            on = np.zeros(1 << PLACE_BITS[1], dtype=np.uint8)
+            on[place[a:b]] = 1
+            out.append(np.packbits(on, bitorder="little").tobytes())
+        else:
+            out.append(code[cut[i] : cut[i + 1]].tobytes())
+    return out
+
+
+class PairSets:
+    """Sets of pair_sets, to be compared by row numbers."""
+
+    def __init__(self, sets: list[bytes], n_words: np.ndarray):
+        self.bits = place_bits(n_words)
+        gaps = n_words <= GAPS
+        size = np.where(gaps, [len(x) for x in sets], 0).astype(np.int64)
+        code = np.frombuffer(b"".join(x for x, g in zip(sets, gaps.tolist()) if g), np.uint8)
+        step = np.cumsum(np.where(code == 255, 255, code.astype(np.int64) + 1))
+        row = np.repeat(np.arange(len(sets)), size)
+        before = np.concatenate([[0], step])[np.cumsum(size) - size]
+        mark = code != 255
+        rows, places = [row[mark]], [(step - before[row] - 1)[mark]]
+        for i in np.flatnonzero(~gaps).tolist():
+            on = np.flatnonzero(np.unpackbits(np.frombuffer(sets[i], np.uint8), bitorder="little"))
+            rows.append(np.full(len(on), i))
+            places.append(on)
+        row, place = np.concatenate(rows), np.concatenate(places)
+        by = np.argsort(row, kind="stable")
+        self.place = place[by]
+        self.at = np.searchsorted(row[by], np.arange(len(sets) + 1))
+
+    def _maps(self, rows: np.ndarray, bits: int) -> np.ndarray:
+        """Bitmaps of 2**bits places, as 64-bit words, of rows that have at least so many."""
+        size = self.at[rows + 1] - self.at[rows]
+        own = np.repeat(np.arange(len(rows)), size)
+        place = self.place[np.repeat(self.at[rows] - np.cumsum(size) + size, size) + np.arange(len(own))] >> (self.bits[rows] - bits)[own]
+        out = np.zeros((len(rows), 1 << bits - 6), dtype=np.uint64)
+        if len(own):
+            word = (own << bits - 6) + (place >> 6)
+            start = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            out.reshape(-1)[word[start]] = np.bitwise_or.reduceat(np.uint64(1) << (place & 63).astype(np.uint64), start)
+        return out
+
+    def distance(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Never more than the edit distance of rows x[i] and y[i]: an edit takes at most two pairs and brings at most two."""
+        out = np.zeros(len(x), dtype=np.int64)
+        level = np.minimum(self.bits[x], self.bits[y])
+        for bits in np.unique(level).tolist():
+            at = np.flatnonzero(level == bits)
+            rows, number = np.unique(np.concatenate([x[at], y[at]]), return_inverse=True)
+            maps = self._maps(rows, bits)
+            count = np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
+            u, v = number[: len(at)], number[len(at) :]
+            step = 1 << max(0, 20 - (bits - 6))  # 8 MB of each side
+            for i in range(0, len(at), step):
+                a, b = u[i : i + step], v[i : i + step]
+                common = np.bitwise_count(maps[a] & maps[b]).sum(axis=1, dtype=np.int64)
+                out[at[i : i + step]] = (np.maximum(count[a], count[b]) - common + 1) // 2
+        return out
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
@@ -211,7 +282,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordB
         b = b.take(pa.array(new))
         texts = b.column(1).to_pylist()
         n, entries = order_min_hash(texts, p)
-        maps = pa.array([x.tobytes() for x in pair_maps(texts)], pa.binary())
+        maps = pa.array(pair_sets(texts), pa.binary())
         flat = pa.array(entries.ravel().astype(np.int64))
         offsets = pa.array(np.arange(0, len(flat) + 1, p.sketches, dtype=np.int32))
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.ListArray.from_arrays(offsets, flat), maps], names=["key", "n_words", "v", "pairs"])
@@ -323,15 +394,12 @@ def _cross(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBa
         number = key.dictionary_encode().indices.to_numpy()  # keys and roots as small numbers
         root = col("root").dictionary_encode().indices.to_numpy()
         names = key.to_pylist()
-        maps = np.frombuffer(b"".join(col("pairs").to_pylist()), np.uint64).reshape(-1, PLACES // 64)
+        sets = PairSets(col("pairs").to_pylist(), n)
         for x, y in _group_pairs(group, left, right, 1 << 18):
             most = np.floor((1 - p.similarity) * np.maximum(n[x], n[y]) + 1e-9).astype(np.int64)
             ok = (root[x] != root[y]) & (np.abs(n[x] - n[y]) <= most)
             x, y, most = x[ok], y[ok], most[ok]
-            near = [np.zeros(0, bool)]
-            for i in range(0, len(x), 16384):
-                near.append(pairs_distance(maps[x[i : i + 16384]], maps[y[i : i + 16384]]) <= most[i : i + 16384])
-            near = np.concatenate(near)
+            near = sets.distance(x, y) <= most
             x, y = x[near], y[near]
             # two members outside the largest component meet twice: once is enough
             once = np.array([bool(m) or names[i] < names[j] for i, j, m in zip(x.tolist(), y.tolist(), major[y].tolist())], dtype=bool)
@@ -359,30 +427,44 @@ def _cross(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBa
 def _across(shared: DataFrame, texts: DataFrame, roots: DataFrame, p: Params) -> DataFrame:
     """Pairs (a, b, salt) of members of one bucket and different components that are not ruled out exactly.
 
-    Members of the bucket's largest component are compared with the others only. A bucket of at most BLOCK members is one group.
-    In a larger one the members are right rows, and those outside the largest component also left rows; both are dealt to blocks by
-    hash and to classes of length: texts of lengths that the threshold allows are in the same class or the next.
+    Members of the bucket's largest component are compared with the others only. Texts of lengths that the threshold allows are in
+    the same class of length or the next, so members stay out where none outside the largest component, or nobody else, has
+    such a length. A bucket of at most BLOCK members is one group. In a larger one each class has its right rows, all members of the
+    class, and its left rows, the members outside the largest component of this class and the two next to it; both are dealt to
+    as many blocks as the class needs.
     """
     known = roots.select(F.col("node.key").alias("key"), F.col("root.key").alias("root"))
-    split = stage(shared.join(known, "key", "left").select("bucket", "key", F.coalesce("root", "key").alias("root")), "split")
+    split = stage(shared.join(known, "key", "left").select("bucket", "key", F.coalesce("root", "key").alias("root"), "n_words"), "split")
     of_root = split.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     mixed = of_root.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("roots"))
-    mixed = mixed.where("roots > 1").select("bucket", F.col("top.root").alias("top"), F.ceil(F.col("size") / BLOCK).cast("int").alias("nr"), F.ceil((F.col("size") - F.col("top.n")) / BLOCK).cast("int").alias("nl"))
-    rows = split.join(mixed, "bucket").join(texts.select("key", "n_words", "pairs"), "key")
+    mixed = mixed.where("roots > 1").select("bucket", F.col("top.root").alias("top"), (F.col("size") <= BLOCK).alias("small"))
     width = -math.log(p.similarity) * 1.01 if p.similarity < 1 else 1e-6  # a little over, for rounding
-    rows = rows.withColumn("major", F.col("root") == F.col("top"))
+    rows = split.join(mixed, "bucket").select("bucket", F.floor(F.log("n_words") / F.lit(width)).cast("int").alias("cls"), "small", (F.col("root") == F.col("top")).alias("major"), "key", "root", "n_words")
+    rows = stage(rows, "mixed")
+    drop_stage(split)
+    sizes = rows.groupBy("bucket", "cls").agg(F.count(F.lit(1)).alias("r"), F.count_if(~F.col("major")).alias("l"))
+    sizes = sizes.select("bucket", "r", "l", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("d"), F.col("cls").alias("c"))
+    sizes = sizes.groupBy("bucket", (F.col("c") + F.col("d")).alias("cls")).agg(F.sum("l").alias("l"), F.sum("r").alias("around"), F.sum(F.when(F.col("d") == 0, F.col("r")).otherwise(0)).alias("r"))
+    sizes = sizes.where("l > 0 and r > 0 and around > 1").select("bucket", "cls", F.ceil(F.col("r") / BLOCK).cast("int").alias("nr"), F.ceil(F.col("l") / BLOCK).cast("int").alias("nl"))
+    sizes = stage(sizes, "sizes")
     no, yes = F.lit(False), F.lit(True)
-    own = ["bucket", "cls", "lb", "rb", "left", "right", "major", "key", "root", "n_words", "pairs"]
-    small = rows.where("nr = 1").withColumns({"cls": F.lit(0), "lb": F.lit(0), "rb": F.lit(0), "left": ~F.col("major"), "right": yes}).select(*own)
-    large = rows.where("nr > 1").withColumns({"cls": F.floor(F.log("n_words") / F.lit(width)).cast("int"), "rb": F.pmod(F.xxhash64("key", F.lit(1)), F.col("nr")).cast("int"), "lb": F.pmod(F.xxhash64("key", F.lit(2)), F.col("nl")).cast("int")})
-    up_to = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
-    right = large.withColumns({"left": no, "right": yes}).withColumn("lb", F.explode(up_to("nl"))).select(*own)
-    left = large.where("not major").withColumns({"left": yes, "right": no}).withColumn("cls", F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1))).withColumn("rb", F.explode(up_to("nr"))).select(*own)
+    dealt = lambda seed, c: F.pmod(F.xxhash64("key", F.lit(seed)), F.col(c)).cast("int")
+    up_to = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    own = ["bucket", "cls", "lb", "rb", "left", "right", "major", "key", "root", "n_words"]
+    members = rows.join(sizes, ["bucket", "cls"])
+    small = members.where("small").withColumns({"cls": F.lit(0), "lb": F.lit(0), "rb": F.lit(0), "left": ~F.col("major"), "right": yes}).select(*own)
+    right = members.where("not small").withColumns({"left": no, "right": yes, "rb": dealt(1, "nr")}).withColumn("lb", up_to("nl")).select(*own)
+    left = rows.where("not small and not major").withColumn("cls", F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1)))
+    left = left.join(sizes, ["bucket", "cls"]).withColumns({"left": yes, "right": no, "lb": dealt(2, "nl")}).withColumn("rb", up_to("nr")).select(*own)
     parts = max(1, int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    all_ = small.unionByName(right).unionByName(left).select(F.xxhash64("bucket", "cls", "lb", "rb").alias("group"), F.col("rb").alias("salt"), "left", "right", "major", "key", "root", "n_words", "pairs")
+    all_ = small.unionByName(right).unionByName(left).select(F.xxhash64("bucket", "cls", "lb", "rb").alias("group"), F.col("rb").alias("salt"), "left", "right", "major", "key", "root", "n_words")
+    all_ = all_.join(texts.select("key", "pairs"), "key").select("group", "salt", "left", "right", "major", "key", "root", "n_words", "pairs")
     found = all_.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(lambda x: _cross(x, p), "a binary, b binary, salt int")
     once = found.groupBy(F.least("a", "b").alias("_x"), F.greatest("a", "b").alias("_y")).agg(F.min(F.struct("a", "b", "salt")).alias("one"))
-    return stage(once.select("one.*"), "near")
+    near = stage(once.select("one.*"), "near")
+    drop_stage(rows)
+    drop_stage(sizes)
+    return near
 
 
 def _key(text: str):

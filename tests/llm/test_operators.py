@@ -236,14 +236,33 @@ def test_near_duplicates_link_all_members_of_a_bucket(spark):
     assert got == dict(enumerate(root))
 
 
+def pairs_bound(a: list[str], b: list[str]) -> list[int]:
+    n = np.array([len(near_dedup.words([t]).h) for t in a + b])
+    sets = near_dedup.PairSets(near_dedup.pair_sets(a + b), n)
+    return sets.distance(np.arange(len(a)), np.arange(len(a), len(a) + len(b))).tolist()
+
+
 def test_pairs_distance_is_a_lower_bound():
     rnd = random.Random(24)
     pairs = [[[rnd.choice("abcde") for _ in range(rnd.randrange(1, 15))] for _ in range(2)] for _ in range(500)]
-    a, b = (near_dedup.pair_maps([" ".join(p[i]) for p in pairs]) for i in (0, 1))
-    assert all(d <= distance(*p) for d, p in zip(near_dedup.pairs_distance(a, b).tolist(), pairs))
-    words = [[str(rnd.randrange(10**6)) for _ in range(200)] for _ in range(20)]
-    m = near_dedup.pair_maps([" ".join(w) for w in words])
-    assert (near_dedup.pairs_distance(m[:10], m[10:]) > 40).all()
+    got = pairs_bound(*([" ".join(p[i]) for p in pairs] for i in (0, 1)))
+    assert all(d <= distance(*p) for d, p in zip(got, pairs))
+    words = [" ".join(str(rnd.randrange(10**6)) for _ in range(200)) for _ in range(20)]
+    assert min(pairs_bound(words[:10], words[10:])) > 40
+
+
+def test_pairs_distance_keeps_its_strength_with_length():
+    """Texts that share half of their words in one run are ruled out at every length up to the gaps' bound; copies never are."""
+    rnd = random.Random(31)
+    for n in (0, 1, 2, 20, 300, 750, 5000, 9000, 120_000):
+        run = [str(rnd.randrange(10**6)) for _ in range(n // 2)]
+        a, b = (run + [str(rnd.randrange(10**6)) for _ in range(n - n // 2)] for _ in range(2))
+        near = list(a)
+        for i in rnd.sample(range(n), n // 10):
+            near[i] = "x"
+        far, same, close = pairs_bound([" ".join(a)] * 3, [" ".join(b), " ".join(a), " ".join(near)])
+        assert same == 0 and close <= n // 10
+        assert far <= (n + 1) // 2 and (n < 20 or n > 4096 or far > 0.2 * n)
 
 
 def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
