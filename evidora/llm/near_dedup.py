@@ -9,8 +9,8 @@
    then those that are not yet in its component.
 3. Connected components over the verified links (large-star and small-star steps on tables; nothing is collected).
 4. Buckets whose members are not all of one component go on: every member outside the bucket's largest component is compared with
-   all members of other components by three exact bounds (component, length, and the set of their hashed word pairs: an edit
-   changes at most two pairs), in blocks of bounded size. Members of whose length no other component has any stay out before
+   all members of other components by three exact bounds (component, length, and the set of their hashed word pairs, repeats
+   counted: an edit changes at most two), in blocks of bounded size. Members of whose length no other component has any stay out before
    sets are moved; in large buckets only classes of like length meet. The few pairs that no bound rules out are aligned too.
    So any two members of a bucket end up in one class, or were aligned, or were ruled out exactly.
 
@@ -56,6 +56,17 @@ class Params:
     similarity: float = 0.8
 
 
+def _labelled(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Hashes of each text's hashes and their occurrence in it, so that repeats differ."""
+    by = np.lexsort((np.arange(len(h)), h, doc))
+    new = np.concatenate([[True], (h[by][1:] != h[by][:-1]) | (doc[by][1:] != doc[by][:-1])])[: len(h)]
+    run = np.flatnonzero(new)
+    occurrence = np.empty(len(h), dtype=np.uint64)
+    occurrence[by] = (np.arange(len(h)) - np.repeat(run, np.diff(np.concatenate([run, [len(h)]])))).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        return mix(h + occurrence * np.uint64(0xD6E8FEB86659FD93))
+
+
 def order_min_hash(texts: list[str | None], p: Params) -> tuple[np.ndarray, np.ndarray]:
     """(number of words, entries as one row a text); rows of texts without words are zero."""
     w = words(texts)
@@ -74,13 +85,7 @@ def order_min_hash(texts: list[str | None], p: Params) -> tuple[np.ndarray, np.n
             kmer = kmer * np.uint64(0x9E3779B97F4A7C15) + np.where(inside, w.h[np.minimum(first + t, len(w.h) - 1)], np.uint64(0))
         use = full | ((n[w.doc] < p.k) & (first == at[w.doc]))
         kmer, doc = mix(kmer[use]), w.doc[use]
-        # label repeats of a k-mer within a text by their occurrence
-        by = np.lexsort((np.arange(len(kmer)), kmer, doc))
-        new = np.concatenate([[True], (kmer[by][1:] != kmer[by][:-1]) | (doc[by][1:] != doc[by][:-1])])
-        run = np.flatnonzero(new)
-        occurrence = np.empty(len(kmer), dtype=np.uint64)
-        occurrence[by] = (np.arange(len(kmer)) - np.repeat(run, np.diff(np.concatenate([run, [len(kmer)]])))).astype(np.uint64)
-        labelled = mix(kmer + occurrence * np.uint64(0xD6E8FEB86659FD93))
+        labelled = _labelled(kmer, doc)
         starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
         owner = doc[starts]
         length = np.diff(np.concatenate([starts, [len(doc)]]))
@@ -186,14 +191,15 @@ def place_bits(n_words: np.ndarray) -> np.ndarray:
 
 
 def pair_sets(texts: list[str | None]) -> list[bytes]:
-    """The places of each text's pairs of neighbouring words: a byte for each gap less one (255 carries on), or a bitmap."""
+    """The places of each text's pairs of neighbouring words, repeats apart: a byte for each gap less one (255 carries on), or a bitmap."""
     w = words(texts)
     n = np.diff(w.bounds())
     bits = place_bits(n)
     with np.errstate(over="ignore"):
         same = w.doc[1:] == w.doc[:-1]
         doc = w.doc[1:][same]
-        place = (mix(w.h[:-1] * np.uint64(0x9E3779B97F4A7C15) + w.h[1:])[same] >> (64 - bits[doc]).astype(np.uint64)).astype(np.int64)
+        pair = _labelled(mix(w.h[:-1] * np.uint64(0x9E3779B97F4A7C15) + w.h[1:])[same], doc)
+    place = (pair >> (64 - bits[doc]).astype(np.uint64)).astype(np.int64)
     marked = np.unique(doc << PLACE_BITS[1] | place)
     doc, place = marked >> PLACE_BITS[1], marked & (1 << PLACE_BITS[1]) - 1
     first = np.concatenate([[True], doc[1:] != doc[:-1]])[: len(doc)]
