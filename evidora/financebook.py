@@ -1,0 +1,64 @@
+"""Queries of finance programs, with their DuckDB SQL: packets spell sums of a customer's orders, and the SQL works from the sums."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import catalog as cat
+from .operators import evidence as ev
+from .sources import views as vw
+
+query = cat.query
+#: Orders' years are told as years of this many later, so that all are of this century.
+LATER = 10
+#: Amounts with a thousands' comma are read as money.
+COMMA = 1000
+
+
+def _spelled(c):
+    return F.format_number(c.cast("long"), 0)
+
+
+def fiscal_packets(spark, sf_dir) -> DataFrame:
+    """Two packets a customer: repurchases (least and largest order of each year) and dividends (their sum, or six multiples of it)."""
+    o = vw.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c"), (F.year("o_orderdate") + LATER).alias("y"), F.floor("o_totalprice").cast("long").alias("v"))
+    years = o.groupBy("c", "y").agg(F.min("v").alias("least"), F.max("v").alias("most"), F.sum("v").alias("total"), F.count(F.lit(1)).alias("n"))
+    multiples = F.concat_ws(" ", *[_spelled(F.col("total") * i) for i in range(1, 7)])
+    paid = F.when(F.col("c") % 4 == 0, F.concat(F.lit(" (in millions) "), multiples)).otherwise(F.concat(F.lit(" "), _spelled(F.col("total"))))
+    line = F.struct("y", F.concat(F.col("y").cast("string"), F.lit(" "), _spelled(F.col("least")), F.lit(" then "), _spelled(F.col("most"))).alias("bought"), F.when(F.col("n") > 1, F.concat(F.col("y").cast("string"), paid)).alias("paid"))
+    told = years.groupBy("c").agg(F.sort_array(F.collect_list(line)).alias("lines"))  # one entry a year
+    packets = told.select("c", F.inline(F.array(
+        F.struct(F.lit("p1").alias("packet_id"), F.concat(F.lit("Share repurchases "), F.array_join("lines.bought", "; ")).alias("text")),
+        F.struct(F.lit("p2").alias("packet_id"), F.concat(F.lit("Dividends declared "), F.array_join("lines.paid", "; ")).alias("text")),
+    )))
+    asked = F.concat(F.lit("What is the ratio of repurchases to dividends in fiscal year "), (F.col("c") % 9 + 2003).cast("string"), F.lit("?"))
+    return packets.select(F.col("c").cast("string").alias("example_id"), "packet_id", "text", asked.alias("question"))
+
+
+@query(f"""WITH y AS (SELECT o_custkey AS c, year(o_orderdate) + {LATER} AS y, max(floor(o_totalprice)) AS b, sum(floor(o_totalprice)) AS s, count(*) AS n FROM orders GROUP BY 1, 2),
+a AS (SELECT c, CASE WHEN b >= {COMMA} THEN b END AS b, CASE WHEN n > 1 THEN list_filter(CASE WHEN c % 4 = 0 THEN [s, 2 * s, 3 * s, 4 * s, 5 * s, 6 * s] ELSE [s] END, lambda x: x >= {COMMA}) END AS paid, c % 4 = 0 AS millions FROM y WHERE y = c % 9 + 2003),
+p AS (SELECT c, b, CASE WHEN millions AND len(paid) >= 5 THEN paid[5] ELSE paid[-1] END AS p FROM a)
+SELECT c::VARCHAR AS example_id, printf('%.2f', round(b / p, 2)) AS answer FROM p WHERE b > 0 AND p > 0""")
+def fiscal_year_ratios(spark, sf_dir):
+    return ev.repurchase_ratio(fiscal_packets(spark, sf_dir))
+
+
+def segment_packets(spark, sf_dir) -> DataFrame:
+    """Two packets a customer: acquisitions by segment with a total, and the purchase price, as a sentence or in a table of its own."""
+    o = vw.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c"), F.concat(F.lit("Segment "), F.translate(F.substring("o_orderpriority", 1, 1), "12345", "ABCDE")).alias("seg"), F.floor("o_totalprice").cast("long").alias("v"))
+    parts = o.groupBy("c", "seg").agg(F.sum("v").alias("v"), F.count(F.lit(1)).alias("n"))
+    row = F.struct("seg", F.concat_ws(" | ", "seg", F.col("n").cast("string"), _spelled(F.col("v"))).alias("cells"))
+    told = parts.groupBy("c").agg(F.sort_array(F.collect_list(row)).alias("rows"), F.sum("v").alias("total"), F.sum("n").alias("n"))  # one entry a segment
+    price = _spelled(F.col("total") * (F.col("c") % 3 + 1))
+    table = F.concat(F.lit("headers: Segment | Opening | Acquisition\ncandidate_rows: "), F.array_join("rows.cells", " | "), F.lit(" | Total | "), F.col("n").cast("string"), F.lit(" | "), _spelled(F.col("total")))
+    stated = F.when(F.col("c") % 2 == 0, F.concat(F.lit("The total purchase price was $"), price, F.lit("."))).otherwise(F.concat(F.lit("headers: Item | Cost\ncandidate_rows: Purchase price | "), price))
+    packets = told.select("c", F.inline(F.array(F.struct(F.lit("p1").alias("packet_id"), table.alias("text")), F.struct(F.lit("p2").alias("packet_id"), stated.alias("text")))))
+    return packets.select(F.col("c").cast("string").alias("example_id"), "packet_id", "text")
+
+
+@query(f"""WITH s AS (SELECT o_custkey AS c, o_orderpriority[1] AS seg, sum(floor(o_totalprice)) AS v FROM orders GROUP BY 1, 2), t AS (SELECT c, max(v) AS s, sum(v) * (c % 3 + 1) AS t FROM s GROUP BY c),
+a AS (SELECT c, s, t, round_even(s / t * 100, 0) AS share FROM t WHERE s > 0 AND s < t AND (c % 2 = 1 OR t >= {COMMA}))
+SELECT c::VARCHAR AS example_id, share::BIGINT || '%' AS answer FROM a WHERE share BETWEEN 1 AND 99""")
+def segment_shares(spark, sf_dir):
+    return ev.segment_percent(segment_packets(spark, sf_dir))
