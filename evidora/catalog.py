@@ -696,7 +696,7 @@ def stress_filter(spark, sf_dir):
 
 
 # the other books of queries add theirs
-from . import casebook, chartbook, financebook, goldbook, tracebook  # noqa: E402, F401
+from . import casebook, chartbook, goldbook, packetbook, tracebook  # noqa: E402, F401
 
 QUERIES |= casebook.QUERIES
 ORACLE_SQL |= casebook.ORACLE_SQL

@@ -1,4 +1,4 @@
-"""Queries of finance programs, with their DuckDB SQL: packets spell sums of a customer's orders, and the SQL works from the sums."""
+"""Queries of packets, with their DuckDB SQL: packets spell values of the tables, and the SQL works from the values."""
 
 from __future__ import annotations
 
@@ -10,6 +10,9 @@ from .operators import evidence as ev
 from .sources import views as vw
 
 query = cat.query
+FOCUS = ("Gain | 3", "Min typ  max of the unit", "Rated test condition", "Plain  words here", "")
+REGIONS = ("table", "Bar Chart", "picture", "", "Text block")
+ROLES = ("caption", "X-Axis", "Page Header", " ", "Other note", "footer")
 #: Orders' years are told as years of this many later, so that all are of this century.
 LATER = 10
 #: Amounts with a thousands' comma are read as money.
@@ -62,3 +65,31 @@ a AS (SELECT c, s, t, round_even(s / t * 100, 0) AS share FROM t WHERE s > 0 AND
 SELECT c::VARCHAR AS example_id, share::BIGINT || '%' AS answer FROM a WHERE share BETWEEN 1 AND 99""")
 def segment_shares(spark, sf_dir):
     return ev.segment_percent(segment_packets(spark, sf_dir))
+
+
+def region_packets(spark, sf_dir) -> DataFrame:
+    """One packet an order: a line of its own and two lines of context, whose roles are spelled in several ways."""
+    o = vw.table(spark, sf_dir, "orders")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    context = lambda role, v: F.concat(F.lit("Context ["), role, F.lit("]:  value   "), (v % 10).cast("string"))
+    text = F.concat_ws("\n", vw.pick(FOCUS, k), context(vw.pick(ROLES, c), k), F.lit("  "), context(vw.pick(ROLES, k + c), c))
+    return o.select(k.cast("string").alias("packet_id"), c.alias("customer"), vw.pick(REGIONS, c).alias("region_type"), text.alias("text"), F.when(k % 7 == 0, "1,2").alias("chart_csv"))
+
+
+_ROLE = lambda n: f"(CASE {vw.sql_pick(ROLES, n)} WHEN 'X-Axis' THEN 'axis' WHEN 'Page Header' THEN 'header' WHEN ' ' THEN 'context' WHEN 'Other note' THEN 'other_note' ELSE {vw.sql_pick(ROLES, n)} END)"
+
+
+@query(f"""WITH p AS (SELECT o_orderkey AS k, o_custkey AS c, {vw.sql_pick(REGIONS, 'o_custkey')} AS region, replace({vw.sql_pick(FOCUS, 'o_orderkey')}, '  ', ' ') AS focus, {_ROLE('o_custkey')} AS r1, {_ROLE('(o_orderkey + o_custkey)')} AS r2, 'value ' || o_orderkey % 10 AS v1, 'value ' || o_custkey % 10 AS v2 FROM orders),
+t AS (SELECT *, len(list_filter(['parameter', 'test', 'condition', 'unit', 'min', 'typ', 'max'], lambda w: list_contains(string_split(lower(focus), ' '), w))) AS terms FROM p)
+SELECT k::VARCHAR AS packet_id, focus AS focus_text, CASE WHEN k % 7 = 0 OR region = 'Bar Chart' OR (c % 3 = 0 AND region = 'picture') THEN 'chart' WHEN region = 'table' OR contains(focus, '|') OR terms >= 3 THEN 'table' WHEN region = 'picture' THEN 'visual' ELSE 'text' END AS group_kind,
+  CASE WHEN r1 = r2 AND v1 = v2 THEN r1 || '=' || v1 WHEN r1 = r2 THEN r1 || '=' || v1 || '/' || v2 ELSE r1 || '=' || v1 || '; ' || r2 || '=' || v2 END AS context FROM t""")
+def evidence_groups(spark, sf_dir):
+    """Packets with their kind, the line they are about and context by role."""
+    g = ev.groups(region_packets(spark, sf_dir), F.col("customer") % 3 == 0)
+    told = F.transform(F.map_entries("context"), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], "/")))
+    return g.select("packet_id", "focus_text", "group_kind", F.array_join(told, "; ").alias("context"))
+
+
+@query("SELECT group_kind, count(*) AS n FROM (" + cat.ORACLE_SQL["evidence_groups"] + ") GROUP BY 1")
+def evidence_group_counts(spark, sf_dir):
+    return evidence_groups(spark, sf_dir).groupBy("group_kind").agg(F.count(F.lit(1)).alias("n"))
