@@ -23,6 +23,11 @@ RAW_EXAMPLE_SCHEMA = (
     "difficulty_visual int, difficulty_reasoning int, difficulty_localization int, question_family string, stress_type string, "
     "reasoning_chain string, evidence_page_spread int, adversarial_type string, split string"
 )
+#: Columns that may come as JSON texts. Objects within a list of texts keep their JSON.
+JSON_FIELDS = {
+    "supporting_bboxes": f"array<{BOX}>", "alternate_bboxes": f"array<{BOX}>", "original_bboxes": f"array<{BOX}>", "evidence_relations": "array<string>",
+    "difficulty": "struct<visual:int,reasoning:int,localization:int>", "supporting_pages": "array<int>", "page_images": "array<variant>", "distractor_region_ids": "array<string>",
+}
 # Names of splits.
 SPLITS = {"validation": "dev", "val": "dev"}
 
@@ -48,14 +53,28 @@ def stress_counts(df: DataFrame) -> DataFrame:
     return df.where(~F.coalesce("stress_type", F.lit("")).isin("", "none")).groupBy("stress_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def decoded(raw: DataFrame) -> DataFrame:
+    """JSON_FIELDS that are texts as values, null where a text is no such JSON; columns that are typed already stay as they are.
+
+    Of page_images only the texts among the entries are kept.
+    """
+    texts = {c for c, t in raw.dtypes if c in JSON_FIELDS and t == "string"}
+    value = {c: F.from_json(c, JSON_FIELDS[c]) for c in texts}
+    if "page_images" in texts:
+        image = F.filter(value["page_images"], lambda v: F.schema_of_variant(v) == "STRING")
+        value["page_images"] = F.transform(image, lambda v: F.variant_get(v, "$", "string"))
+    return raw.withColumns(value)
+
+
 def typed_examples(raw: DataFrame) -> DataFrame:
-    """Raw rows with boxes parsed from JSON texts, the split's own name and difficulty as one struct."""
-    boxes = lambda c: F.coalesce(F.from_json(c, f"array<{BOX}>"), F.array().cast(f"array<{BOX}>"))
+    """Raw rows with JSON texts decoded, boxes never null, the split's own name and difficulty as one struct, 1 where it is not given or zero."""
+    df = decoded(raw)
     split = F.coalesce(F.create_map(*[F.lit(x) for kv in SPLITS.items() for x in kv])[F.lower("split")], F.lower("split"))
-    return raw.withColumns({
-        "supporting_bboxes": boxes("supporting_bboxes"), "alternate_bboxes": boxes("alternate_bboxes"), "split": split,
-        "difficulty": F.struct(*[F.coalesce(f"difficulty_{d}", F.lit(1)).alias(d) for d in ("visual", "reasoning", "localization")]),
-    }).drop("difficulty_visual", "difficulty_reasoning", "difficulty_localization")
+    level = lambda d: F.coalesce(F.nullif(F.col(f"difficulty_{d}"), F.lit(0)), F.lit(1)).cast("int") if f"difficulty_{d}" in df.columns else F.lit(1)
+    levels = F.struct(*[level(d).alias(d) for d in ("visual", "reasoning", "localization")])
+    boxes = {c: F.coalesce(c, F.array().cast(f"array<{BOX}>")) for c in ("supporting_bboxes", "alternate_bboxes")}
+    given = {"difficulty": F.coalesce("difficulty", levels) if "difficulty" in df.columns else levels}
+    return df.withColumns({**boxes, "split": split, **given}).drop("difficulty_visual", "difficulty_reasoning", "difficulty_localization")
 
 
 def page_images(raw: DataFrame, images: str = "page_images") -> DataFrame:

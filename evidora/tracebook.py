@@ -167,6 +167,21 @@ def typed_examples(spark, sf_dir):
     return r6(t.select("id", "split", F.size("supporting_bboxes").alias("n_boxes"), F.aggregate("supporting_bboxes", F.lit(0.0), lambda a, x: a + x["x0"]).alias("sum_x0"), F.col("difficulty.visual").alias("visual")))
 
 
+@query("""SELECT o_orderkey::VARCHAR AS id, CASE WHEN o_orderkey % 5 > 0 THEN o_custkey % 4 END AS first_page, CASE WHEN o_orderkey % 5 > 0 THEN 2 ELSE 0 END AS n_pages, 'p' || o_custkey || ',q' AS images, 'r' || o_orderkey % 9 AS distractor, '{"kind":"' || o_orderstatus || '"}' AS relation,
+  CASE WHEN o_orderkey % 3 = 0 THEN 2 WHEN o_custkey % 4 = 0 THEN 1 ELSE o_custkey % 4 END::BIGINT AS visual, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey % 5 ELSE 1 END::BIGINT AS reasoning FROM orders""")
+def decoded_examples(spark, sf_dir):
+    """Rows whose lists and difficulty come as JSON texts, some of them broken."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    raw = vw.table(spark, sf_dir, "orders").select(
+        k.cast("string").alias("id"), F.lit("val").alias("split"), F.lit(None).cast("string").alias("supporting_bboxes"), F.lit("[]").alias("alternate_bboxes"), F.when(k % 5 > 0, F.format_string("[%d, 7]", c % 4)).otherwise("[1, ").alias("supporting_pages"),
+        F.format_string('["p%d", 3, null, "q", {"a": 1}]', c).alias("page_images"), F.format_string('["r%d"]', k % 9).alias("distractor_region_ids"), F.format_string('[{"kind":"%s"}]', "o_orderstatus").alias("evidence_relations"),
+        F.when(k % 3 == 0, F.format_string('{"visual": 2, "reasoning": %d}', c % 5)).when(k % 3 == 1, "").alias("difficulty"), (c % 4).cast("int").alias("difficulty_visual"),
+    )
+    t = rd.typed_examples(raw)
+    n = F.coalesce(F.size("supporting_pages"), F.lit(0))
+    return r6(t.select("id", F.get("supporting_pages", F.lit(0)).alias("first_page"), F.greatest(n, F.lit(0)).alias("n_pages"), F.array_join("page_images", ",").alias("images"), F.get("distractor_region_ids", F.lit(0)).alias("distractor"), F.get("evidence_relations", F.lit(0)).alias("relation"), "difficulty.visual", "difficulty.reasoning"))
+
+
 # ---- evidence and regions
 
 _ITEMS = "(SELECT text AS question, substr(text, 1, 20) AS answer, row_number() OVER (ORDER BY item_id) - 1 AS i FROM benchmark)"
