@@ -67,3 +67,10 @@ def test_repair_lines_and_small_ones(spark):
 def test_focused_packets(spark):
     p = spark.createDataFrame([("k", "t", 1, 0.0, 0.0, 0.2, 0.2, "table", False, True, 0), ("k", "c", 1, 0.0, 0.0, 0.1, 0.1, "text", True, False, 1), ("k", "v1", 1, 0.8, 0.8, 1.0, 1.0, "figure", False, False, 2), ("k", "v2", 1, 0.1, 0.1, 0.3, 0.3, "figure", False, False, 3), ("k", "x", 2, 0.0, 0.0, 1.0, 1.0, "figure", False, False, 4)], "key string, packet_id string, page int, x0 double, y0 double, x1 double, y1 double, region_type string, cited boolean, target boolean, ordinal int")
     assert sorted((r.packet_id, r.why) for r in ev.focused_packets(p, ["key"], 1).collect()) == [("c", "cited"), ("t", "target"), ("v2", "visual")]
+
+
+def test_a_note_is_read_once_for_a_corresponding_answer(spark):
+    """However often the rule uses what it read, its expression splits the question and the note once each."""
+    df = spark.range(1).select(ev.corresponding_answer(F.col("id").cast("string"), F.col("id").cast("string")).alias("x"))
+    for plan in (df._jdf.queryExecution().analyzed(), df._jdf.queryExecution().optimizedPlan()):
+        assert plan.toString().count("candidate_rows") == plan.toString().count("headers:") == 1
