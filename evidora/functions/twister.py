@@ -92,8 +92,13 @@ def block_state(state: np.ndarray, block: int, strides: list[int]) -> np.ndarray
     return state
 
 
+def following(g: np.random.MT19937, n: int) -> np.ndarray:
+    """The generator's next n outputs: whole words of 32 bits are its outputs as they come."""
+    return np.random.Generator(g).integers(0, 1 << 32, n, dtype=np.uint32)
+
+
 def outputs(state: np.ndarray, n: int) -> np.ndarray:
-    return generator(state).random_raw(n).astype(np.uint32)
+    return following(generator(state), n)
 
 
 def below(n: int, raw: np.ndarray) -> np.ndarray:

@@ -69,3 +69,19 @@ def test_too_many_values_are_refused(spark, monkeypatch):
     monkeypatch.setattr(draws, "MOST_VALUES", 5)
     with pytest.raises(ValueError):
         draws.sequential_bootstrap(spark.range(6).selectExpr("id", "1.0 AS v"), [], ["id"], "v")
+
+
+@pytest.mark.parametrize("codes", [256, 0])
+def test_values_beyond_one_chunk(spark, monkeypatch, codes):
+    """Chunks of a few values, as bytes and as doubles, and runs of few blocks give the draws of one sequence."""
+    monkeypatch.setattr(draws, "CODES", codes)
+    monkeypatch.setattr(draws, "CHUNK_BYTES", 56)
+    monkeypatch.setattr(draws, "LEAST_OUTPUTS", 2000)
+    rows = [(g, i, float((i * i + len(g)) % 5)) for g, n in (("a", 150), ("bb", 61), ("c", 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, o int, v double").repartition(3)
+    got = {r.g: (r.n, r.lo, r.hi) for r in draws.sequential_bootstrap(df, ["g"], ["o"], "v", resamples=100, block=997).collect()}
+    assert got == {g: (len(v), *sequential(v, 100)) for g in ("a", "bb", "c") if (v := [x for k, _, x in rows if k == g])}
+
+
+def test_more_values_than_the_driver_took_before():
+    assert draws.MOST_VALUES >= 36_000_000
