@@ -2,8 +2,9 @@
 
 Build (once for a corpus; texts are read and split once):
 
-- `counts`: how often each page has each term, and each page's length. Stems are made of the distinct words only.
-- `postings`: term, doc, block, page, part: the page's whole BM25 share for the term, laid out by term. A block holds some BLOCK pages
+- `counts`: how often each page has each term, and each page's length, counted within each row and so without a shuffle. Stems are made
+  of the distinct words only. It goes when the postings are written.
+- `postings`: term, doc, block, page, part: the page's whole BM25 share for the term, laid out by document and term (one shuffle). A block holds some BLOCK pages
   of one document and of like length, so that a term's shares within it are alike.
 - `blocks`: term, doc, block, top: the largest share of the term in the block.
 - `manifest`: written last; names the tables of the first build that ended. A build that died leaves no manifest, and two builds at
@@ -12,7 +13,7 @@ Build (once for a corpus; texts are read and split once):
 Search: a block's bound for a question is the sum of its terms' tops. The two blocks of the highest bounds are scored first; the k-th
 score there is a floor, and of the other blocks only those whose bound reaches it are read. So the result is that of scoring all.
 
-Defined results: null and empty pages count as pages without terms; questions without terms find nothing; a page without any of a
+Defined results: a document's pages have ids of their own; null and empty pages count as pages without terms; questions without terms find nothing; a page without any of a
 question's terms is left out; equal scores (to nine places) go to the lesser page; repeated questions are one.
 """
 
@@ -25,16 +26,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.shapes import bind
 from ..sources.staging import files_key, stage, table_or_none
 from . import retrieval as rt
 
 #: Changes with the layout of the tables: an index of another version is not read.
-VERSION = 1
+VERSION = 2
 BLOCK = 64
 #: Classes of page length: four for each doubling.
 PER_DOUBLING = 4
-#: A posting list is written to so many places, so that no frequent term is one task's.
-SALTS = 16
+#: Rows of counted tables (documents, their classes of length) up to which they go to all tasks.
+FEW = 1 << 16
 #: Scores are compared to nine places.
 SLACK = 1e-8
 
@@ -58,21 +60,34 @@ PORTER = Analysis(
 )
 
 
+def counted_words(words: Column) -> Column:
+    """[{term, tf}] of a page's words, and one with a null term first: runs of the sorted words."""
+    starts = lambda s: F.when(F.size(s) > 0, F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))).otherwise(F.array().cast("array<int>"))
+    runs = lambda s, at: F.transform(at, lambda i, j: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(at, j + 1), F.size(s)) - i).cast("long").alias("tf")))
+    own = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(1).cast("long").alias("tf")))
+    return F.concat(own, bind(F.sort_array(words), lambda s: bind(starts(s), lambda at: runs(s, at))))
+
+
 def counts(pages: DataFrame, analysis: Analysis = PLAIN, doc: str = "doc", page: str = "page", text: str = "text") -> DataFrame:
     """doc, page, dl, term, tf; each page has also one row with a null term, which counts it."""
     words = analysis.words(F.col(text))
     rows = pages.select(F.col(doc).alias("doc"), F.col(page).alias("page"), words.alias("_w"))
-    rows = rows.select("doc", "page", F.size("_w").cast("long").alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "_w")).alias("term"))
+    rows = rows.select("doc", "page", F.size("_w").cast("long").alias("dl"), F.explode(counted_words(F.col("_w"))).alias("_t")).select("doc", "page", "dl", "_t.term", "_t.tf")
     if analysis.terms is None:
-        return rows.groupBy("doc", "page", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    raw = stage(rows.withColumnRenamed("term", "word").groupBy("doc", "page", "word").agg(F.count(F.lit(1)).alias("n")), "words")
+        return rows
+    raw = stage(rows.select("doc", "page", F.col("term").alias("word"), F.col("tf").alias("n")), "words")
     terms = stage(analysis.terms(raw.select("word").where("word is not null").distinct()), "terms")
-    met = raw.join(terms, "word", "left").where("term is not null or word is null")
-    tf = met.groupBy("doc", "page", "term").agg(F.sum("n").alias("tf"))
+    met = raw.join(_few(terms), "word", "left").where("term is not null or word is null")
+    tf = met.repartition("doc", "page").groupBy("doc", "page", "term").agg(F.sum("n").alias("tf"))
     own = Window.partitionBy("doc", "page")  # the terms of one page
     return tf.withColumn("dl", F.coalesce(F.sum(F.when(F.col("term").isNotNull(), F.col("tf"))).over(own), F.lit(0))).select("doc", "page", "dl", "term", "tf")
 
 
+def _few(table: DataFrame) -> DataFrame:
+    """A written table, sent to all tasks where it is counted to be small."""
+    return F.broadcast(table) if table.count() <= FEW else table
+
+
 @dataclass(frozen=True)
 class PageIndex:
     postings: DataFrame
@@ -86,16 +101,21 @@ class PageIndex:
 
     def visits(self, questions: DataFrame, k: int = 5, question_id: str = "question_id", question: str = "question") -> tuple[DataFrame, DataFrame]:
         """((question_id, doc, page, score) of what was read, (question_id, doc, block, bound, step)). step: first, rest, or null for a skipped block."""
-        terms = stage(self.asked(questions, question_id, question), "asked")
+        terms = _few(stage(self.asked(questions, question_id, question), "asked"))
         keys = [c for c in ("doc", "term") if c in terms.columns]
-        bounds = self.blocks.join(terms, keys).groupBy("question_id", "doc", "block").agg(F.sum("top").alias("bound"))
+        words = _few(stage(terms.select(keys).distinct(), "words"))
+        # a block's rows come together before they meet the questions, so one row is shuffled however many questions ask for it
+        own = self.blocks.join(words, keys, "left_semi").repartition("doc", "block")
+        bounds = own.join(terms, keys).groupBy("question_id", "doc", "block").agg(F.sum("top").alias("bound"))
         order = Window.partitionBy("question_id", "doc").orderBy(F.desc("bound"), "block")
         bounds = stage(bounds, "bounds")
         first = stage(bounds.withColumn("_r", F.row_number().over(order)).where("_r <= 2").select("question_id", "doc", "block"), "first")
 
         def scored(blocks: DataFrame) -> DataFrame:
-            wanted = blocks.join(terms, [c for c in ("question_id", "doc") if c in terms.columns])
-            return self.postings.join(wanted, ["term", "doc", "block"]).groupBy("question_id", "doc", "page").agg(F.sum("part").alias("score"))
+            wanted = _few(stage(blocks.groupBy("doc", "block").agg(F.collect_set("question_id").alias("_q")), "wanted"))
+            own = self.postings.join(words, keys, "left_semi").join(wanted, ["doc", "block"])
+            met = own.join(terms, keys).where(F.array_contains("_q", F.col("question_id")))
+            return met.groupBy("question_id", "doc", "block", "page").agg(F.sum("part").alias("score")).drop("block")
 
         found = stage(scored(first), "found")
         best = Window.partitionBy("question_id", "doc").orderBy(F.desc("score"))
@@ -124,26 +144,35 @@ def build(pages: DataFrame, path: str, analysis: Analysis = PLAIN, doc: str = "d
     """Write the index of pages at path; the manifest comes last."""
     spark = pages.sparkSession
     at = f"{path}/{uuid.uuid4().hex}"
-    counts(pages, analysis, doc, page, text).write.parquet(f"{at}/counts")
-    table = spark.read.parquet(f"{at}/counts")
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.option("compression", "zstd").parquet(f"{at}/{name}")
+        return spark.read.parquet(f"{at}/{name}")
+
+    table = kept(counts(pages, analysis, doc, page, text), "counts")
     length = F.floor(F.log2(F.col("dl") + 1) * PER_DOUBLING).cast("int")
     per_page = table.where("term is null")
-    per_page.groupBy("doc").agg(F.count(F.lit(1)).alias("n_pages"), F.sum("dl").alias("n_terms"), F.avg("dl").alias("avgdl")).write.parquet(f"{at}/totals")
-    totals = spark.read.parquet(f"{at}/totals")
-    sizes = per_page.groupBy("doc", length.alias("cls")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
+    totals = _few(kept(per_page.groupBy("doc").agg(F.count(F.lit(1)).alias("n_pages"), F.sum("dl").alias("n_terms"), F.avg("dl").alias("avgdl")), "totals"))
+    sizes = _few(kept(per_page.groupBy("doc", length.alias("cls")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n")), "sizes"))
     real = table.where("term is not null")
     n = F.col("n_pages").cast("double")
     idf = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(rt.IDF_FLOOR))
     weight = real.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("df")).join(totals, "doc").select("doc", "term", idf.alias("idf"), "avgdl")
     part = F.col("idf") * F.col("tf") * (rt.K1 + 1) / (F.col("tf") + rt.K1 * (1 - rt.B + rt.B * F.col("dl") / F.col("avgdl")))
     block = F.col("cls").cast("long") * F.lit(1 << 32) + F.pmod(F.xxhash64("page"), F.col("n"))
-    rows = real.withColumn("cls", length).join(sizes, ["doc", "cls"]).join(weight, ["doc", "term"]).select("term", "doc", block.alias("block"), "page", part.alias("part"))
-    salt = F.pmod(F.xxhash64("doc", "block"), F.lit(SALTS))
-    rows.repartition("term", salt).sortWithinPartitions("term", "doc", "block").write.parquet(f"{at}/postings")
-    spark.read.parquet(f"{at}/postings").groupBy("term", "doc", "block").agg(F.max("part").alias("top")).repartition("term", salt).sortWithinPartitions("term").write.parquet(f"{at}/blocks")
+    rows = real.withColumn("cls", length).join(sizes, ["doc", "cls"]).select("term", "doc", block.alias("block"), "page", "tf", "dl")
+    parts = rows.join(weight.hint("merge"), ["doc", "term"]).select("term", "doc", "block", "page", part.alias("part"))
+    postings = kept(parts.sortWithinPartitions("term", "doc", "block", "page"), "postings")
+    _deleted(spark, f"{at}/counts")
+    kept(postings.groupBy("term", "doc", "block").agg(F.max("part").alias("top")).sortWithinPartitions("term", "doc", "block"), "blocks")
     spark.createDataFrame([(at,)], "at string").coalesce(1).write.mode("append").parquet(f"{path}/manifest")
 
 
+def _deleted(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def opened(spark: SparkSession, path: str, analysis: Analysis = PLAIN) -> PageIndex | None:
     """The index at path, or None where no build has ended."""
     manifest = table_or_none(spark, f"{path}/manifest", "at string")

@@ -92,3 +92,20 @@ def test_blocks_that_cannot_reach_the_floor_are_skipped(spark, tmp_path):
 def test_only_files_have_a_key(spark):
     with pytest.raises(ValueError):
         files_key(spark.range(3))
+
+
+def _shuffles(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return sum("Exchange hashpartitioning" in line for line in plan.split("\n"))
+
+
+def test_counting_words_shuffles_nothing(spark):
+    pages = spark.createDataFrame([("d", 1, "b a B c b"), ("d", 2, None), ("d", 3, "?"), ("e", 1, "z")], "doc string, page int, text string")
+    got = pi.counts(pages)
+    assert _shuffles(got) == 0
+    assert {(r.doc, r.page, r.term): (r.dl, r.tf) for r in got.collect()} == {("d", 1, None): (5, 1), ("d", 1, "a"): (5, 1), ("d", 1, "b"): (5, 3), ("d", 1, "c"): (5, 1), ("d", 2, None): (0, 1), ("d", 3, None): (0, 1), ("e", 1, None): (1, 1), ("e", 1, "z"): (1, 1)}
+
+
+def test_counts_go_when_the_postings_are_written(spark, tmp_path):
+    pi.build(spark.createDataFrame([("d", 1, "alpha beta")], "doc string, page int, text string"), str(tmp_path / "x"))
+    assert {p.name for p in tmp_path.glob("x/*/*") if p.is_dir()} == {"totals", "sizes", "postings", "blocks"}
