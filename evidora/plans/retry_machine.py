@@ -5,10 +5,11 @@ The frontier holds one row for each open question: its attempt, thresholds, evid
 1. decides each open row by its last verdict: it ends, or one of three retries is taken;
 2. makes the retry's evidence: locating again with a lower threshold, widening the context around the packets that the verdict names, or
    nothing new for a retry of the answer alone;
-3. joins the recorded answers and verdicts of the next attempt to the rows that are still open.
+3. takes the recorded answer and verdict of the next attempt, which the open rows carry.
 
-Each round's rows are written before the next (`keep`), so a lost executor repeats one round and plans stay short. There are as many
-rounds as the largest retry budget allows, not as many as rows; ended rows are not touched again.
+What was recorded meets its question once, before the first round, so a round shuffles nothing. Each round's rows are written before the
+next (`keep`), so a lost executor repeats one round and plans stay short; of ended rows only what the result needs is written. There are
+as many rounds as the largest retry budget allows, not as many as rows; ended rows are not touched again.
 
 Tables
 - questions: example_id, question, answer_type, regions (array of struct id, confidence), neighbours (array of struct of, id, distance).
@@ -97,28 +98,33 @@ def widened(s: State, evidence: Column, targets: Column, pad: Column) -> Column:
     return F.array_union(evidence, F.transform(near, lambda n: n["id"]))
 
 
-def _recorded(table: DataFrame, attempt: int, name: str, *columns: str) -> DataFrame:
-    """example_id and one struct of what was recorded for an attempt."""
-    rows = table.where(F.col("attempt") == attempt)
-    return rows.groupBy("example_id").agg(F.min(F.struct(*columns)).alias(name))
+#: What a row is asked for after it has ended.
+KEPT = ("example_id", "attempt", "ended", "current", "initial", "scope", "stages", "supported", "initial_supported", "evidence_retries", "tool_retry")
 
 
-def _answered(open_: DataFrame, answers: DataFrame, verdicts: DataFrame, attempt: int, nudge: bool) -> DataFrame:
+def _recorded(answers: DataFrame, verdicts: DataFrame, p: Policy) -> tuple[DataFrame, DataFrame]:
+    """example_id and one struct of what was recorded for each attempt that the budget reaches: _a0 and so on with _b of the second question, _v0 and so on."""
+    of = lambda chosen, *columns: F.min(F.when(chosen, F.struct(*columns)))
+    at = lambda i: F.col("attempt") == i
+    again = F.coalesce("nudged", F.lit(False)) if "nudged" in answers.columns else F.lit(False)
+    said = ("answer", "citations", "confidence")
+    a = answers.groupBy("example_id").agg(*[of(at(i) & ~again, *said).alias(f"_a{i}") for i in range(p.rounds + 1)], of(at(0) & again, *said).alias("_b"))
+    v = verdicts.groupBy("example_id").agg(*[of(at(i), "supported", "next_action", "targets", "shape_failure").alias(f"_v{i}") for i in range(p.rounds + 1)])
+    return a, v
+
+
+def _answered(open_: DataFrame, attempt: int, nudge: bool) -> DataFrame:
     """Open rows with the answer and verdict of an attempt; citations are of evidence that the answer was given."""
-    plain = answers.where(~F.coalesce("nudged", F.lit(False))) if "nudged" in answers.columns else answers
-    out = open_.join(_recorded(plain, attempt, "_a", "answer", "citations", "confidence"), "example_id", "left")
+    out = open_.withColumnsRenamed({f"_a{attempt}": "_a", f"_v{attempt}": "_v"})
     clean = lambda a: F.struct(a["answer"].alias("answer"), F.array_intersect(F.coalesce(a["citations"], strings()), F.col("scope")).alias("citations"), F.coalesce(a["confidence"], F.lit(0.0)).alias("confidence"))
     given = F.when(F.col("_a").isNotNull(), clean(F.col("_a")))
     out = out.withColumn("_given", given).withColumn("stages", F.concat("stages", F.when(F.col("_a").isNotNull(), strings("answer")).otherwise(strings())))
-    if nudge and attempt == 0 and "nudged" in answers.columns:
-        again = _recorded(answers.where("nudged"), 0, "_b", "answer", "citations", "confidence")
+    if nudge and attempt == 0:
         gone = policies.looks_unanswerable
         asked = F.col("_given").isNotNull() & gone(F.col("_given.answer")) & (F.size("_given.citations") > 0) & (F.size("scope") > 0)
-        out = out.join(again, "example_id", "left")
         out = out.withColumn("_asked", F.coalesce(asked & F.col("_b").isNotNull(), F.lit(False)))
         out = out.withColumn("stages", F.concat("stages", F.when(F.col("_asked"), strings("answer")).otherwise(strings())))
-        out = out.withColumn("_given", F.when(F.col("_asked") & ~gone(F.col("_b.answer")), clean(F.col("_b"))).otherwise(F.col("_given"))).drop("_b", "_asked")
-    out = out.join(_recorded(verdicts, attempt, "_v", "supported", "next_action", "targets", "shape_failure"), "example_id", "left")
+        out = out.withColumn("_given", F.when(F.col("_asked") & ~gone(F.col("_b.answer")), clean(F.col("_b"))).otherwise(F.col("_given"))).drop("_asked")
     both = F.col("_given").isNotNull() & F.col("_v").isNotNull()
     said = lambda c, default: F.coalesce(F.col(f"_v.{c}"), default)
     out = out.withColumns({
@@ -126,7 +132,7 @@ def _answered(open_: DataFrame, answers: DataFrame, verdicts: DataFrame, attempt
         "stages": F.concat("stages", F.when(both, strings("verify")).otherwise(strings())),
         "supported": F.when(both, said("supported", F.lit(False))).otherwise(F.coalesce("supported", F.lit(False))), "next_action": F.col("_v.next_action"),
         "targets": said("targets", strings()), "shape_failure": said("shape_failure", F.lit(False)),
-    }).drop("_a", "_v", "_given")
+    }).drop("_a", "_b", "_v", "_given")
     weak = F.array(F.struct(F.col("current.answer").alias("answer"), F.size("current.citations").alias("n_citations"), F.col("current.confidence").alias("confidence"), F.lit(attempt).alias("attempt"), F.col("current.citations").alias("citations"), F.col("scope").alias("scope")))
     return out.withColumn("unsupported", F.when(F.col("_ok") & ~F.col("supported"), F.concat("unsupported", weak)).otherwise(F.col("unsupported"))).drop("_ok")
 
@@ -194,19 +200,22 @@ def run(questions: DataFrame, answers: DataFrame, verdicts: DataFrame, policy: P
         "supported": F.lit(False), "evidence_retries": F.lit(0), "tool_retry": F.lit(False),
         "unsupported": F.array().cast("array<struct<answer:string,n_citations:int,confidence:double,attempt:int,citations:array<string>,scope:array<string>>>"),
     }).withColumn("scope", F.col("evidence"))
-    now = _answered(start, answers, verdicts, 0, p.nudge).withColumns({"initial": F.col("current"), "initial_scope": F.col("scope"), "initial_supported": F.col("supported")})
+    for recorded in _recorded(answers, verdicts, p):
+        start = start.join(recorded, "example_id", "left")
+    now = _answered(start, 0, p.nudge).withColumns({"initial": F.col("current"), "initial_scope": F.col("scope"), "initial_supported": F.col("supported")})
     done: list[DataFrame] = []
     no = F.lit(False)
     estimate, initial = p.keeps_estimate(State()), p.keeps_initial(State()) if p.rounds else no  # large expressions: put together once
     for attempt in range(p.rounds + 1):
-        now = keep(decided(now, p, initial if attempt else no, no if attempt else estimate))
-        done.append(now.where("ended is not null"))
+        now = decided(now, p, initial if attempt else no, no if attempt else estimate)
+        now = keep(now.withColumns({c: F.when(F.col("ended").isNull(), F.col(c)) for c in now.columns if c not in KEPT}))
+        done.append(now.where("ended is not null").select(*KEPT))
         if attempt == p.rounds:
             break
         open_ = now.where("ended is null")
         if open_.isEmpty():
             break
-        now = _answered(prepared(open_, p), answers, verdicts, attempt + 1, p.nudge)
+        now = _answered(prepared(open_, p), attempt + 1, p.nudge)
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

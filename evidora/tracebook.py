@@ -347,20 +347,22 @@ MACHINE = rm.Policy(max_retries=2, max_evidence_retries=3)
 
 def recorded_attempts(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(questions, answers, verdicts): an order is a question, each of its lines a region and what was recorded for one attempt."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")  # the lines of one order
-    lines = vw.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", (F.row_number().over(w) - 1).alias("attempt"))
-    k, p, s, n = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey"), F.col("attempt").cast("string")
-    region = F.struct(F.concat(F.lit("p"), n).alias("id"), (F.col("l_discount") * 5).alias("confidence"))
-    near = F.struct(F.concat(F.lit("p"), n).alias("of"), F.concat(F.lit("n"), n).alias("id"), (F.col("l_tax") * 2).alias("distance"))
-    questions = lines.groupBy(k.cast("string").alias("example_id")).agg(F.array_sort(F.collect_list(region)).alias("regions"), F.array_sort(F.collect_list(near)).alias("neighbours"))
-    questions = questions.select("*", F.lit("What is stated?").alias("question"), F.when(F.col("example_id").cast("long") % 3 == 0, "AnswerType.UNANSWERABLE").otherwise("numeric").alias("answer_type"))
+    # lines are ordered as whole structs, so that the three tables need the same columns and rows and share one shuffle by the order's key; equal lines stay as read
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.monotonically_increasing_id().alias("read"), "l_quantity", "l_discount", "l_tax").alias("line")
+    w = Window.partitionBy("example_id").orderBy("line")  # the lines of one order
+    lines = vw.table(spark, sf_dir, "lineitem").where("l_orderkey is not null").select(F.col("l_orderkey").alias("example_id"), line).withColumn("attempt", F.row_number().over(w) - 1)
+    p, s, n = F.col("line.l_partkey"), F.col("line.l_suppkey"), F.col("attempt").cast("string")
+    region = F.struct(F.concat(F.lit("p"), n).alias("id"), (F.col("line.l_discount") * 5).alias("confidence"))
+    near = F.struct(F.concat(F.lit("p"), n).alias("of"), F.concat(F.lit("n"), n).alias("id"), (F.col("line.l_tax") * 2).alias("distance"))
+    questions = lines.groupBy("example_id").agg(F.array_sort(F.collect_list(region)).alias("regions"), F.array_sort(F.collect_list(near)).alias("neighbours"))
+    questions = questions.select("*", F.lit("What is stated?").alias("question"), F.when(F.col("example_id") % 3 == 0, "AnswerType.UNANSWERABLE").otherwise("numeric").alias("answer_type"))
     cites = F.array(F.concat(F.lit("p"), (s % 4).cast("string")), F.concat(F.lit("n"), (p % 4).cast("string")))
     answer = lambda gone, shift: F.when(gone, "Unanswerable").otherwise(F.concat(F.lit("V"), (s % 90 + shift).cast("string")))
-    row = [k.cast("string").alias("example_id"), "attempt"]
-    answers = lines.select(*row, answer(s % 4 == 0, 100).alias("answer"), cites.alias("citations"), (F.col("l_quantity") / 50).alias("confidence"), F.lit(False).alias("nudged"))
-    nudged = lines.where((F.col("attempt") == 0) & (s % 3 == 0)).select(*row, answer(s % 8 == 0, 300).alias("answer"), cites.alias("citations"), F.lit(0.5).alias("confidence"), F.lit(True).alias("nudged"))
-    verdicts = lines.select(*row, (p % 6 == 0).alias("supported"), _pick(MACHINE_ACTIONS, p).alias("next_action"), F.array(F.concat(F.lit("p"), (p % 4).cast("string"))).alias("targets"), (s % 5 == 0).alias("shape_failure"))
-    return questions, answers.unionByName(nudged), verdicts
+    said = lambda answer, confidence, nudged: F.struct(answer.alias("answer"), confidence.alias("confidence"), F.lit(nudged).alias("nudged"))
+    both = F.array(said(answer(s % 4 == 0, 100), F.col("line.l_quantity") / 50, False), F.when((F.col("attempt") == 0) & (s % 3 == 0), said(answer(s % 8 == 0, 300), F.lit(0.5), True)))
+    answers = lines.select("example_id", "attempt", cites.alias("citations"), F.inline(F.array_compact(both)))
+    verdicts = lines.select("example_id", "attempt", (p % 6 == 0).alias("supported"), _pick(MACHINE_ACTIONS, p).alias("next_action"), F.array(F.concat(F.lit("p"), (p % 4).cast("string"))).alias("targets"), (s % 5 == 0).alias("shape_failure"))
+    return questions, answers, verdicts
 
 
 _MACHINE = f"""WITH RECURSIVE ln AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS a FROM lineitem),
@@ -401,7 +403,7 @@ h AS (SELECT *, CASE WHEN ended = 'accepted_preserved_initial' THEN i_an WHEN en
 @query(f"{_MACHINE} SELECT k::VARCHAR AS example_id, answer, array_to_string(cites, ',') AS citations, round(conf, 6) AS confidence, ended, a::BIGINT AS retries, er::BIGINT AS evidence_retries, sup AS supported, CASE WHEN a > 0 THEN NOT i_sup AND sup AND ended <> 'accepted_preserved_initial' END AS helped, tr AND answer <> i_an AS changed, st AS stages, array_to_string(list_sort(fin), ',') AS evidence FROM h")
 def retry_machine(spark, sf_dir):
     out = rm.run(*recorded_attempts(spark, sf_dir), MACHINE)
-    return r6(out.withColumns({"citations": F.array_join("citations", ","), "stages": F.array_join("stages", " "), "evidence": F.array_join(F.array_sort("evidence"), ",")}))
+    return r6(out.withColumns({"example_id": F.col("example_id").cast("string"), "citations": F.array_join("citations", ","), "stages": F.array_join("stages", " "), "evidence": F.array_join(F.array_sort("evidence"), ",")}))
 
 
 # ---- tool loops over conversations

@@ -1,8 +1,11 @@
 """The retry machine on hand-made recordings, all in two runs; whole tables are compared with a recursive query in test_oracles."""
 
+import re
+
 import pytest
 
 from evidora.plans import retry_machine as rm
+from evidora.tracebook import recorded_attempts
 
 QUESTIONS = "example_id string, question string, answer_type string, regions array<struct<id:string,confidence:double>>, neighbours array<struct<of:string,id:string,distance:double>>"
 ANSWERS = "example_id string, attempt int, answer string, citations array<string>, confidence double, nudged boolean"
@@ -101,3 +104,30 @@ def test_rounds_follow_the_budget(spark):
     assert rm.Policy().rounds == 1 and rm.Policy(max_retries=2, max_evidence_retries=0).rounds == 2
     q, a, v = tables(spark)
     assert rm.run(q.where("false"), a, v, rm.Policy(max_evidence_retries=0)).collect() == []
+
+
+def test_later_rounds_shuffle_nothing_and_ended_rows_carry_nothing(spark):
+    plans, carried = [], []
+
+    def keep(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        df = rm.stage(df)
+        carried.append(df.where("ended is not null and (regions is not null or neighbours is not null or evidence is not null or unsupported is not null)").count())
+        return df
+
+    rm.run(*tables(spark), keep=keep)
+    assert ["Exchange" in p for p in plans] == [True, False] and carried == [0, 0]
+
+
+def test_recordings_of_orders_share_one_shuffle(spark):
+    names = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    q, a, v = recorded_attempts(spark, "/root/testdata/sf0.001")
+    for recorded in rm._recorded(a, v, rm.Policy(max_retries=2, max_evidence_retries=3)):
+        q = q.join(recorded, "example_id", "left")
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    for k, x in before.items():
+        spark.conf.set(k, x)
+    assert len(re.findall(r"(?<!, )\bExchange ", plan)) == 1 and plan.count("ReusedExchange") == 2
