@@ -3,8 +3,8 @@
 A document is a bag of sentences. A sentence s has the logistic score p(s) of its hashed features (words, word beginnings and
 word pairs); a document is toxic with probability 1 - prod(1 - p(s)). Only documents are labelled: the gradient of the noisy-or
 likelihood reaches every sentence in proportion to its share of the blame, so the same weights afterwards locate the offending
-sentences. The classifier is fitted on the driver on a bounded sample of labelled documents (Sample), in numpy; scoring is one
-pass over the corpus without a shuffle. A part of the sample that the fit does not see sets the scale of the scores, weighted
+sentences. The classifier is fitted by one task on a bounded sample of labelled documents (Sample), in numpy, so neither texts nor
+features reach the driver; scoring is one pass over the corpus without a shuffle. A part of the sample that the fit does not see sets the scale of the scores, weighted
 to the class shares of all labels.
 
 Defined results: null and empty texts have no sentences and score as low as the model can; a text of any length is scored whole;
@@ -93,7 +93,7 @@ def document_odds(z: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
 def fit(texts: list[str], labels: np.ndarray, share: float, held_out_share: float = 0.25, steps: int = 60, rate: float = 0.1, decay: float = 0.1, evidence: float = 20.0, seed: int = 7) -> Model:
     """Adam on the mean noisy-or loss. share: of positives among all labels, to which the scores are scaled.
 
-    Texts are featurised a chunk at a time, and only telling features are kept, so that the driver holds little besides the texts.
+    Texts are featurised a chunk at a time, and only telling features are kept, so that little is held besides the texts.
     """
     if len(set(labels.tolist())) < 2:
         return Model(np.zeros(1 << BITS, dtype=np.float32), 0.0, constant=float(share))
@@ -224,12 +224,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: Sample = Sample(), doc_id:
     if not fits:
         return fit([], np.zeros(0, dtype=int), share, sample.held_out_share)
     wanted = docs.sparkSession.createDataFrame(fits, f"{doc_id} {docs.schema[doc_id].dataType.simpleString()}, _h long")
-    texts, y = [], []
     got = own.join(F.broadcast(wanted), [doc_id, "_h"]).dropDuplicates([doc_id, "_h"]).select(F.xxhash64(doc_id).alias("_o"), doc_id, "_h", "_text", "_label")
-    for r in sorted(got.collect(), key=lambda r: (r["_o"], r["_h"])):  # at most sample.characters
-        texts.append(r["_text"])
-        y.append(r["_label"])
-    return fit(texts, np.array(y, dtype=int), share, sample.held_out_share)
+    small_text_batches(docs.sparkSession)
+    fitted = got.select("_o", "_h", "_text", "_label").repartition(1).mapInArrow(lambda x: _fit_rows(x, share, sample.held_out_share), "weights binary, bias double, scale double, shift double, constant double")
+    r = fitted.first()  # one row: the weights are 4 MB
+    return Model(np.frombuffer(r["weights"], "<f4"), r["bias"], r["scale"], r["shift"], r["constant"])
+
+
+def _fit_rows(batches: Iterator[pa.RecordBatch], share: float, held_out_share: float) -> Iterator[pa.RecordBatch]:
+    """(order, hash, text, label) of at most a sample -> its model as one row."""
+    rows = sorted((r for b in batches for r in zip(*[c.to_pylist() for c in b.columns])), key=lambda r: r[:2])
+    m = fit([r[2] for r in rows], np.array([r[3] for r in rows], dtype=int), share, held_out_share)
+    cols = [pa.array([m.weights.astype("<f4").tobytes()], pa.binary()), *[pa.array([x], pa.float64()) for x in (m.bias, m.scale, m.shift, m.constant)]]
+    yield pa.RecordBatch.from_arrays(cols, names=["weights", "bias", "scale", "shift", "constant"])
 
 
 def worst_sentences(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

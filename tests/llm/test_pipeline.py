@@ -6,6 +6,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from evidora.llm import decontaminate, near_dedup, queries, toxicity
@@ -92,3 +93,15 @@ def test_stages_and_run(spark):
     packed = steps["packing"](spark, private, SF).collect()
     check_packing(packed, {i: [*t.encode(r.text or "", add_special_tokens=False).ids, 2] for i, r in out.items()}, 1024)
     assert Counter((r.doc_id, r.piece, r.length) for r in corpus_pipeline.run(spark, SF).collect()) == Counter((r.doc_id, r.piece, r.length) for r in packed)
+
+
+def test_the_driver_fits_nothing(spark, monkeypatch):
+    """Texts and features stay with a task: the driver gets the same model from there, without its own fit."""
+    docs, labels = table(spark, SF, "documents"), toxicity.training_rows(table(spark, SF, "labels"))
+    rows = docs.join(labels, "doc_id").where("text is not null").select(F.xxhash64("doc_id").alias("o"), F.xxhash64("text").alias("h"), "text", "toxic").collect()
+    rows = sorted({tuple(r) for r in rows}, key=lambda r: r[:2])
+    share = labels.where("toxic = 1").count() / labels.where("toxic is not null").count()
+    want = toxicity.fit([r[2] for r in rows], np.array([r[3] for r in rows]), share, toxicity.Sample().held_out_share)
+    monkeypatch.setattr(toxicity, "fit", None)
+    got = toxicity.train(docs, labels)
+    assert np.array_equal(got.weights, want.weights) and (got.bias, got.scale, got.shift, got.constant) == (want.bias, want.scale, want.shift, None)
