@@ -11,7 +11,9 @@
 4. Buckets whose members are not all of one component go on: every member outside the bucket's largest component is compared with
    all members of other components by three exact bounds (component, length, and the set of their hashed word pairs, repeats
    counted: an edit changes at most two), in blocks of bounded size. Members of whose length no other component has any stay out before
-   sets are moved; in large buckets only classes of like length meet. The few pairs that no bound rules out are aligned too.
+   sets are moved; in large buckets only classes of like length meet. No row is made for a pair: the members that have some pair left
+   meet again in smaller blocks, now with their words. There a pair belongs to the first bucket that it shares, the sets of words and
+   of word pairs are compared more finely, and what is left is aligned. Links alone leave the task.
    So any two members of a bucket end up in one class, or were aligned, or were ruled out exactly.
 
 Similarity is 1 - distance / max(words), 0.8 or more by default. Scattered edits of one word in five leave few long k-mers whole
@@ -44,6 +46,10 @@ PLACE_BITS = (6, 16)
 GAPS = 8192
 #: Members of a bucket, or pairs of one pivot, in one block.
 BLOCK = 1024
+#: Members on each side of a block that is aligned, and the words of one side.
+ALIGNED, ALIGNED_WORDS = 256, 1 << 22
+#: So many times more places, as a power of two, have sets that are compared before texts are aligned.
+FINER = 3
 #: Distinct texts that a task remembers having sketched.
 REMEMBERED = 200_000
 
@@ -110,11 +116,11 @@ def order_min_hash(texts: list[str | None], p: Params) -> tuple[np.ndarray, np.n
     return n, out
 
 
-def banded_distance(a: np.ndarray, b: np.ndarray, k: int) -> int:
+def banded_distance(a: np.ndarray, b: np.ndarray, k: int, least: int = 0) -> int:
     """Edit distance of two arrays if at most k, else k + 1: Myers' bit vectors over a band of 2k + 1 diagonals.
 
     What the arrays share at both ends is cut off first. Row by row, the band's window over a moves on by one; bits that
-    enter it below start as +1 steps, and what lies outside counts as further away than k.
+    enter it below start as +1 steps, and what lies outside counts as further away than k. least: a known lower bound.
     """
     if len(a) > len(b):
         a, b = b, a
@@ -133,7 +139,7 @@ def banded_distance(a: np.ndarray, b: np.ndarray, k: int) -> int:
     m, n = len(a), len(b)
     if not m:
         return n if n <= k else k + 1
-    k_now = min(8, k)
+    k_now = min(max(8, 2 * least), k)
     while True:  # a narrow band first: most copies differ in a few places
         got = _band(a.tolist(), b.tolist(), k_now) if k_now >= n - m else k_now + 1
         if got <= k_now or k_now >= k:
@@ -220,27 +226,11 @@ def pair_sets(texts: list[str | None]) -> list[bytes]:
     return out
 
 
-class PairSets:
-    """Sets of pair_sets, to be compared by row numbers."""
+class Sets:
+    """Sets of places (of row i: place[at[i]:at[i + 1]], ascending, below 2**bits[i]), to be compared by row numbers."""
 
-    def __init__(self, sets: list[bytes], n_words: np.ndarray):
-        self.bits = place_bits(n_words)
-        gaps = n_words <= GAPS
-        size = np.where(gaps, [len(x) for x in sets], 0).astype(np.int64)
-        code = np.frombuffer(b"".join(x for x, g in zip(sets, gaps.tolist()) if g), np.uint8)
-        step = np.cumsum(np.where(code == 255, 255, code.astype(np.int64) + 1))
-        row = np.repeat(np.arange(len(sets)), size)
-        before = np.concatenate([[0], step])[np.cumsum(size) - size]
-        mark = code != 255
-        rows, places = [row[mark]], [(step - before[row] - 1)[mark]]
-        for i in np.flatnonzero(~gaps).tolist():
-            on = np.flatnonzero(np.unpackbits(np.frombuffer(sets[i], np.uint8), bitorder="little"))
-            rows.append(np.full(len(on), i))
-            places.append(on)
-        row, place = np.concatenate(rows), np.concatenate(places)
-        by = np.argsort(row, kind="stable")
-        self.place = place[by]
-        self.at = np.searchsorted(row[by], np.arange(len(sets) + 1))
+    def __init__(self, place: np.ndarray, at: np.ndarray, bits: np.ndarray, an_edit: int):
+        self.place, self.at, self.bits, self.an_edit = place, at, bits, an_edit
 
     def _maps(self, rows: np.ndarray, bits: int) -> np.ndarray:
         """Bitmaps of 2**bits places, as 64-bit words, of rows that have at least so many."""
@@ -255,7 +245,7 @@ class PairSets:
         return out
 
     def distance(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Never more than the edit distance of rows x[i] and y[i]: an edit takes at most two pairs and brings at most two."""
+        """Never more than the edit distance of rows x[i] and y[i]: an edit takes at most an_edit members and brings as many."""
         out = np.zeros(len(x), dtype=np.int64)
         level = np.minimum(self.bits[x], self.bits[y])
         for bits in np.unique(level).tolist():
@@ -268,10 +258,45 @@ class PairSets:
             for i in range(0, len(at), step):
                 a, b = u[i : i + step], v[i : i + step]
                 common = np.bitwise_count(maps[a] & maps[b]).sum(axis=1, dtype=np.int64)
-                out[at[i : i + step]] = (np.maximum(count[a], count[b]) - common + 1) // 2
+                out[at[i : i + step]] = (np.maximum(count[a], count[b]) - common + self.an_edit - 1) // self.an_edit
         return out
 
 
+class PairSets(Sets):
+    """Sets of pair_sets."""
+
+    def __init__(self, sets: list[bytes], n_words: np.ndarray):
+        gaps = n_words <= GAPS
+        size = np.where(gaps, [len(x) for x in sets], 0).astype(np.int64)
+        code = np.frombuffer(b"".join(x for x, g in zip(sets, gaps.tolist()) if g), np.uint8)
+        step = np.cumsum(np.where(code == 255, 255, code.astype(np.int64) + 1))
+        row = np.repeat(np.arange(len(sets)), size)
+        before = np.concatenate([[0], step])[np.cumsum(size) - size]
+        mark = code != 255
+        rows, places = [row[mark]], [(step - before[row] - 1)[mark]]
+        for i in np.flatnonzero(~gaps).tolist():
+            on = np.flatnonzero(np.unpackbits(np.frombuffer(sets[i], np.uint8), bitorder="little"))
+            rows.append(np.full(len(on), i))
+            places.append(on)
+        row, place = np.concatenate(rows), np.concatenate(places)
+        by = np.argsort(row, kind="stable")
+        super().__init__(place[by], np.searchsorted(row[by], np.arange(len(sets) + 1)), place_bits(n_words), 2)
+
+
+def word_sets(blobs: list[bytes], run: int) -> Sets:
+    """Sets of the words (run 1), or of the pairs of neighbouring words (run 2), of texts that are given as word hashes; repeats apart."""
+    n = np.array([len(b) // 4 for b in blobs], dtype=np.int64)
+    bits = place_bits(n) + FINER
+    h, doc = np.frombuffer(b"".join(blobs), "<u4").astype(np.uint64), np.repeat(np.arange(len(blobs)), n)
+    with np.errstate(over="ignore"):
+        if run == 2:
+            same = doc[1:] == doc[:-1]
+            h, doc = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])[same], doc[1:][same]
+        place = _labelled(mix(h), doc) >> (64 - bits[doc]).astype(np.uint64)
+    marked = np.unique(doc << 32 | place.astype(np.int64))
+    return Sets(marked & 0xFFFFFFFF, np.searchsorted(marked >> 32, np.arange(len(blobs) + 1)), bits, run)
+
+
 def _sketch(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
     """(key, text) -> the sketch of each text that this task has not met before."""
     seen: set[bytes] = set()
@@ -308,21 +333,24 @@ def bag_distance(a: np.ndarray, b: np.ndarray) -> int:
     return max(len(a), len(b)) - int(np.minimum(n[i], m[j]).sum())
 
 
+def _similar(s: np.ndarray, t: np.ndarray, p: Params) -> bool:
+    most = int((1 - p.similarity) * max(len(s), len(t)) + 1e-9)
+    return abs(len(s) - len(t)) <= most and (least := bag_distance(s, t)) <= most and banded_distance(s, t, most, least) <= most
+
+
 def _align(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
     """(node a, node b, words a, words b) -> the pairs (a, b) that are similar."""
     for b in batches:
         good = []
         for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-            s, t = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
-            most = int((1 - p.similarity) * max(len(s), len(t)) + 1e-9)
-            good.append(abs(len(s) - len(t)) <= most and bag_distance(s, t) <= most and banded_distance(s, t, most) <= most)
+            good.append(_similar(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), p))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
-def _only(blobs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The texts that some pair needs, as a table of their own: few, once most links are known."""
-    keys = stage(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "keys")
-    return stage(blobs.join(keys, "key", "left_semi"), "few")
+def _only(keys: DataFrame, *tables: DataFrame) -> list[DataFrame]:
+    """The rows of the tables that some key needs, as tables of their own: few, once most links are known."""
+    keys = stage(keys.distinct(), "keys")
+    return [stage(t.join(keys, "key", "left_semi"), "few") for t in tables]
 
 
 def _verify(pairs: DataFrame, blobs: DataFrame, p: Params) -> DataFrame:
@@ -389,55 +417,89 @@ def _group_pairs(group: np.ndarray, left: np.ndarray, right: np.ndarray, most: i
         at = to
 
 
-def _cross(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
-    """Rows (group, salt, left, right, major, key, root, n_words, pairs) sorted by group -> the pairs of a left and a right row that no bound rules out."""
-
-    def work(t: pa.Table):
-        col = lambda c: t.column(c).combine_chunks()
-        group, n = col("group").to_numpy(), col("n_words").to_numpy().astype(np.int64)
-        left, right, major = (np.asarray(col(c).to_numpy(zero_copy_only=False), bool) for c in ("left", "right", "major"))
-        key, salt = col("key"), col("salt")
-        number = key.dictionary_encode().indices.to_numpy()  # keys and roots as small numbers
-        root = col("root").dictionary_encode().indices.to_numpy()
-        names = key.to_pylist()
-        sets = PairSets(col("pairs").to_pylist(), n)
-        for x, y in _group_pairs(group, left, right, 1 << 18):
-            most = np.floor((1 - p.similarity) * np.maximum(n[x], n[y]) + 1e-9).astype(np.int64)
-            ok = (root[x] != root[y]) & (np.abs(n[x] - n[y]) <= most)
-            x, y, most = x[ok], y[ok], most[ok]
-            near = sets.distance(x, y) <= most
-            x, y = x[near], y[near]
-            # two members outside the largest component meet twice: once is enough
-            once = np.array([bool(m) or names[i] < names[j] for i, j, m in zip(x.tolist(), y.tolist(), major[y].tolist())], dtype=bool)
-            x, y = x[once], y[once]
-            _, first = np.unique(number[x].astype(np.int64) << 32 | number[y], return_index=True)
-            x, y = pa.array(x[first]), pa.array(y[first])
-            yield pa.RecordBatch.from_arrays([key.take(x), key.take(y), salt.take(y)], names=["a", "b", "salt"])
-
-    held, rows = [], 0
+def _ranks(keys: list[bytes]) -> np.ndarray:
+    """Numbers of keys of 16 bytes, in their order; equal keys have one number."""
+    halves = np.frombuffer(b"".join(keys), ">u8").reshape(-1, 2).astype(np.uint64)
+    by = np.lexsort((halves[:, 1], halves[:, 0]))
+    out = np.empty(len(by), dtype=np.int64)
+    out[by] = np.cumsum(np.concatenate([[False], (halves[by][1:] != halves[by][:-1]).any(axis=1)])[: len(by)])
+    return out
+
+
+def _groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Rows in order of group as tables of whole groups, of about so many rows or 32 MB."""
+    held, rows, size = [], 0, 0
     for b in batches:
         held.append(b)
         rows += b.num_rows
-        if rows >= 8 * BLOCK:
+        size += b.nbytes
+        if rows >= most or size >= 1 << 25:
             t = pa.Table.from_batches(held)
             group = t.column("group").to_numpy()
             cut = int(np.searchsorted(group, group[-1], side="left"))  # the last group may go on
             if cut:
-                yield from work(t.slice(0, cut))
+                yield t.slice(0, cut)
                 held = t.slice(cut).to_batches()
-                rows = t.num_rows - cut
+                rows, size = t.num_rows - cut, sum(x.nbytes for x in held)
     if rows:
-        yield from work(pa.Table.from_batches(held))
+        yield pa.Table.from_batches(held)
+
 
+def _candidates(t: pa.Table, left: np.ndarray, right: np.ndarray, sets: list[Sets], p: Params):
+    """Index pairs of a left and a right row of one group that no bound rules out.
+
+    Where the rows have their entries (v), a pair is kept in the first of the buckets that its texts share.
+    """
+    col = lambda c: t.column(c).combine_chunks()
+    n, rank = col("n_words").to_numpy().astype(np.int64), _ranks(col("key").to_pylist())
+    root = col("root").dictionary_encode().indices.to_numpy()  # as small numbers
+    major = np.asarray(col("major").to_numpy(zero_copy_only=False), bool)
+    entries, bucket = (col("v").flatten().to_numpy().reshape(len(n), -1) if "v" in t.column_names else None), col("bucket").to_numpy()
+    for x, y in _group_pairs(col("group").to_numpy(), left, right, 1 << 18):
+        most = np.floor((1 - p.similarity) * np.maximum(n[x], n[y]) + 1e-9).astype(np.int64)
+        # two members outside the largest component meet twice: once is enough
+        ok = (root[x] != root[y]) & (np.abs(n[x] - n[y]) <= most) & (major[y] | (rank[x] < rank[y]))
+        x, y, most = x[ok], y[ok], most[ok]
+        if entries is not None:
+            first = (entries[x] == entries[y]).argmax(axis=1)
+            ok = entries[x, first] == bucket[x]
+            x, y, most = x[ok], y[ok], most[ok]
+        for s in sets:
+            near = s.distance(x, y) <= most
+            x, y, most = x[near], y[near], most[near]
+        yield x, y
 
-def _across(shared: DataFrame, texts: DataFrame, roots: DataFrame, p: Params) -> DataFrame:
-    """Pairs (a, b, salt) of members of one bucket and different components that are not ruled out exactly.
+
+def _meet(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
+    """Rows (group, left, right, bucket, major, key, root, n_words, pairs) in order of group -> those of them that have a pair which no bound rules out, once for each side."""
+    for t in _groups(batches, 8 * BLOCK):
+        left, right = (np.asarray(t.column(c).combine_chunks().to_numpy(zero_copy_only=False), bool) for c in ("left", "right"))
+        met = np.zeros((2, t.num_rows), dtype=bool)
+        for x, y in _candidates(t, left, right, [PairSets(t.column("pairs").to_pylist(), t.column("n_words").to_numpy().astype(np.int64))], p):
+            met[0, x] = met[1, y] = True
+        for side in (True, False):
+            out = t.filter(pa.array(met[0 if side else 1])).select(["group", "bucket", "major", "key", "root", "n_words"])
+            yield from out.append_column("left", pa.array([side] * out.num_rows, pa.bool_())).to_batches()
+
+
+def _link(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
+    """Rows (group, left, bucket, major, key, root, n_words, v, node, w) in order of group -> the pairs (a, b) of nodes that are similar."""
+    for t in _groups(batches, 8 * ALIGNED):
+        blobs, node = t.column("w").to_pylist(), t.column("node").combine_chunks()
+        left = np.asarray(t.column("left").combine_chunks().to_numpy(zero_copy_only=False), bool)
+        for x, y in _candidates(t, left, ~left, [word_sets(blobs, 1), word_sets(blobs, 2)], p):
+            good = np.array([_similar(np.frombuffer(blobs[i], "<u4"), np.frombuffer(blobs[j], "<u4"), p) for i, j in zip(x.tolist(), y.tolist())], dtype=bool)
+            yield pa.RecordBatch.from_arrays([node.take(pa.array(x[good])), node.take(pa.array(y[good]))], names=["a", "b"])
+
+
+def _across(shared: DataFrame, texts: DataFrame, blobs: DataFrame, roots: DataFrame, p: Params) -> DataFrame:
+    """Links (a, b as nodes): all pairs of similar members of one bucket which are in different components.
 
     Members of the bucket's largest component are compared with the others only. Texts of lengths that the threshold allows are in
     the same class of length or the next, so members stay out where none outside the largest component, or nobody else, has
     such a length. A bucket of at most BLOCK members is one group. In a larger one each class has its right rows, all members of the
     class, and its left rows, the members outside the largest component of this class and the two next to it; both are dealt to
-    as many blocks as the class needs.
+    as many blocks as the class needs. Members of a block that have a pair left are dealt to blocks of at most about ALIGNED rows a side.
     """
     known = roots.select(F.col("node.key").alias("key"), F.col("root.key").alias("root"))
     split = stage(shared.join(known, "key", "left").select("bucket", "key", F.coalesce("root", "key").alias("root"), "n_words"), "split")
@@ -463,14 +525,23 @@ def _across(shared: DataFrame, texts: DataFrame, roots: DataFrame, p: Params) ->
     left = rows.where("not small and not major").withColumn("cls", F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1)))
     left = left.join(sizes, ["bucket", "cls"]).withColumns({"left": yes, "right": no, "lb": dealt(2, "nl")}).withColumn("rb", up_to("nr")).select(*own)
     parts = max(1, int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    all_ = small.unionByName(right).unionByName(left).select(F.xxhash64("bucket", "cls", "lb", "rb").alias("group"), F.col("rb").alias("salt"), "left", "right", "major", "key", "root", "n_words")
-    all_ = all_.join(texts.select("key", "pairs"), "key").select("group", "salt", "left", "right", "major", "key", "root", "n_words", "pairs")
-    found = all_.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(lambda x: _cross(x, p), "a binary, b binary, salt int")
-    once = found.groupBy(F.least("a", "b").alias("_x"), F.greatest("a", "b").alias("_y")).agg(F.min(F.struct("a", "b", "salt")).alias("one"))
-    near = stage(once.select("one.*"), "near")
+    all_ = small.unionByName(right).unionByName(left).select(F.xxhash64("bucket", "cls", "lb", "rb").alias("group"), "left", "right", "bucket", "major", "key", "root", "n_words")
+    all_ = all_.join(texts.select("key", "pairs"), "key").select("group", "left", "right", "bucket", "major", "key", "root", "n_words", "pairs")
+    met = all_.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(lambda x: _meet(x, p), "group long, bucket long, major boolean, key binary, root binary, n_words int, left boolean")
+    met = stage(met, "met")
     drop_stage(rows)
     drop_stage(sizes)
-    return near
+    side = lambda c: F.greatest(F.ceil(F.count_if(c) / ALIGNED), F.ceil(F.sum(F.when(c, F.col("n_words"))) / ALIGNED_WORDS)).cast("int")
+    blocks = met.groupBy("group").agg(side(F.col("left")).alias("nl"), side(~F.col("left")).alias("nr"))
+    cut = met.join(blocks, "group").withColumn("own", F.when(F.col("left"), dealt(3, "nl")).otherwise(dealt(4, "nr"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("left"), F.col("nr")).otherwise(F.col("nl")) - 1)))
+    words_of, entries = _only(met.select("key"), blobs, texts.select("key", "v"))
+    own = F.xxhash64("group", F.when(F.col("left"), F.col("own")).otherwise(F.col("other")), F.when(F.col("left"), F.col("other")).otherwise(F.col("own")))
+    cut = cut.select(own.alias("group"), "left", "bucket", "major", "key", "root", "n_words").join(words_of, "key").join(entries, "key")
+    node = dict(blobs.dtypes)["node"]
+    cut = cut.select("group", "left", "bucket", "major", "key", "root", "n_words", "v", "node", "w").repartition(parts, "group").sortWithinPartitions("group", "left", "key")
+    found = stage(cut.mapInArrow(lambda x: _link(x, p), f"a {node}, b {node}"), "found")
+    drop_stage(met)
+    return found
 
 
 def _key(text: str):
@@ -517,14 +588,13 @@ def near_classes(docs: DataFrame, params: Params = Params(), doc_id: str = "doc_
     of_a = rest.select("a", "salt").distinct().join(known.toDF("a", "ra"), "a")
     rest = rest.join(of_a, ["a", "salt"], "left").join(known.toDF("b", "rb"), "b", "left").where(~F.coalesce("ra", "a").eqNullSafe(F.coalesce("rb", "b"))).select("a", "b", "salt")
     rest = stage(rest, "rest")
-    more = stage(_verify(rest, _only(blobs, rest), p), "links")
+    more = stage(_verify(rest, *_only(rest.select(F.col("a").alias("key")).union(rest.select("b")), blobs), p), "links")
     drop_stage(pairs)
     if not more.isEmpty():
         links = links.union(more)
         drop_stage(roots)
         roots = stage(components(links), "roots")
-    near = _across(shared, texts, roots, p)
-    found = stage(_verify(near, _only(blobs, near), p), "found")
+    found = _across(shared, texts, blobs, roots, p)
     drop_stage(shared)
     if not found.isEmpty():
         links = links.union(found)

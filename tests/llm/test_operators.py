@@ -290,6 +290,58 @@ def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
     assert got == dict(enumerate(root)) and len(set(root)) < 24
 
 
+def test_word_sets_bound_the_distance():
+    """Neither set rules out more than the distance; where scattered words differ, the words' set rules out what pairs of words leave."""
+    rnd = random.Random(41)
+    pairs = [[[rnd.choice("abcde") for _ in range(rnd.randrange(1, 15))] for _ in range(2)] for _ in range(300)]
+    blobs = near_dedup._blob([" ".join(p[i]) for i in (0, 1) for p in pairs])
+    at = np.arange(len(pairs))
+    for run in (1, 2):
+        got = near_dedup.word_sets(blobs, run).distance(at, at + len(pairs)).tolist()
+        assert all(d <= distance(*p) for d, p in zip(got, pairs)) and max(got) > 3
+    a = [str(i) for i in range(700)]
+    b = [f"x{w}" if i % 14 < 3 else w for i, w in enumerate(a)]  # 150 words in runs of three; 140 are allowed
+    words, runs = (int(near_dedup.word_sets(near_dedup._blob([" ".join(a), " ".join(b)]), run).distance(np.array([0]), np.array([1]))[0]) for run in (1, 2))
+    assert words > 140 >= runs
+    assert near_dedup.banded_distance(np.array(range(40)), np.array([*range(30), *range(50, 60)]), 12, 10) == 10
+    assert near_dedup.word_sets([b"", b""], 2).distance(np.array([0]), np.array([1])).tolist() == [0]
+
+
+def test_texts_about_as_alike_as_allowed_make_no_row_for_a_pair(spark, monkeypatch):
+    """Many variants of one text, about as far from each other as the threshold allows: what is written grows with the members, links come once."""
+    monkeypatch.setattr(near_dedup, "ALIGNED", 16)
+    rnd = random.Random(43)
+    base = [f"b{i}" for i in range(100)]
+    w = []
+    for _ in range(120):
+        own = list(base)
+        for i in rnd.sample(range(100), 12):
+            own[i] = f"x{rnd.randrange(10**6)}"
+        w.append(own)
+    made, keep = {}, near_dedup.stage
+
+    def counted(df, name="stage"):
+        out = keep(df, name)
+        made[name] = max(made.get(name, 0), n := out.count())
+        assert name != "found" or n == out.distinct().count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "stage", counted)
+    texts = [" ".join(x) for x in w]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(frame(spark, texts)).collect()}
+    entries = near_dedup.order_min_hash(texts, near_dedup.Params())[1]
+    root, near = list(range(len(w))), 0
+    for i in range(len(w)):
+        for j in range(i):
+            if (entries[i] == entries[j]).any():
+                near += 1
+                if near_dedup.banded_distance(np.array(w[i]), np.array(w[j]), 20) <= 20:
+                    a, b = root[i], root[j]
+                    root = [min(a, b) if x in (a, b) else x for x in root]
+    assert got == dict(enumerate(root)) and near > 5000
+    assert made["found"] < 1500 and max(made.values()) <= near_dedup.Params.sketches * len(w), made
+
+
 def test_near_duplicates_awkward_rows(spark):
     long = PROSE * 8
     texts = [None, "", None, "!!", long, long, long.upper() + " EXTRA", "one two", "one two", "Two One"]
